@@ -84,6 +84,24 @@ def _grow(points: np.ndarray, depth_limit: int, random: np.random.Generator):
     return feature, cut, left, right, length
 
 
+def _closed(tree) -> tuple:
+    """Arrays of one tree with every leaf pointing to itself, so that all rows walk the same number of steps."""
+    feature, cut = np.array(tree["feature"]), np.array(tree["cut"], dtype=float)
+    left, right = np.array(tree["left"]), np.array(tree["right"])
+    leaf, own = feature < 0, np.arange(len(feature))
+    cut = np.where(leaf, np.inf, cut)
+    return np.maximum(feature, 0), cut, np.where(leaf, own, left), np.where(leaf, own, right), np.array(tree["length"])
+
+
+def _deepest(tree) -> int:
+    depth = [0] * len(tree["feature"])
+    for at, (left, right) in enumerate(zip(tree["left"], tree["right"])):
+        for child in (left, right):
+            if child >= 0:
+                depth[child] = depth[at] + 1
+    return max(depth, default=0)
+
+
 _TREE = "feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>, size int"
 
 
@@ -123,27 +141,21 @@ def isolation_forest(
     cols = list(cols)
     rows = keep_complete(df, cols)
     forest = train_forest(df, cols, trees, sample, seed)
-    packed = [
-        tuple(np.array(t[k]) for k in ("feature", "cut", "left", "right", "length")) for t in forest
-    ]
+    depth = max((_deepest(t) for t in forest), default=0)
+    shared = df.sparkSession.sparkContext.broadcast([_closed(t) for t in forest])
     typical = float(np.mean(_path_length(np.array([t["size"] for t in forest])))) if forest else 1.0
-    shared = df.sparkSession.sparkContext.broadcast(packed)
 
     def score(batches):
         for batch in batches:
-            points = batch[cols].to_numpy(dtype=float)
-            total = np.zeros(len(points))
-            every = np.arange(len(points))
+            points = np.ascontiguousarray(batch[cols].to_numpy(dtype=float)).ravel()
+            start = np.arange(len(batch)) * len(cols)
+            total = np.zeros(len(batch))
             for feature, cut, left, right, length in shared.value:
-                at = np.zeros(len(points), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = points[every, np.maximum(f, 0)] <= cut[at]
-                    at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-                total += length[at]
+                at = np.zeros(len(batch), dtype=np.int64)
+                for _ in range(depth):
+                    below = points.take(start + feature.take(at)) <= cut.take(at)
+                    at = np.where(below, left.take(at), right.take(at))
+                total += length.take(at)
             batch["anomaly_score"] = np.power(2.0, -total / max(len(shared.value), 1) / max(typical, 1e-12))
             yield batch
 

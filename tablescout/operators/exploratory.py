@@ -119,41 +119,46 @@ def _has_nulls(df: DataFrame, cols) -> bool:
     return any(row[f"_{i}"] != row["n"] for i in range(len(cols)))
 
 
+def _rank_table(df: DataFrame, column: str) -> DataFrame:
+    return average_ranks(value_counts(df, [column])).select(F.col("value").alias(column), F.col("avg_rank").alias(f"_rank_{column}"))
+
+
+def _rank_correlations(df: DataFrame, cols, pairs) -> DataFrame:
+    """Rank correlations of ``pairs`` over rows complete in ``cols``.
+
+    Copies of a row collapse first; each column's ranks join once, and all pairs share one aggregate.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    joint = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    total = joint.agg(((F.sum("_w") + 1) / 2).alias("_mid"))
+    for c in cols:
+        joint = joint.join(_rank_table(df, c), c)
+    # Average ranks always have mean (n + 1) / 2, which centres the products.
+    ranked = joint.crossJoin(F.broadcast(total)).select("_w", *[(F.col(f"_rank_{c}") - F.col("_mid")).alias(c) for c in cols])
+    squares = [F.sum(F.col("_w") * F.col(c) * F.col(c)).alias(f"_s{i}") for i, c in enumerate(cols)]
+    products = [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
+    at = {c: i for i, c in enumerate(cols)}
+    cells = [
+        F.struct(
+            F.lit(a).alias("col_a"),
+            F.lit(b).alias("col_b"),
+            ratio(F.col(f"_p{i}"), F.sqrt(f"_s{at[a]}") * F.sqrt(f"_s{at[b]}")).alias("spearman"),
+        )
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return ranked.agg(*squares, *products).select(F.inline(F.array(*cells)))
+
+
 def spearman(df: DataFrame, pairs) -> DataFrame:
     """``col_a, col_b, spearman``: Pearson correlation of average ranks over each pair's complete rows.
 
-    Rows collapse to distinct value pairs first; ranks then join onto those, not onto rows.
+    Without nulls all pairs share their ranks; with nulls each pair ranks its own complete rows.
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    shared = None if _has_nulls(df, cols) else average_ranks(value_counts(df, cols)).select("column", "value", "avg_rank")
-    frames = []
-    for a, b in pairs:
-        both = keep_complete(df, [a, b]).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        joint = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-        ranks = shared
-        if ranks is None:
-            ranks = average_ranks(value_counts(both.toDF(a, b), [a, b])).select("column", "value", "avg_rank")
-        rank_a = ranks.where(F.col("column") == a).select(F.col("value").alias("x"), F.col("avg_rank").alias("ra"))
-        rank_b = ranks.where(F.col("column") == b).select(F.col("value").alias("y"), F.col("avg_rank").alias("rb"))
-        ranked = joint.join(rank_a, "x").join(rank_b, "y")
-        # Average ranks always have mean (n + 1) / 2, which centres the products.
-        total = joint.agg(((F.sum("w") + 1) / 2).alias("_mid"))
-        ranked = ranked.crossJoin(F.broadcast(total)).withColumns(
-            {"ra": F.col("ra") - F.col("_mid"), "rb": F.col("rb") - F.col("_mid")}
-        )
-        frames.append(
-            ranked.agg(
-                F.sum(F.col("w") * F.col("ra") * F.col("rb")).alias("_ab"),
-                F.sum(F.col("w") * F.col("ra") * F.col("ra")).alias("_aa"),
-                F.sum(F.col("w") * F.col("rb") * F.col("rb")).alias("_bb"),
-            ).select(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                ratio(F.col("_ab"), F.sqrt("_aa") * F.sqrt("_bb")).alias("spearman"),
-            )
-        )
-    return union_all(frames)
+    if not _has_nulls(df, cols):
+        return _rank_correlations(df, cols, pairs)
+    return union_all([_rank_correlations(keep_complete(df, p), p, [p]) for p in pairs])
 
 
 def correlation(df: DataFrame, cols, min_abs: float = 0.3, top: int | None = 20) -> DataFrame:

@@ -13,7 +13,7 @@ from tablescout.functions.columns import ratio, union_all
 from tablescout.plans.counts import category_counts, distinct_counts
 from tablescout.plans.ranks import quantiles
 from tablescout.plans.stats import column_moments
-from tablescout.sources.tables import NESTED_TYPES, TIME_TYPES, parse_time
+from tablescout.sources.tables import NESTED_TYPES, TIME_TYPES
 
 # Name parts that mark a near-unique text column as an identifier.
 ID_NAME_PARTS = ("id", "uuid", "key", "code", "ref", "sku")
@@ -64,18 +64,6 @@ def infer_roles(df: DataFrame, mode: str = "reference", exact: bool = True, samp
         ],
         "ordinal int, column string, spark_type string, kind string, id_name boolean",
     )
-    strings = [c for c, k in zip(cols, kinds) if k == "string"]
-    if strings:
-        dated = df.agg(
-            *[ratio(F.count(parse_time(df, c)), F.count(c)).alias(f"_d{i}") for i, c in enumerate(strings)]
-        ).select(
-            F.inline(
-                F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_d{i}").alias("dated")) for i, c in enumerate(strings)])
-            )
-        )
-        facts = facts.join(F.broadcast(dated), "column", "left")
-    else:
-        facts = facts.withColumn("dated", F.lit(None).cast("double"))
     share = F.col("unique_count") / F.greatest(F.col("n_rows"), F.lit(1))
     role = (
         F.when(F.col("kind") == "time", "datetime")

@@ -233,26 +233,32 @@ def lag_correlation(
     rows = ordered_rows(df, ts, metrics, tie_breakers)
     shifted = {f"_{b}_{k}": (b, -k) for b in metrics[1:] for k in range(1, max_lag + 1)}
     wide = with_neighbours(rows, [], "pos", shifted)
-    grid = [(a, b, k) for a, b in pairs for k in range(1, max_lag + 1)]
+    # One row per lag, so that the aggregate has a few columns per pair and not per pair and lag.
+    by_lag = F.array(
+        *[
+            F.struct(F.lit(k).alias("lag"), *[F.col(f"_{b}_{k}").alias(f"_earlier_{b}") for b in metrics[1:]])
+            for k in range(1, max_lag + 1)
+        ]
+    )
+    long = wide.select("n_rows", *metrics[:-1], F.inline(by_lag))
     sums = []
-    for j, (a, b, k) in enumerate(grid):
-        y, x = F.col(a), F.col(f"_{b}_{k}")
+    for j, (a, b) in enumerate(pairs):
+        y, x = F.col(a), F.col(f"_earlier_{b}")
         sums += [F.regr_sxx(y, x).alias(f"_x{j}"), F.regr_syy(y, x).alias(f"_y{j}"), F.regr_sxy(y, x).alias(f"_c{j}")]
-    one = wide.agg(F.max("n_rows").alias("_rows"), *sums)
+    per_lag = long.groupBy("lag").agg(F.max("n_rows").alias("_rows"), *sums)
     cells = F.array(
         *[
             F.struct(
                 F.lit(a).alias("col_a"),
                 F.lit(b).alias("col_b"),
-                F.lit(k).alias("lag"),
                 ratio(F.col(f"_c{j}"), F.sqrt(f"_x{j}") * F.sqrt(f"_y{j}")).alias("r"),
             )
-            for j, (a, b, k) in enumerate(grid)
+            for j, (a, b) in enumerate(pairs)
         ]
     )
     strongest = F.min_by(F.struct("lag", "r"), F.struct(-F.abs("r"), F.col("lag")))
     return (
-        one.select("_rows", F.inline(cells))
+        per_lag.select("_rows", "lag", F.inline(cells))
         .where((F.col("lag") <= F.floor(F.col("_rows") / 4)) & F.col("r").isNotNull())
         .groupBy("col_a", "col_b")
         .agg(strongest.alias("_best"))
@@ -282,6 +288,7 @@ def _cycle_columns(frame: DataFrame, group: list[str]) -> DataFrame:
     # Half-way periods go to the even neighbour, as Python rounds.
     return frame.select(
         *group,
+        "n",
         F.bround(1 / frequency).cast("long").alias("dominant_period"),
         frequency.alias("dominant_freq"),
         "magnitude",

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablescout.functions.columns import union_all
+from tablescout.sources.tables import TIME_TYPES, read_time
 
 
 def category_counts(df: DataFrame, cols) -> DataFrame:
@@ -19,48 +23,79 @@ def category_counts(df: DataFrame, cols) -> DataFrame:
     )
 
 
+def _families(df: DataFrame, cols) -> dict[str, list[str]]:
+    """Columns by the type their values are compared in."""
+    out: dict[str, list[str]] = {}
+    for c in cols:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            out.setdefault("bigint", []).append(c)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            out.setdefault("double", []).append(c)
+        elif isinstance(kind, TIME_TYPES):
+            out.setdefault("timestamp_ntz", []).append(c)
+        else:
+            out.setdefault("string", []).append(c)
+    return out
+
+
 def distinct_counts(df: DataFrame, cols, exact: bool = True) -> DataFrame:
-    """``column, n_rows, n, unique_count, avg_len`` for any mix of column types.
+    """``column, n_rows, n, unique_count, avg_len, dated`` for any mix of column types.
 
-    Long strings travel as a 128-bit digest; ``exact=False`` uses sketches and needs no shuffle of values.
+    Values are counted in their own type, one pruned scan per type. ``avg_len`` and ``dated``, the share
+    of values that read as a date, are for text; they come from the distinct values. A text over 64
+    characters travels as a 128-bit digest. ``exact=False`` uses sketches, which shuffle no values.
     """
     cols = list(cols)
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    families = _families(df, cols)
+    parts = []
     if not exact:
+        texts = families.get("string", [])
         wide = df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
             *[F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)],
             *[F.approx_count_distinct(c, 0.01).alias(f"_u{i}") for i, c in enumerate(cols)],
-            *[F.avg(F.length(F.col(c).cast("string"))).alias(f"_l{i}") for i, c in enumerate(cols)],
+            *[F.avg(F.length(F.col(c).cast("string"))).alias(f"_l{i}") for i, c in enumerate(cols) if c in texts],
+            *[F.count(read_time(F.col(c).cast("string"))).alias(f"_d{i}") for i, c in enumerate(cols) if c in texts],
         )
-        rows = [
+        cells = [
             F.struct(
                 F.lit(c).alias("column"),
                 F.col(f"_n{i}").alias("n"),
                 F.col(f"_u{i}").alias("unique_count"),
-                F.col(f"_l{i}").alias("avg_len"),
+                (F.col(f"_l{i}") if c in texts else F.lit(None)).cast("double").alias("avg_len"),
+                (F.try_divide(F.col(f"_d{i}"), F.col(f"_n{i}")) if c in texts else F.lit(None)).cast("double").alias("dated"),
             )
             for i, c in enumerate(cols)
         ]
-        return wide.select("n_rows", F.inline(F.array(*rows)))
-    names = F.array(*[F.lit(c) for c in cols])
-    per_value = (
-        df.select(F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("_c", "text"))
-        .select(
-            "_c",
-            F.when(F.length("text") > 64, F.md5("text")).otherwise(F.col("text")).alias("value"),
-            F.length("text").cast("long").alias("len"),
+        parts.append(wide.select(F.inline(F.array(*cells))))
+        families = {}
+    for kind, members in families.items():
+        names = F.array(*[F.lit(c) for c in members])
+        long = df.select(F.posexplode(F.array(*[F.col(c).cast(kind) for c in members])).alias("_c", "value"))
+        if kind == "string":
+            long = long.select(
+                "_c",
+                F.when(F.length("value") > 64, F.md5("value")).otherwise(F.col("value")).alias("value"),
+                F.length("value").cast("long").alias("_len"),
+            )
+            values = long.groupBy("_c", "value").agg(F.count("value").alias("cnt"), F.sum("_len").alias("_len"))
+            # Digests hold no date, as no text of that length is one.
+            values = values.withColumn("_dated", F.when(read_time(F.col("value")).isNotNull(), F.col("cnt")).otherwise(0))
+            facts = [
+                F.try_divide(F.sum("_len"), F.sum("cnt")).alias("avg_len"),
+                F.try_divide(F.sum("_dated"), F.sum("cnt")).alias("dated"),
+            ]
+        else:
+            values = long.groupBy("_c", "value").agg(F.count("value").alias("cnt"))
+            facts = [F.lit(None).cast("double").alias("avg_len"), F.lit(None).cast("double").alias("dated")]
+        per_column = values.groupBy("_c").agg(F.sum("cnt").alias("n"), F.count("value").alias("unique_count"), *facts)
+        parts.append(
+            per_column.select(
+                F.element_at(names, F.col("_c") + 1).alias("column"), "n", "unique_count", "avg_len", "dated"
+            )
         )
-        .groupBy("_c", "value")
-        .agg(F.count("value").alias("cnt"), F.sum("len").alias("total_len"))
-    )
-    per_column = per_value.groupBy("_c").agg(
-        F.sum("cnt").alias("n"),
-        F.count("value").alias("unique_count"),
-        F.try_divide(F.sum("total_len"), F.sum("cnt")).alias("avg_len"),
-    )
-    per_column = per_column.select(F.element_at(names, F.col("_c") + 1).alias("column"), "n", "unique_count", "avg_len")
-    return per_column.crossJoin(F.broadcast(n_rows))
+    return union_all(parts).crossJoin(F.broadcast(rows))
 
 
 def pair_counts(df: DataFrame, cols, pairs=None) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Date layouts tried, in this order, on string columns.
+# The shapes of written dates and the layout each is read with.
 DATE_LAYOUTS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "yyyy-MM",
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{4}-\d{2}$", "yyyy-MM"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
 )
 
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -50,6 +50,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def read_time(text: Column) -> Column:
+    """Written dates as timestamps. Only text of a layout's shape is parsed, as failed parses are slow."""
+    trimmed = F.trim(text)
+    tries = [F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(layout))) for shape, layout in DATE_LAYOUTS]
+    return F.when(F.length(trimmed) <= 24, F.coalesce(*tries)).cast("timestamp_ntz")
+
+
 def parse_time(df: DataFrame, name: str) -> Column:
     """The column as a timestamp; text that fits no layout gives null."""
     field = df.schema[name].dataType
@@ -57,9 +64,7 @@ def parse_time(df: DataFrame, name: str) -> Column:
         return F.col(name)
     if isinstance(field, (T.TimestampType, T.DateType)):
         return F.col(name).cast("timestamp_ntz")
-    text = F.trim(F.col(name).cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return read_time(F.col(name).cast("string"))
 
 
 def time_micros(name: str) -> Column:

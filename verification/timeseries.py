@@ -156,7 +156,7 @@ _CYCLE = (
     + """, f AS (SELECT y.metric, k, max(n) AS n, sqrt(sum(y * cos(2 * pi() * ((k * idx) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((k * idx) % n) / n)) ** 2) AS m
     FROM y, (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM s))) AS k) WHERE k <= n // 2 GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY m DESC, k) AS r FROM f)
-  SELECT metric, CAST(round_even(n / k, 0) AS BIGINT) AS dominant_period, round(k / n, 4) AS dominant_freq, round(m, 4) AS magnitude FROM r WHERE r = 1"""
+  SELECT metric, CAST(n AS BIGINT) AS n, CAST(round_even(n / k, 0) AS BIGINT) AS dominant_period, round(k / n, 4) AS dominant_freq, round(m, 4) AS magnitude FROM r WHERE r = 1"""
 )
 
 query("cycles_daily", f"WITH {DAYS} {_CYCLE}")(lambda t: op.cycles(_days(t)))
