@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +30,23 @@ class Table:
 
     @classmethod
     def of(cls, df: DataFrame, tie_breakers=(), mode: str = "reference", exact: bool = True) -> "Table":
-        rows = foundation.infer_roles(df, mode=mode, exact=exact).orderBy("ordinal").collect()
-        facts = df.sparkSession.createDataFrame(rows) if rows else foundation.infer_roles(df)
+        inferred = foundation.infer_roles(df, mode=mode, exact=exact)
+        rows = inferred.orderBy("ordinal").collect()
+        facts = df.sparkSession.createDataFrame(rows, inferred.schema)
         return cls(df, facts, foundation.collect_roles(facts), {r["column"]: r["unique_count"] for r in rows}, list(tie_breakers))
 
     def categories(self, low: int, high: int) -> list[str]:
         """Categorical columns with a number of distinct values in the range."""
         return [c for c in self.roles.categorical if low <= self.unique[c] <= high]
 
+    @cached_property
+    def series(self) -> DataFrame:
+        """The ordered row series of the first numeric columns, laid out once for all analyses."""
+        return row_series(self.df, self.ts, self.roles.numeric[:5], self.tie_breakers)
+
+    def series_of(self, count: int) -> DataFrame:
+        return self.series.where(F.col("metric").isin(self.roles.numeric[:count]))
+
     @property
     def ts(self) -> str | None:
         return self.roles.datetime[0] if self.roles.datetime else None
@@ -105,9 +115,7 @@ def _time_series(t: Table) -> dict[str, DataFrame]:
         return {}
     df, num, out = t.df, t.roles.numeric, {}
     if num:
-        # One ordered series serves every analysis below.
-        series = row_series(df, t.ts, num[:5], t.tie_breakers)
-        of = lambda k: series.where(F.col("metric").isin(num[:k]))
+        of = t.series_of
         out["trend"] = timeseries.trend(of(5))
         out["growth_rate"] = timeseries.growth_rate(of(4))
         out["rolling_volatility"] = timeseries.rolling_volatility(of(4))
@@ -134,7 +142,7 @@ def _ranking(t: Table) -> dict[str, DataFrame]:
         out["composite_score"] = ranking.composite_score(df, num[:6])
         out["top_bottom"] = ranking.top_bottom(df, num[:3], num)
     if t.ts and num:
-        growth = timeseries.growth_rate(row_series(df, t.ts, num[:4], t.tie_breakers))
+        growth = timeseries.growth_rate(t.series_of(4))
         out["winners_losers"] = ranking.winners_losers(growth)
     return out
 
@@ -209,6 +217,8 @@ def analyze(
     if not blocked:
         for name in modules:
             results.update(_RUNNERS[name](table))
+    # Results are small; cached ones serve the caller and the findings with one computation.
+    results = {name: frame.persist() for name, frame in results.items()}
     told = [findings.findings_of(name, frame) for name, frame in results.items() if name in findings.RULES]
     return Analysis(results, union_all(told) if told else None, blocked)
 
@@ -227,13 +237,14 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
     """Screen one table and pool the questions and techniques that its signals suggest."""
     t = Table.of(df, tie_breakers, mode)
     num, cats, roles = t.roles.numeric, t.roles.categorical, t.role_table
+    # Each screen is small and feeds several rules, so it is cached when added.
     s: dict[str, DataFrame] = {
-        "entity_type": structure.entity_type(roles),
-        "column_roles": structure.column_roles(roles),
-        "dataset_shape": structure.dataset_shape(df),
-        "join_keys": structure.join_keys(roles),
-        "id_columns": structure.id_columns(roles),
-        "null_intent": signals.null_intent(df, num),
+        "entity_type": structure.entity_type(roles).persist(),
+        "column_roles": structure.column_roles(roles).persist(),
+        "dataset_shape": structure.dataset_shape(df).persist(),
+        "join_keys": structure.join_keys(roles).persist(),
+        "id_columns": structure.id_columns(roles).persist(),
+        "null_intent": signals.null_intent(df, num).persist(),
     }
     pooled = [
         candidates.from_entity_type(s["entity_type"]),
@@ -244,9 +255,9 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
         candidates.from_null_intent(s["null_intent"]),
     ]
     if num:
-        s["target_candidates"] = structure.target_candidates(roles, foundation.numeric_profile(df, num))
-        s["outlier_prevalence"] = signals.outlier_prevalence(df, num)
-        s["concentration_screen"] = signals.concentration_screen(df, num[:5])
+        s["target_candidates"] = structure.target_candidates(roles, foundation.numeric_profile(df, num)).persist()
+        s["outlier_prevalence"] = signals.outlier_prevalence(df, num).persist()
+        s["concentration_screen"] = signals.concentration_screen(df, num[:5]).persist()
         pooled += [
             candidates.from_targets(s["target_candidates"]),
             candidates.from_outliers(s["outlier_prevalence"]),
@@ -254,27 +265,27 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
             candidates.missing_analyses(s["entity_type"], s["target_candidates"]),
         ]
     if num or cats:
-        s["boolean_disguise"] = structure.boolean_disguise(df, num, cats)
+        s["boolean_disguise"] = structure.boolean_disguise(df, num, cats).persist()
         pooled.append(candidates.from_boolean_disguise(s["boolean_disguise"]))
     if len(num) >= 2:
-        s["correlation_opportunity"] = signals.correlation_opportunity(df, num)
-        s["anomaly_prevalence"] = signals.anomaly_prevalence(df, num[:8])
+        s["correlation_opportunity"] = signals.correlation_opportunity(df, num).persist()
+        s["anomaly_prevalence"] = signals.anomaly_prevalence(df, num[:8]).persist()
         pooled += [
             candidates.from_correlations(s["correlation_opportunity"]),
             candidates.from_anomalies(s["anomaly_prevalence"]),
             candidates.composite_opportunity(s["correlation_opportunity"], roles),
         ]
     if num and cats:
-        s["segment_variables"] = signals.segment_variables(df, num[0], cats[:5])
+        s["segment_variables"] = signals.segment_variables(df, num[0], cats[:5]).persist()
         pooled.append(candidates.from_segments(s["segment_variables"], roles))
     if t.ts:
-        s["temporal_coverage"] = signals.temporal_coverage(df, t.ts)
+        s["temporal_coverage"] = signals.temporal_coverage(df, t.ts).persist()
         pooled.append(candidates.from_temporal_coverage(s["temporal_coverage"]))
     if t.ts and num:
-        s["growth_signal"] = signals.growth_signal(df, t.ts, num[:5], tie_breakers)
+        s["growth_signal"] = signals.growth_signal(df, t.ts, num[:5], tie_breakers).persist()
         pooled.append(candidates.from_growth(s["growth_signal"]))
     if cats:
-        s["cardinality_screen"] = signals.cardinality_screen(df, cats)
+        s["cardinality_screen"] = signals.cardinality_screen(df, cats).persist()
         pooled += [candidates.from_cardinality(s["cardinality_screen"]), candidates.benchmark_opportunity(df, cats, num)]
     pooled.append(
         candidates.analysis_hypotheses(

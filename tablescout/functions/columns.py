@@ -25,7 +25,13 @@ def keep_complete(df: DataFrame, cols) -> DataFrame:
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Union by name, paired as a balanced tree so that many frames do not nest deeply."""
+    while len(frames) > 1:
+        frames = [
+            frames[i].unionByName(frames[i + 1], allowMissingColumns=True) if i + 1 < len(frames) else frames[i]
+            for i in range(0, len(frames), 2)
+        ]
+    return frames[0]
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
