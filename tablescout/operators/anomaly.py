@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.columns import keep_complete, zscore
 from tablescout.operators.foundation import duplicate_count, plain_columns
-from tablescout.plans.ranks import quantiles
+from tablescout.plans.ranks import quantile, ranked_values, value_counts
 from tablescout.plans.stats import wide_moments
 from tablescout.session import materialize
 
@@ -131,6 +131,45 @@ def train_forest(df: DataFrame, cols, trees: int = 50, sample: int = 256, seed:
     return drawn.groupBy("tree").applyInPandas(build, _TREE).collect()
 
 
+def forest_score(forest: list, cols) -> Column:
+    """An expression that scores the feature columns; the row's other columns stay in the JVM."""
+    depth = max((_deepest(t) for t in forest), default=0)
+    typical = float(np.mean(_path_length(np.array([t["size"] for t in forest])))) if forest else 1.0
+    trees = [_closed(t) for t in forest]
+    width = len(cols)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(values: pd.DataFrame) -> pd.Series:
+        points = np.ascontiguousarray(values.to_numpy(dtype=float)).ravel()
+        start = np.arange(len(values)) * width
+        total = np.zeros(len(values))
+        for feature, cut, left, right, length in trees:
+            at = np.zeros(len(values), dtype=np.int64)
+            for _ in range(depth):
+                below = points.take(start + feature.take(at)) <= cut.take(at)
+                at = np.where(below, left.take(at), right.take(at))
+            total += length.take(at)
+        return pd.Series(np.power(2.0, -total / max(len(trees), 1) / max(typical, 1e-12)))
+
+    return score(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))
+
+
+def _scored(df: DataFrame, cols, trees: int, sample: int, contamination: float, seed: int):
+    """Complete rows with their score, the written counts of each score, and the flagging limit."""
+    cols = list(cols)
+    score = forest_score(train_forest(df, cols, trees, sample, seed), cols)
+    rows = keep_complete(df, cols).withColumn("anomaly_score", score)
+    counts = materialize(value_counts(rows.select("anomaly_score"), ["anomaly_score"]))
+    limit = (
+        ranked_values(counts)
+        .groupBy("column")
+        .agg(quantile(1 - contamination).alias("_limit"), F.max("n").alias("_n"))
+        .where(F.col("_n") >= 10)
+        .select("_limit")
+    )
+    return rows, counts, limit
+
+
 def isolation_forest(
     df: DataFrame, cols, trees: int = 50, sample: int = 256, contamination: float = 0.05, seed: int = 42
 ) -> DataFrame:
@@ -138,38 +177,20 @@ def isolation_forest(
 
     Rows above the exact ``1 - contamination`` quantile of the score are flagged; ten rows at least.
     """
-    cols = list(cols)
-    rows = keep_complete(df, cols)
-    forest = train_forest(df, cols, trees, sample, seed)
-    depth = max((_deepest(t) for t in forest), default=0)
-    shared = df.sparkSession.sparkContext.broadcast([_closed(t) for t in forest])
-    typical = float(np.mean(_path_length(np.array([t["size"] for t in forest])))) if forest else 1.0
-
-    def score(batches):
-        for batch in batches:
-            points = np.ascontiguousarray(batch[cols].to_numpy(dtype=float)).ravel()
-            start = np.arange(len(batch)) * len(cols)
-            total = np.zeros(len(batch))
-            for feature, cut, left, right, length in shared.value:
-                at = np.zeros(len(batch), dtype=np.int64)
-                for _ in range(depth):
-                    below = points.take(start + feature.take(at)) <= cut.take(at)
-                    at = np.where(below, left.take(at), right.take(at))
-                total += length.take(at)
-            batch["anomaly_score"] = np.power(2.0, -total / max(len(shared.value), 1) / max(typical, 1e-12))
-            yield batch
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
-    scored = materialize(rows.mapInPandas(score, schema))
-    limit = quantiles(scored, ["anomaly_score"], {"_limit": 1 - contamination}).where(F.col("n") >= 10).select("_limit")
-    return (
-        scored.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_limit")).drop("_limit")
-    )
+    rows, _, limit = _scored(df, cols, trees, sample, contamination, seed)
+    return rows.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_limit")).drop("_limit")
 
 
-def anomaly_score(df: DataFrame, cols, **options) -> DataFrame:
-    """``n, anomaly_count, anomaly_rate, method`` by isolation forest."""
-    return _rate(isolation_forest(df, cols, **options), "isolation_forest")
+def anomaly_score(
+    df: DataFrame, cols, trees: int = 50, sample: int = 256, contamination: float = 0.05, seed: int = 42
+) -> DataFrame:
+    """``n, anomaly_count, anomaly_rate, method`` by isolation forest; rows are scored once."""
+    _, counts, limit = _scored(df, cols, trees, sample, contamination, seed)
+    over = F.when(F.col("value") > F.col("_limit"), F.col("cnt")).otherwise(0)
+    totals = counts.crossJoin(F.broadcast(limit)).groupBy().agg(F.sum("cnt").alias("n"), F.sum(over).alias("anomaly_count"))
+    return totals.where(F.col("n") > 0).select(
+        "n", "anomaly_count", (F.col("anomaly_count") / F.col("n")).alias("anomaly_rate"), F.lit("isolation_forest").alias("method")
+    )
 
 
 def duplicates(df: DataFrame, id_cols=(), time_cols=(), near_cols: int = 10) -> DataFrame:

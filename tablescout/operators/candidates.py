@@ -22,6 +22,9 @@ CONTROL_KEYWORDS = (
 )
 TARGET_KEYWORDS = ("target", "goal", "budget", "plan", "forecast", "expected")
 
+WORDS_PER_ARRAY = 200
+BROADCAST_WORDS = 10_000
+
 SCHEMA = "kind string, source string, source_order int, label string, description string, confidence double"
 
 # The order in which sources are pooled, which settles equal confidences.
@@ -327,16 +330,21 @@ def next_page(candidates: DataFrame, known_labels: DataFrame, page: int = 1, siz
 def match_frameworks(texts: DataFrame, text_id: str, text: str, frameworks: DataFrame, top: int = 3) -> DataFrame:
     """``text_id, framework, score, rank``: frameworks whose words occur in each text.
 
-    ``frameworks`` (``framework, ordinal, word, weight``) is a small dictionary, one row per word; its
-    distinct words are looked for in each whole text.
+    ``frameworks`` (``framework, ordinal, word, weight``) is a dictionary, one row per word; its distinct
+    words are looked for in each whole text, some hundred to a pass over the row.
     """
     words = [r["word"] for r in frameworks.select("word").distinct().orderBy("word").collect()]
     lowered = texts.select(F.col(text_id).alias("text_id"), F.lower(text).alias("_t"))
-    held = F.filter(F.array(*[F.when(F.contains(F.col("_t"), F.lit(w)), F.lit(w)) for w in words]), lambda w: w.isNotNull())
-    hits = lowered.select("text_id", F.explode(held).alias("word"))
+    held = [
+        F.array_compact(F.array(*[F.when(F.contains(F.col("_t"), F.lit(w)), F.lit(w)) for w in words[i : i + WORDS_PER_ARRAY]]))
+        for i in range(0, len(words), WORDS_PER_ARRAY)
+    ]
+    found = F.concat(*held) if held else F.array().cast("array<string>")
+    hits = lowered.select("text_id", F.explode(found).alias("word"))
     best = Window.partitionBy("text_id").orderBy(F.col("score").desc(), "ordinal")
+    few = len(words) <= BROADCAST_WORDS
     return (
-        hits.join(F.broadcast(frameworks), "word")
+        hits.join(F.broadcast(frameworks) if few else frameworks, "word")
         .groupBy("text_id", "framework", "ordinal")
         .agg(F.sum("weight").alias("score"))
         .withColumn("rank", F.row_number().over(best))

@@ -17,7 +17,7 @@ from tablescout.functions.columns import (
 )
 from tablescout.functions.tails import chi2_upper, f_upper, slope_p_value
 from tablescout.plans.counts import PAIR_KEY, category_counts, distinct_counts, full_table, pair_counts, with_margins
-from tablescout.plans.ranks import average_ranks, quantiles, ranked_values, quantile, value_counts
+from tablescout.plans.ranks import attach_ranks, average_ranks, quantile, quantiles, ranked_values, value_counts
 from tablescout.plans.stats import column_moments, complete_pair_statistics, pair_list, pair_statistics
 
 
@@ -119,10 +119,6 @@ def _has_nulls(df: DataFrame, cols) -> bool:
     return any(row[f"_{i}"] != row["n"] for i in range(len(cols)))
 
 
-def _rank_table(df: DataFrame, column: str) -> DataFrame:
-    return average_ranks(value_counts(df, [column])).select(F.col("value").alias(column), F.col("avg_rank").alias(f"_rank_{column}"))
-
-
 def _rank_correlations(df: DataFrame, cols, pairs) -> DataFrame:
     """Rank correlations of ``pairs`` over rows complete in ``cols``.
 
@@ -132,7 +128,7 @@ def _rank_correlations(df: DataFrame, cols, pairs) -> DataFrame:
     joint = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
     total = joint.agg(((F.sum("_w") + 1) / 2).alias("_mid"))
     for c in cols:
-        joint = joint.join(_rank_table(df, c), c)
+        joint = attach_ranks(joint, c, average_ranks(value_counts(df, [c])), F.col("avg_rank"), f"_rank_{c}")
     # Average ranks always have mean (n + 1) / 2, which centres the products.
     ranked = joint.crossJoin(F.broadcast(total)).select("_w", *[(F.col(f"_rank_{c}") - F.col("_mid")).alias(c) for c in cols])
     squares = [F.sum(F.col("_w") * F.col(c) * F.col(c)).alias(f"_s{i}") for i, c in enumerate(cols)]
@@ -381,6 +377,11 @@ def anova(df: DataFrame, segment: str, metrics, p_values: bool = True) -> DataFr
     return out.withColumn("significant", F.col("p_value") < 0.05) if p_values else out
 
 
+def _few_groups(df: DataFrame, segment: str, limit: int = 10_000) -> bool:
+    """Are the groups few enough to broadcast a row of facts for each?"""
+    return df.select(segment).distinct().limit(limit + 1).count() <= limit
+
+
 def levene(df: DataFrame, segment: str, metrics, p_values: bool = True) -> DataFrame:
     """Median-centred test of equal variances: ``metric_col, statistic, df1, df2, p_value, equal_variance``.
 
@@ -391,13 +392,14 @@ def levene(df: DataFrame, segment: str, metrics, p_values: bool = True) -> DataF
     medians = ranked_values(counts, by=["_group"]).groupBy("_group", "column").agg(quantile(0.5).alias("_median"))
     gap = F.abs(F.col("value") - F.col("_median"))
     # Moments of the deviations with weights, about a mean taken in a first pass for accuracy.
-    deviations = counts.join(F.broadcast(medians), ["_group", "column"]).select("_group", "column", "cnt", gap.alias("d"))
+    few = _few_groups(df, segment)
+    deviations = counts.join(F.broadcast(medians) if few else medians, ["_group", "column"]).select("_group", "column", "cnt", gap.alias("d"))
     means = deviations.groupBy("_group", "column").agg(
         F.sum("cnt").alias("n"), (F.sum(F.col("cnt") * F.col("d")) / F.sum("cnt")).alias("mean")
     )
     off = F.col("d") - F.col("mean")
     groups = (
-        deviations.join(F.broadcast(means), ["_group", "column"])
+        deviations.join(F.broadcast(means) if few else means, ["_group", "column"])
         .groupBy("_group", F.col("column").alias("metric_col"))
         .agg(
             F.max("n").alias("n"),

@@ -175,8 +175,13 @@ def field_profile(df: DataFrame, numeric=(), categorical=()) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame, cols, name: str = "duplicate_count") -> DataFrame:
-    """Rows beyond the first of each distinct combination; nulls equal each other."""
-    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
+    """Rows beyond the first of each distinct combination; nulls equal each other.
+
+    Long texts are compared by a 128-bit digest, so they are not shuffled.
+    """
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    short = lambda c: F.when(F.length(c) > 64, F.md5(c)).otherwise(F.col(c)).alias(c) if c in texts else F.col(c)
+    copies = df.select(*[short(c) for c in cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
     return copies.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias(name))
 
 

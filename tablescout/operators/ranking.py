@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablescout.functions.columns import keep_complete, ratio, zscore
-from tablescout.plans.ranks import average_ranks, quantiles, value_counts
+from tablescout.plans.ranks import attach_ranks, average_ranks, quantiles, value_counts
 from tablescout.plans.stats import wide_moments
 
 
@@ -29,14 +29,8 @@ def percentile_ranking(df: DataFrame, cols) -> DataFrame:
 
 
 def with_percentile_rank(df: DataFrame, col: str, name: str = "pct_rank") -> DataFrame:
-    """The input rows with the average-tie rank of ``col`` divided by its number of values.
-
-    Rows join the rank of their value; a value that many rows share is split by adaptive skew handling.
-    """
-    ranks = average_ranks(value_counts(df, [col])).select(
-        F.col("value").alias("_v"), (F.col("avg_rank") / F.col("n")).alias(name)
-    )
-    return df.withColumn("_v", F.col(col).cast("double")).join(ranks, "_v", "left").drop("_v")
+    """The input rows with the average-tie rank of ``col`` divided by its number of values."""
+    return attach_ranks(df, col, average_ranks(value_counts(df, [col])), F.col("avg_rank") / F.col("n"), name)
 
 
 def composite_scores(df: DataFrame, cols) -> DataFrame:

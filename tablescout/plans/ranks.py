@@ -131,3 +131,30 @@ def average_ranks(counts: DataFrame, by=()) -> DataFrame:
     """``by..., column, value, avg_rank``: tied values share the mean of their 1-based ranks."""
     ranked = ranked_values(counts, by)
     return ranked.select(*by, "column", "value", "cnt", "n", (F.col("before") + (F.col("cnt") + 1) / 2).alias("avg_rank"))
+
+
+# A value is hot when it holds over a thousandth of its column: at most this many values can.
+HOT_VALUES = 1_000
+_SALTS = 64
+
+
+def attach_ranks(rows: DataFrame, column: str, ranks: DataFrame, rank: Column, name: str) -> DataFrame:
+    """Add to each row the rank of its value; rows without a value get null.
+
+    ``ranks`` comes from ``average_ranks``. The few hot values are broadcast, and their rows then spread
+    over the join that serves all other values.
+    """
+    table = ranks.select(F.col("value").alias("_value"), rank.alias("_rank"), (F.col("cnt") * HOT_VALUES > F.col("n")).alias("_hot"))
+    hot = F.broadcast(table.where("_hot").select("_value", F.col("_rank").alias("_hot_rank")))
+    cold = table.where(~F.col("_hot")).select("_value", "_rank", F.lit(-1).cast("long").alias("_salt"))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]) + F.spark_partition_id(), F.lit(_SALTS))
+    settled = F.col("_hot_rank").isNotNull() | F.col("_value").isNull()
+    return (
+        rows.withColumn("_spread", spread)
+        .withColumn("_value", F.col(column).cast("double"))
+        .join(hot, "_value", "left")
+        .withColumn("_salt", F.when(settled, F.col("_spread")).otherwise(F.lit(-1)))
+        .join(cold, ["_value", "_salt"], "left")
+        .withColumn(name, F.coalesce("_hot_rank", "_rank"))
+        .drop("_value", "_salt", "_spread", "_hot_rank", "_rank")
+    )
