@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tablescout.functions.columns import ratio, union_all, zscore
 from tablescout.plans.counts import category_counts
 from tablescout.plans.ranks import ranked_values, value_counts
-from tablescout.plans.stats import column_moments
+from tablescout.plans.stats import column_moments, tally
 from tablescout.sources.tables import with_time
 
 
@@ -212,18 +212,9 @@ def benchmark(df: DataFrame, cols, entity: str | None = None) -> DataFrame:
     """``column, mean, std, above_2std_count, below_2std_count`` for four values or more; nulls are no outliers."""
     rows = _amounts(df, cols, entity)
     limits = column_moments(rows, cols).where(F.col("n") >= 4).select("column", "mean", "std")
-    z = zscore("value", "mean", "std")
-    return (
-        value_counts(rows, cols)
-        .join(F.broadcast(limits), "column")
-        .withColumn("_z", z)
-        .groupBy("column")
-        .agg(
-            F.max("mean").alias("mean"),
-            F.max("std").alias("std"),
-            F.sum(F.when(F.col("_z") > 2, F.col("cnt")).otherwise(0)).alias("above_2std_count"),
-            F.sum(F.when(F.col("_z") < -2, F.col("cnt")).otherwise(0)).alias("below_2std_count"),
-        )
+    z = lambda v, at: F.when(at("std") > 0, (v - at("mean")) / at("std"))
+    return tally(
+        rows, cols, limits, {"above_2std_count": lambda v, at: z(v, at) > 2, "below_2std_count": lambda v, at: z(v, at) < -2}
     )
 
 

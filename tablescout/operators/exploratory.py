@@ -17,14 +17,14 @@ from tablescout.functions.columns import (
 )
 from tablescout.functions.tails import chi2_upper, f_upper, slope_p_value
 from tablescout.plans.counts import PAIR_KEY, category_counts, distinct_counts, full_table, pair_counts, with_margins
-from tablescout.plans.ranks import attach_ranks, average_ranks, quantile, quantiles, ranked_values, value_counts
-from tablescout.plans.stats import column_moments, complete_pair_statistics, pair_list, pair_statistics
+from tablescout.plans.ranks import attach_ranks, average_ranks, quantile, quantiles, ranked_quantiles, ranked_values, value_counts
+from tablescout.plans.stats import column_moments, complete_pair_statistics, pair_list, pair_statistics, tally
 
 
 def distribution(df: DataFrame, cols) -> DataFrame:
     """``column, n, skewness, kurtosis, iqr, shape`` for columns with at least four values."""
     moments = column_moments(df, cols).where(F.col("n") >= 4)
-    spread = quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).drop("n", "unique_count")
+    spread = quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).drop("n")
     # A constant column has no moments about its mean; the adjusted forms are then zero.
     skew = F.when(F.col("std") > 0, adjusted_skewness("skew_pop", "n")).otherwise(F.lit(0.0))
     kurt = F.when(F.col("std") > 0, adjusted_kurtosis("kurt_pop", "n")).otherwise(F.lit(0.0))
@@ -42,7 +42,7 @@ def distribution(df: DataFrame, cols) -> DataFrame:
 
 def fences(df: DataFrame, cols) -> DataFrame:
     """``column, n, mean, std, lower_fence, upper_fence`` from quartiles and moments."""
-    spread = quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).drop("n", "unique_count")
+    spread = quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).drop("n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return (
         column_moments(df, cols)
@@ -60,20 +60,16 @@ def _outside_fences() -> Column:
 def outliers(df: DataFrame, cols) -> DataFrame:
     """Per column: values outside the quartile fences and values beyond three deviations."""
     limits = fences(df, cols).where(F.col("n") >= 4)
-    return (
-        value_counts(df, cols)
-        .join(F.broadcast(limits), "column")
-        .withColumn("_z", F.abs(zscore("value", "mean", "std")))
-        .groupBy("column")
-        .agg(
-            F.max("n").alias("n"),
-            F.sum(F.when(_outside_fences(), F.col("cnt")).otherwise(0)).alias("iqr_outlier_count"),
-            F.sum(F.when(F.col("_z") > 3, F.col("cnt")).otherwise(0)).alias("zscore_outlier_count"),
-            F.max("lower_fence").alias("lower_fence"),
-            F.max("upper_fence").alias("upper_fence"),
-        )
-        .withColumn("iqr_outlier_pct", F.col("iqr_outlier_count") / F.col("n"))
+    counted = tally(
+        df,
+        cols,
+        limits,
+        {
+            "iqr_outlier_count": lambda v, at: (v < at("lower_fence")) | (v > at("upper_fence")),
+            "zscore_outlier_count": lambda v, at: (at("std") > 0) & (F.abs(ratio(v - at("mean"), at("std"))) > 3),
+        },
     )
+    return counted.drop("mean", "std").withColumn("iqr_outlier_pct", F.col("iqr_outlier_count") / F.col("n"))
 
 
 def flag_outliers(df: DataFrame, col: str) -> DataFrame:
@@ -282,7 +278,7 @@ def segment_comparison(df: DataFrame, segment: str, metrics) -> DataFrame:
     by = F.col(segment).cast("string")
     base = df.where(F.col(segment).isNotNull()).withColumn("group", by)
     moments = column_moments(base, metrics, by=["group"]).drop("min", "max", "skew_pop", "kurt_pop", "n_rows")
-    medians = quantiles(base, metrics, {"median": 0.5}, by=["group"]).drop("n", "unique_count")
+    medians = ranked_quantiles(base, metrics, {"median": 0.5}, by=["group"]).drop("n", "unique_count")
     overall = column_moments(df, metrics).select("column", F.col("mean").alias("_overall"))
     return (
         moments.join(medians, ["group", "column"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tablescout.functions.columns import ratio, union_all
 from tablescout.plans.counts import category_counts, distinct_counts
-from tablescout.plans.ranks import quantiles
+from tablescout.plans.ranks import ranked_quantiles
 from tablescout.plans.stats import column_moments
 from tablescout.sources.tables import NESTED_TYPES, TIME_TYPES
 
@@ -116,7 +116,7 @@ def detect(df: DataFrame, **options) -> Roles:
 def numeric_profile(df: DataFrame, cols) -> DataFrame:
     """``column, n, mean, std, min, max, p25, p50, p75, null_rate, unique_count, range, cv``; all-null columns are left out."""
     moments = column_moments(df, cols)
-    points = quantiles(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
+    points = ranked_quantiles(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
     return moments.join(F.broadcast(points), "column").select(
         "column",
         "n",

@@ -8,23 +8,20 @@ from pyspark.sql.window import Window
 
 from tablescout.functions.columns import keep_complete, ratio, zscore
 from tablescout.plans.ranks import attach_ranks, average_ranks, quantiles, value_counts
-from tablescout.plans.stats import wide_moments
+from tablescout.plans.stats import tally, wide_moments
 
 
 def percentile_ranking(df: DataFrame, cols) -> DataFrame:
     """``column, p90_threshold, p10_threshold, top_10pct_count, bottom_10pct_count``."""
-    points = quantiles(df, cols, {"p90_threshold": 0.9, "p10_threshold": 0.1}).drop("n", "unique_count")
-    v, c = F.col("value"), F.col("cnt")
-    return (
-        value_counts(df, cols)
-        .join(F.broadcast(points), "column")
-        .groupBy("column")
-        .agg(
-            F.max("p90_threshold").alias("p90_threshold"),
-            F.max("p10_threshold").alias("p10_threshold"),
-            F.sum(F.when(v >= F.col("p90_threshold"), c).otherwise(0)).alias("top_10pct_count"),
-            F.sum(F.when(v <= F.col("p10_threshold"), c).otherwise(0)).alias("bottom_10pct_count"),
-        )
+    points = quantiles(df, cols, {"p90_threshold": 0.9, "p10_threshold": 0.1}).drop("n")
+    return tally(
+        df,
+        cols,
+        points,
+        {
+            "top_10pct_count": lambda v, at: v >= at("p90_threshold"),
+            "bottom_10pct_count": lambda v, at: v <= at("p10_threshold"),
+        },
     )
 
 
@@ -102,25 +99,20 @@ def _tier():
 
 def _tier_limits(df: DataFrame, cols) -> DataFrame:
     points = quantiles(df, cols, {"low_threshold": 0.33, "high_threshold": 0.67})
-    return points.where(F.col("n") >= 6).drop("unique_count")
+    return points.where(F.col("n") >= 6)
 
 
 def tiers(df: DataFrame, cols) -> DataFrame:
     """``column, low_threshold, high_threshold`` with the count and share of each tier."""
-    counted = (
-        value_counts(df, cols)
-        .join(F.broadcast(_tier_limits(df, cols)), "column")
-        .withColumn("_tier", _tier())
-        .groupBy("column")
-        .agg(
-            F.max("low_threshold").alias("low_threshold"),
-            F.max("high_threshold").alias("high_threshold"),
-            F.max("n").alias("n"),
-            *[
-                F.sum(F.when(F.col("_tier") == t, F.col("cnt")).otherwise(0)).alias(f"{t}_count")
-                for t in ("low", "mid", "high")
-            ],
-        )
+    counted = tally(
+        df,
+        cols,
+        _tier_limits(df, cols),
+        {
+            "low_count": lambda v, at: v < at("low_threshold"),
+            "mid_count": lambda v, at: (v >= at("low_threshold")) & (v < at("high_threshold")),
+            "high_count": lambda v, at: v >= at("high_threshold"),
+        },
     )
     return counted.withColumns({f"{t}_pct": F.col(f"{t}_count") / F.col("n") for t in ("low", "mid", "high")}).drop("n")
 

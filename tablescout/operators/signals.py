@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions.columns import keep_complete, ratio, zscore
+from tablescout.functions.columns import keep_complete, ratio
 from tablescout.operators.business import gini
 from tablescout.operators.timeseries import split_rows, time_positions
 from tablescout.plans.counts import distinct_counts
-from tablescout.plans.ranks import quantile, ranked_values, value_counts
-from tablescout.plans.stats import column_moments, pair_list, pair_statistics, wide_moments
+from tablescout.plans.ranks import quantile, ranked_values
+from tablescout.plans.stats import column_moments, pair_list, pair_statistics, tally, wide_moments
 from tablescout.sources.tables import time_micros, with_time
 
 DAY_MICROS = 86_400_000_000
@@ -49,13 +49,8 @@ def null_intent(df: DataFrame, numeric=()) -> DataFrame:
 def outlier_prevalence(df: DataFrame, cols) -> DataFrame:
     """``column, extreme_pct``: share of values beyond three deviations (ten values or more, not constant)."""
     limits = column_moments(df, cols).where((F.col("n") >= 10) & (F.col("std") > 0)).select("column", "n", "mean", "std")
-    far = F.abs(zscore("value", "mean", "std")) > 3
-    return (
-        value_counts(df, cols)
-        .join(F.broadcast(limits), "column")
-        .groupBy("column")
-        .agg((F.sum(F.when(far, F.col("cnt")).otherwise(0)) / F.max("n")).alias("extreme_pct"))
-    )
+    counted = tally(df, cols, limits, {"_far": lambda v, at: F.abs(ratio(v - at("mean"), at("std"))) > 3})
+    return counted.select("column", (F.col("_far") / F.col("n")).alias("extreme_pct"))
 
 
 def correlation_opportunity(df: DataFrame, cols, min_abs: float = 0.5, top: int = 5) -> DataFrame:

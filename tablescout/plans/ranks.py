@@ -117,8 +117,11 @@ def quantile(p: float) -> Column:
     return low + (high - low) * weight
 
 
-def quantiles(df: DataFrame, cols, probabilities: dict[str, float], by=()) -> DataFrame:
-    """``by..., column, n, unique_count`` and one column per named probability; exact."""
+def ranked_quantiles(df: DataFrame, cols, probabilities: dict[str, float], by=()) -> DataFrame:
+    """``by..., column, n, unique_count`` and one column per named probability; exact.
+
+    Ranks all distinct values, which also counts them and serves any number of groups.
+    """
     ranked = ranked_values(value_counts(df, cols, by), by)
     return ranked.groupBy(*by, "column").agg(
         F.max("n").alias("n"),
@@ -127,6 +130,85 @@ def quantiles(df: DataFrame, cols, probabilities: dict[str, float], by=()) -> Da
     )
 
 
+# Rank error of a sketch is at most one part in SKETCH_ACCURACY; brackets reach four parts to each side.
+SKETCH_ACCURACY = 10_000
+_REACH = 4 / SKETCH_ACCURACY
+# Below this many values four parts are only a few ranks, and the bracket is the whole column instead.
+SMALL_COLUMN = 100_000
+
+
+def quantiles(df: DataFrame, cols, probabilities: dict[str, float]) -> DataFrame:
+    """``column, n`` and one column per named probability; exact, with little to shuffle.
+
+    A sketch brackets each quantile, one scan counts the values below the bracket, another keeps those
+    inside it, and only these are ranked. A quantile outside its bracket would raise an error.
+    """
+    cols, names, points = list(cols), list(probabilities), list(probabilities.values())
+    values = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    edges = [e for p in points for e in (max(0.0, p - _REACH), min(1.0, p + _REACH))]
+    sketch = values.agg(
+        *[F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(cols))],
+        *[F.min(f"_x{i}").alias(f"_min{i}") for i in range(len(cols))],
+        *[F.max(f"_x{i}").alias(f"_max{i}") for i in range(len(cols))],
+        *[F.percentile_approx(f"_x{i}", edges, SKETCH_ACCURACY).alias(f"_e{i}") for i in range(len(cols))],
+    )
+    small = lambda i: F.col(f"_n{i}") < SMALL_COLUMN
+    cells = [(i, j) for i in range(len(cols)) for j in range(len(points))]
+    bounds = sketch.select(
+        *[f"_n{i}" for i in range(len(cols))],
+        *[F.when(small(i), F.col(f"_min{i}")).otherwise(F.col(f"_e{i}")[2 * j]).alias(f"_lo{i}_{j}") for i, j in cells],
+        *[F.when(small(i), F.col(f"_max{i}")).otherwise(F.col(f"_e{i}")[2 * j + 1]).alias(f"_hi{i}_{j}") for i, j in cells],
+    )
+    wide = values.crossJoin(F.broadcast(bounds))
+    x, low, high = (lambda i: F.col(f"_x{i}")), (lambda i, j: F.col(f"_lo{i}_{j}")), (lambda i, j: F.col(f"_hi{i}_{j}"))
+    below = wide.agg(
+        *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(cols))],
+        *[F.count_if(x(i) < low(i, j)).alias(f"_b{i}_{j}") for i, j in cells],
+    ).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f"{i}:{j}").alias("column"),
+                        F.lit(cols[i]).alias("_name"),
+                        F.lit(j).alias("_j"),
+                        F.lit(float(points[j])).alias("_p"),
+                        F.col(f"_n{i}").alias("_rows"),
+                        F.col(f"_b{i}_{j}").alias("_below"),
+                    )
+                    for i, j in cells
+                ]
+            )
+        )
+    )
+    inside = F.array_compact(
+        F.array(
+            *[
+                F.when((x(i) >= low(i, j)) & (x(i) <= high(i, j)), F.struct(F.lit(f"{i}:{j}").alias("column"), x(i).alias("value")))
+                for i, j in cells
+            ]
+        )
+    )
+    kept = wide.select(F.inline(inside)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    at = (F.col("_rows") - 1) * F.col("_p")
+    ranked = ranked_values(kept).join(F.broadcast(below), "column").withColumn("before", F.col("before") + F.col("_below"))
+    found = ranked.groupBy("_name", "_j").agg(
+        F.max("_rows").alias("n"),
+        value_at(F.floor(at)).alias("_v0"),
+        value_at(F.ceil(at)).alias("_v1"),
+        F.max(at - F.floor(at)).alias("_weight"),
+    )
+    missed = F.col("_v0").isNull() | F.col("_v1").isNull()
+    value = F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(
+        F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_weight")
+    )
+    return (
+        found.select("_name", "_j", "n", value.cast("double").alias("_v"))
+        .groupBy(F.col("_name").alias("column"))
+        .agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(name) for j, name in enumerate(names)])
+    )
+
+
 def average_ranks(counts: DataFrame, by=()) -> DataFrame:
     """``by..., column, value, avg_rank``: tied values share the mean of their 1-based ranks."""
     ranked = ranked_values(counts, by)

@@ -58,6 +58,27 @@ def wide_moments(df: DataFrame, cols) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_complete"), *aggregates)
 
 
+def tally(df: DataFrame, cols, limits: DataFrame, conditions) -> DataFrame:
+    """``limits`` with one more column per condition: how many values of each column meet it.
+
+    ``limits`` has a row per column and becomes one broadcast row. ``conditions`` maps a name to a
+    function of the value and of a look-up of that column's limits. One scan, nothing shuffled.
+    """
+    cols = list(cols)
+    fields = [f for f in limits.columns if f != "column"]
+    one_row = limits.groupBy().agg(
+        *[F.max(F.when(F.col("column") == c, F.col(f))).alias(f"_{f}_{i}") for i, c in enumerate(cols) for f in fields]
+    )
+    wide = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).crossJoin(F.broadcast(one_row))
+    counts, rows = [], []
+    for i, c in enumerate(cols):
+        look = lambda f, i=i: F.col(f"_{f}_{i}")
+        counts += [F.count_if(test(F.col(f"_x{i}"), look)).alias(f"_k{i}_{name}") for name, test in conditions.items()]
+        rows.append(F.struct(F.lit(c).alias("column"), *[F.col(f"_k{i}_{name}").alias(name) for name in conditions]))
+    counted = wide.agg(*counts).select(F.inline(F.array(*rows)))
+    return limits.join(F.broadcast(counted), "column")
+
+
 def pair_list(cols) -> list[tuple[str, str]]:
     return list(combinations(cols, 2))
 

@@ -20,15 +20,28 @@ def noisy(n=500, seed=1):
 def test_quantiles_match_linear_interpolation(spark, partitions):
     pdf = noisy()
     df = spark.createDataFrame(pdf).repartition(partitions)
-    got = rows(ranks.quantiles(df, ["x", "y"], {"a": 0.1, "b": 0.5, "c": 0.99}), "column")
-    for row in got:
-        assert [row["a"], row["b"], row["c"]] == pytest.approx(list(pdf[row["column"]].quantile([0.1, 0.5, 0.99])))
-        assert row["unique_count"] == pdf[row["column"]].nunique()
+    points = {"a": 0.1, "b": 0.5, "c": 0.99, "d": 0.0, "e": 1.0}
+    for way in (ranks.quantiles, ranks.ranked_quantiles):
+        for row in rows(way(df, ["x", "y"], points), "column"):
+            assert [row[k] for k in points] == pytest.approx(list(pdf[row["column"]].quantile(list(points.values()))))
+            assert row.get("unique_count") in (None, pdf[row["column"]].nunique())
+
+
+def test_bracketed_quantiles_of_a_large_skewed_column(spark, monkeypatch):
+    """Above the small size only the bracket is ranked, whatever the order and the hot values."""
+    monkeypatch.setattr(ranks, "SMALL_COLUMN", 1_000)
+    g = np.random.default_rng(6)
+    x = np.concatenate([np.full(20_000, 3.0), g.lognormal(0, 3, 40_000)])
+    for values in (np.sort(x), g.permutation(x)):
+        df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(5)
+        points = {"a": 0.0005, "b": 0.1, "c": 0.5, "d": 0.67, "e": 0.9999}
+        got = rows(ranks.quantiles(df, ["x"], points))[0]
+        assert [got[k] for k in points] == pytest.approx(list(np.quantile(x, list(points.values()))), rel=1e-12)
 
 
 def test_grouped_quantiles(spark):
     pdf = noisy()
-    got = rows(ranks.quantiles(spark.createDataFrame(pdf), ["x"], {"m": 0.5}, by=["g"]), "g")
+    got = rows(ranks.ranked_quantiles(spark.createDataFrame(pdf), ["x"], {"m": 0.5}, by=["g"]), "g")
     assert [r["m"] for r in got] == pytest.approx(list(pdf.groupby("g")["x"].median()))
 
 
