@@ -27,15 +27,13 @@ def _range_of(value: str, bounds: str, ranges: int) -> Column:
     """How many bounds lie below the value, by binary search in the sorted array."""
     steps, step = [], ranges // 2
     while step:
-        steps.append(step)
+        steps.append(str(step))
         step //= 2
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, s: F.when(F.element_at(F.col(bounds), at + s) < F.col(value), at + s).otherwise(at),
-    )
     # Never null, so the later join on it adds no second evaluation as a null check.
-    return F.coalesce(found, F.lit(0))
+    return F.expr(
+        f"coalesce(aggregate(array({', '.join(steps)}), 0,"
+        f" (at, s) -> if(element_at({bounds}, at + s) < {value}, at + s, at)), 0)"
+    )
 
 
 def value_counts(df: DataFrame, cols, by=()) -> DataFrame:
@@ -57,13 +55,14 @@ def ranked_values(counts: DataFrame, by=(), descending: bool = False) -> DataFra
     by = list(by)
     group = [*by, "column"]
     ranges = _range_count(counts)
-    cuts = [i / ranges for i in range(1, ranges)]
+    # Written as text: a large cluster has thousands of cuts, too many to build one expression each.
+    cuts = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
     ordered = counts.withColumn("_key", -F.col("value") if descending else F.col("value"))
     # The always-true filter keeps `cnt` in this branch, so Spark can reuse the counting shuffle.
     bounds = (
         ordered.where(F.col("cnt") > 0)
         .groupBy("column")
-        .agg(F.percentile_approx("_key", cuts, max(10_000, 20 * ranges)).alias("_bounds"))
+        .agg(F.expr(f"percentile_approx(_key, array({cuts}), {max(10_000, 20 * ranges)})").alias("_bounds"))
     )
     cut = (
         ordered.join(F.broadcast(bounds), "column")
