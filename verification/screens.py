@@ -28,17 +28,17 @@ def _(t):
 def _(t):
     df = t.events.select("user_id", "value", (F.col("value") * F.col("value")).alias("spend"), (F.col("user_id") % 5).alias("lane"))
     cols = ["user_id", "value", "spend", "lane"]
-    return st.target_candidates(fo.infer_roles(df), fo.numeric_profile(df, cols))
+    return st.target_candidates(fo.infer_roles(df, mode="strict"), fo.numeric_profile(df, cols))
 
 
 @query(
     "column_roles",
-    """SELECT * FROM (VALUES ('o_orderkey', 0, 'identifier'), ('o_custkey', 1, 'metric'), ('o_orderstatus', 2, 'dimension'), ('o_totalprice', 3, 'identifier'),
+    """SELECT * FROM (VALUES ('o_orderkey', 0, 'identifier'), ('o_custkey', 1, 'metric'), ('o_orderstatus', 2, 'dimension'), ('o_totalprice', 3, 'metric'),
       ('o_orderdate', 4, 'time axis'), ('o_orderpriority', 5, 'dimension'), ('late', 6, 'unknown')) v("column", ordinal, role)""",
 )
 def _(t):
     df = t.orders.withColumn("late", F.col("o_orderstatus") == "O")
-    return st.column_roles(fo.infer_roles(df))
+    return st.column_roles(fo.infer_roles(df, mode="strict"))
 
 
 @query("dataset_shape", "SELECT CASE WHEN 4 / count(*) > 0.5 THEN 'wide' ELSE 'long' END AS shape, count(*) AS n_rows, CAST(4 AS BIGINT) AS n_cols, round(4 / count(*), 4) AS col_row_ratio FROM supplier")
@@ -241,7 +241,7 @@ def _(t):
 )
 def _(t):
     df = t.events
-    roles = fo.infer_roles(df)
+    roles = fo.infer_roles(df, mode="strict")
     targets = st.target_candidates(roles, fo.numeric_profile(df, ["user_id", "value"]))
     return ca.missing_analyses(st.entity_type(roles), targets).select("kind", "label", "confidence")
 
