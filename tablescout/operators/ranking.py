@@ -134,9 +134,7 @@ def winners_losers(growth: DataFrame, subject="metric", top: int = 2) -> DataFra
     With one row per metric the table is small; ranking entities takes ``entity_winners_losers``.
     """
     ordered = Window.orderBy(F.col("total_pct_change").desc(), subject)
-    ranked = growth.select(
-        subject, "total_pct_change", F.row_number().over(ordered).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n")
-    )
+    ranked = growth.select(subject, "total_pct_change", F.row_number().over(ordered).alias("rank"))
     worst = F.row_number().over(Window.orderBy(F.col("total_pct_change").asc(), F.col(subject).desc()))
     return (
         ranked.withColumn("_worst", worst)
@@ -146,7 +144,7 @@ def winners_losers(growth: DataFrame, subject="metric", top: int = 2) -> DataFra
             .when((F.col("_worst") <= top) & (F.col("total_pct_change") < 0), "loser")
             .otherwise("neutral"),
         )
-        .drop("_worst", "_n")
+        .drop("_worst")
     )
 
 

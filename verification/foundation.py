@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablescout.operators import foundation as op
 from tablescout.operators.sampling import representative_rows
 from tablescout.sources.tables import with_time
-from verification.registry import GAPPY, MEASURES, long_sql, query, text_sql
+from verification.registry import GAPPY, long_sql, query, text_sql
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablescout.operators import timeseries as op
 from tablescout.plans.sequence import calendar_series, row_series
-from verification.registry import GAPPY, LINE_ORDER, MEASURES, query
+from verification.registry import GAPPY, LINE_ORDER, query
 
 SERIES = ["l_quantity", "l_extendedprice", "l_discount"]
 ORDER_SQL = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
