@@ -160,6 +160,15 @@ _CYCLE = (
 )
 
 query("cycles_daily", f"WITH {DAYS} {_CYCLE}")(lambda t: op.cycles(_days(t)))
+_CYCLE_USER = """, b AS (SELECT *, least(5, n // 2) AS w FROM s WHERE n >= 8),
+  y AS (SELECT user_id, metric, idx, n, CASE WHEN w = 5 THEN value - avg(value) OVER (PARTITION BY user_id, metric ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+    ELSE value - avg(value) OVER (PARTITION BY user_id, metric ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS y FROM b),
+  f AS (SELECT user_id, metric, k, max(n) AS n, sqrt(sum(y * cos(2 * pi() * ((k * idx) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((k * idx) % n) / n)) ** 2) AS m
+    FROM y, (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM s))) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric ORDER BY m DESC, k) AS r FROM f)
+  SELECT user_id, metric, CAST(n AS BIGINT) AS n, CAST(round_even(n / k, 0) AS BIGINT) AS dominant_period, round(k / n, 4) AS dominant_freq, round(m, 4) AS magnitude FROM r WHERE r = 1"""
+
+query("cycles_by_user", f"WITH {USERS} {_CYCLE_USER}")(lambda t: op.cycles(_users(t), ["user_id"]))
 query("cycles_rows_long")(lambda t: op.long_cycles(_rows(t)))
 
 
