@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tablescout.llm import exact_dedup, mixing, packing, simhash  # noqa: F401
+from tablescout.llm import (  # noqa: F401
+    decontamination,
+    exact_dedup,
+    html_text,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+)
 from tablescout.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

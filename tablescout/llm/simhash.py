@@ -102,14 +102,14 @@ def linked_pairs(nodes: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select("fp", "s.*")
-    sizes = ring.groupBy("part", "segment").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = ring.groupBy("part", "segment").agg(F.count("*").alias("n"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shared = settle(sizes.select("part", "segment", (F.col("n") > SEGMENT_ROWS).alias("full"), spread))
-    ring = settle(
-        ring.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(shared, ["part", "segment", "salt"])
-    )
+    full = settle(sizes.where(F.col("n") > SEGMENT_ROWS).select("part", "segment", F.lit(True).alias("full"), spread))
+    ring = ring.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    ring = settle(ring.join(full, ["part", "segment", "salt"], "left"))
 
-    groups = ring.where("NOT full").groupBy("part", "segment").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    groups = ring.where("full IS NULL").groupBy("part", "segment").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    groups = groups.where(F.size("fps") > 1)
     pairs = groups.select("part", F.posexplode("fps").alias("at", "a"), "fps").select(
         "part", "a", F.explode(F.slice("fps", F.col("at") + 2, SEGMENT_ROWS)).alias("b")
     )
