@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tablescout.llm import quality as Q
 from tablescout.llm import toxicity as T
 
-FOLDER = "/root/testdata/sf0.01"
+# The smaller tables have 50 toxic labels, several of them wrong.
+FOLDER = "/root/testdata/sf0.1"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
 
@@ -33,13 +34,13 @@ def held_out(spark, query, label):
 @needs_tables
 def test_quality_on_held_out_documents(spark):
     pdf, area = held_out(spark, Q.op4_quality, "quality")
-    assert area > 0.97 and pdf[pdf.quality == 1].predicted.mean() > 0.98
+    assert area > 0.99 and pdf[pdf.quality == 1].predicted.mean() > 0.98
 
 
 @needs_tables
 def test_toxicity_on_held_out_documents(spark):
     pdf, area = held_out(spark, T.op10_toxicity, "toxic")
-    assert area > 0.85 and pdf[pdf.toxic == 0].predicted.mean() < 0.03
+    assert area > 0.95 and pdf[pdf.toxic == 0].predicted.mean() < 0.03
 
 
 def small(spark):
