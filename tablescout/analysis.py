@@ -78,14 +78,14 @@ def _exploratory(t: Table) -> dict[str, DataFrame]:
     pairs = []
     if len(num) >= 2:
         pairs = exploratory.strongest_pairs(df, num, top=10)
-        out["correlation"] = exploratory.correlation(df, num)
+        out["correlation"] = exploratory.correlation(df, num, top=20)
     if pairs:
         out["pairwise_regression"] = exploratory.pairwise_regression(df, pairs)
     varied = [c for c in num if t.unique[c] > 1]
     if len(varied) >= 3:
         out["vif"] = exploratory.vif(df, varied)
     if len(num) >= 3:
-        out["partial_correlation"] = exploratory.partial_correlation(df, num[:10])
+        out["partial_correlation"] = exploratory.partial_correlation(df, num[:10], top=15)
     if cats:
         out["frequency"] = exploratory.frequency(df, cats)
         out["frequency_summary"] = exploratory.frequency_summary(df, cats)
@@ -129,7 +129,7 @@ def _time_series(t: Table) -> dict[str, DataFrame]:
         out["lag_correlation"] = timeseries.lag_correlation(df, t.ts, num[:4], t.tie_breakers)
     drifting = [c for c in t.roles.categorical[:3] if t.unique[c] <= 20]
     if drifting:
-        out["category_drift"] = timeseries.category_drift(df, t.ts, drifting, t.tie_breakers)
+        out["category_drift"] = timeseries.category_drift(df, t.ts, drifting, t.tie_breakers, top=5)
     return {k: v for k, v in out.items() if v is not None}
 
 
@@ -176,13 +176,13 @@ def _text(t: Table) -> dict[str, DataFrame]:
         out["near_duplicate_values"] = text.near_duplicate_values(t.df, alike)
     labels = t.categories(0, 30)[:3]
     if len(labels) >= 2:
-        out["co_occurrence"] = text.co_occurrence(t.df, labels)
+        out["co_occurrence"] = text.co_occurrence(t.df, labels, per_pair=3, top=20)
     return out
 
 
 def _anomaly(t: Table) -> dict[str, DataFrame]:
     out = {
-        "duplicates": anomaly.duplicates(t.df, t.roles.id, t.roles.datetime),
+        "duplicates": anomaly.duplicates(t.df, t.roles.id, t.roles.datetime, near_cols=10),
         "co_missing": anomaly.co_missing(t.df),
         "missing_rows": anomaly.missing_rows(t.df),
     }
@@ -242,7 +242,7 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
         "entity_type": structure.entity_type(roles).persist(),
         "column_roles": structure.column_roles(roles).persist(),
         "dataset_shape": structure.dataset_shape(df).persist(),
-        "join_keys": structure.join_keys(roles).persist(),
+        "join_keys": structure.join_keys(roles, top=5).persist(),
         "id_columns": structure.id_columns(roles).persist(),
         "null_intent": signals.null_intent(df, num).persist(),
     }
@@ -262,18 +262,20 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
             candidates.from_targets(s["target_candidates"]),
             candidates.from_outliers(s["outlier_prevalence"]),
             candidates.from_concentration(s["concentration_screen"]),
-            candidates.missing_analyses(s["entity_type"], s["target_candidates"]),
         ]
+    # Asked of every table; without numbers there are no targets to name.
+    targets = s.get("target_candidates", df.sparkSession.createDataFrame([], "rank int, column string"))
+    pooled.append(candidates.missing_analyses(s["entity_type"], targets))
     if num or cats:
         s["boolean_disguise"] = structure.boolean_disguise(df, num, cats).persist()
         pooled.append(candidates.from_boolean_disguise(s["boolean_disguise"]))
     if len(num) >= 2:
-        s["correlation_opportunity"] = signals.correlation_opportunity(df, num).persist()
+        s["correlation_opportunity"] = signals.correlation_opportunity(df, num, top=5).persist()
         s["anomaly_prevalence"] = signals.anomaly_prevalence(df, num[:8]).persist()
         pooled += [
             candidates.from_correlations(s["correlation_opportunity"]),
             candidates.from_anomalies(s["anomaly_prevalence"]),
-            candidates.composite_opportunity(s["correlation_opportunity"], roles),
+            candidates.composite_opportunity(s["correlation_opportunity"], roles, named=4),
         ]
     if num and cats:
         s["segment_variables"] = signals.segment_variables(df, num[0], cats[:5]).persist()
@@ -298,5 +300,5 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
             roles,
         )
     )
-    rows = representative_rows(df, order_by, num, cats) if order_by else None
+    rows = representative_rows(df, order_by, num[:3], cats[:2]) if order_by else None
     return Exploration(s, candidates.pool(pooled), foundation.dataset_summary(df, roles, num, cats), rows)

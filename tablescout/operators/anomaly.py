@@ -108,23 +108,25 @@ _TREE = "feature array<int>, cut array<double>, left array<int>, right array<int
 def train_forest(df: DataFrame, cols, trees: int = 50, sample: int = 256, seed: int = 42) -> list:
     """Isolation trees, each grown in its own task from its own random rows.
 
-    A big table gives each tree disjoint rows in one pass; a small one lets every tree draw from all rows.
-    The trees that come back are bounded by ``trees`` and ``sample``, whatever the table's size.
+    Every tree draws from all rows by a hash of the row and the tree's number, so the forest is the same however the
+    rows are partitioned. Equal rows are one row with a number of copies before they move, so copies cannot fill a
+    task; a drawn row counts with up to ``sample`` copies. The trees that come back are bounded by ``trees`` and
+    ``sample``, whatever the table's size.
     """
     cols = list(cols)
-    rows = keep_complete(df, cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
-    n = rows.count()
-    wanted = int(1.5 * trees * sample)
-    if n > wanted:
-        # The margin makes a tree short of rows very unlikely; a short tree is still a valid one.
-        drawn = rows.withColumn("_u", F.rand(seed)).where(F.col("_u") < wanted / n)
-        drawn = drawn.withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-    else:
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", F.rand(seed))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in plain_columns(df)])
+    rows = keep_complete(df, cols).select(whole.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
+    # The margin makes a tree short of rows very unlikely; a short tree is still a valid one.
+    chance = min(1.0, 1.5 * sample / max(1, rows.count()))
+    number = lambda tree: F.shiftrightunsigned(F.xxhash64("_h", tree, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    held = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: number(tree) < chance)
+    drawn = rows.withColumn("tree", F.explode(held)).withColumn("_u", number(F.col("tree")))
+    drawn = drawn.groupBy("tree", "_u", *cols).agg(F.least(F.count(F.lit(1)), F.lit(sample)).alias("_copies"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         random = np.random.default_rng([seed, int(frame["tree"].iloc[0])])
-        points = frame.nsmallest(sample, "_u")[cols].to_numpy()
+        first = frame.sort_values(["_u", *cols]).head(sample)
+        points = np.repeat(first[cols].to_numpy(), first["_copies"].to_numpy(), axis=0)[:sample]
         limit = max(1, math.ceil(math.log2(max(len(points), 2))))
         return pd.DataFrame([(*_grow(points, limit, random), len(points))], columns=["feature", "cut", "left", "right", "length", "size"])
 
@@ -193,8 +195,8 @@ def anomaly_score(
     )
 
 
-def duplicates(df: DataFrame, id_cols=(), time_cols=(), near_cols: int = 10) -> DataFrame:
-    """Exact copies, and copies on the first columns that are neither identifiers nor times: counts and rates."""
+def duplicates(df: DataFrame, id_cols=(), time_cols=(), near_cols: int | None = None) -> DataFrame:
+    """Exact copies, and copies on the columns that are neither identifiers nor times, all or the first: counts and rates."""
     cols = plain_columns(df)
     skip = {*id_cols, *time_cols}
     keys = [c for c in cols if c not in skip][:near_cols]

@@ -269,11 +269,14 @@ def missing_analyses(entity: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def composite_opportunity(correlations: DataFrame, roles: DataFrame) -> DataFrame:
-    """One technique when moderately related columns could form an index (four numeric columns or more)."""
+def composite_opportunity(correlations: DataFrame, roles: DataFrame, named: int | None = None) -> DataFrame:
+    """One technique when moderately related columns could form an index (four numeric columns or more).
+
+    The description lists all of them, or the first ``named``.
+    """
     moderate = correlations.where((F.abs(F.round("r", 3)) > 0.3) & (F.abs(F.round("r", 3)) < 0.85))
     names = moderate.select(F.explode(F.array("col_a", "col_b")).alias("column")).agg(
-        F.slice(F.array_sort(F.collect_set("column")), 1, 4).alias("names")
+        (F.slice(F.array_sort(F.collect_set("column")), 1, named) if named else F.array_sort(F.collect_set("column"))).alias("names")
     )
     numeric = roles.agg(F.count_if(F.col("role") == "numeric").alias("k"))
     joined = names.crossJoin(F.broadcast(numeric))

@@ -153,10 +153,16 @@ def spearman(df: DataFrame, pairs) -> DataFrame:
     return union_all([_rank_correlations(keep_complete(df, p), p, [p]) for p in pairs])
 
 
-def correlation(df: DataFrame, cols, min_abs: float = 0.3, top: int | None = 20) -> DataFrame:
-    """``col_a, col_b, n, pearson, spearman`` of pairs at least ``min_abs`` strong, strongest first."""
+def correlation(df: DataFrame, cols, min_abs: float = 0.3, top: int | None = None) -> DataFrame:
+    """``col_a, col_b, n, pearson, spearman`` of pairs at least ``min_abs`` strong, strongest first; all or ``top``.
+
+    The surviving pairs are looked up first, names only, so that no column of a dropped pair is ranked.
+    """
     pearson = pair_statistics(df, pair_list(cols)).where(F.abs("r") >= min_abs)
-    ranked = spearman(df, pair_list(cols))
+    kept = strongest_pairs(df, cols, top, min_abs)
+    if not kept:
+        return pearson.select("col_a", "col_b", "n", F.col("r").alias("pearson"), F.lit(None).cast("double").alias("spearman")).limit(0)
+    ranked = spearman(df, kept)
     out = pearson.join(F.broadcast(ranked), ["col_a", "col_b"]).select(
         "col_a", "col_b", "n", F.col("r").alias("pearson"), "spearman"
     )
@@ -164,15 +170,10 @@ def correlation(df: DataFrame, cols, min_abs: float = 0.3, top: int | None = 20)
     return out.limit(top) if top else out
 
 
-def strongest_pairs(df: DataFrame, cols, top: int, min_abs: float = 0.3) -> list[tuple[str, str]]:
+def strongest_pairs(df: DataFrame, cols, top: int | None, min_abs: float = 0.3) -> list[tuple[str, str]]:
     """Names of the most correlated pairs, the default pairs of the pairwise analyses."""
-    rows = (
-        pair_statistics(df, pair_list(cols))
-        .where(F.abs("r") >= min_abs)
-        .orderBy(F.abs("r").desc(), "pair_order")
-        .limit(top)
-        .collect()
-    )
+    strong = pair_statistics(df, pair_list(cols)).where(F.abs("r") >= min_abs).orderBy(F.abs("r").desc(), "pair_order")
+    rows = (strong.limit(top) if top else strong).collect()
     return [(r["col_a"], r["col_b"]) for r in rows]
 
 
@@ -191,7 +192,7 @@ def vif(df: DataFrame, cols) -> DataFrame:
     return variance_inflation(complete_pair_statistics(df, cols), list(cols))
 
 
-def partial_correlation(df: DataFrame, cols, min_abs: float = 0.2, top: int | None = 15) -> DataFrame:
+def partial_correlation(df: DataFrame, cols, min_abs: float = 0.2, top: int | None = None) -> DataFrame:
     """``col_a, col_b, partial_r`` given all other columns, strongest first."""
     pairs = partial_correlations(complete_pair_statistics(df, cols), list(cols))
     out = pairs.where(F.abs("partial_r") >= min_abs).orderBy(F.abs("partial_r").desc(), "col_a", "col_b")
@@ -244,12 +245,12 @@ def cardinality(df: DataFrame, cols) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, pairs, max_values: int = 20) -> DataFrame:
+def crosstab(df: DataFrame, pairs, max_values: int | None = None) -> DataFrame:
     """``col_a, val_a, col_b, val_b, cnt, row_share, marginal, deviation``; zero cells count.
 
     Row shares are rounded to three places before they are compared with the marginal, which runs over
-    every row where col_b is present. A pair with a column of more than ``max_values`` values is no
-    readable table and is left out, as its full grid would be.
+    every row where col_b is present. Every pair is returned with its full grid; ``max_values`` leaves out pairs with
+    a column of more values.
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))

@@ -145,6 +145,10 @@ COMPARISON = r"(?i)(\d+(?:\.\d+)?)\s+([\w\s]{0,40}?)(?:compared to|versus|vs\.?)
 R_VALUE = r"(?i)r(?:[=\s\-](?:value)?(?:\s+of)?(?:\s*[:=])?\s*)(\d+(?:\.\d+)?)"
 
 
+# How many figures of a kind a finding shows.
+SHOWN = {"percentage": 6, "comparison": 3, "correlation": 5}
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, number)`` for each match, with zero-based offsets."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})" if "(?i)" not in pattern else f"(?i)({pattern[4:]})"), F.lit(1))
@@ -167,18 +171,19 @@ def _matches(text: Column, pattern: str) -> Column:
     )
 
 
-def extract_metrics(texts: DataFrame, text_id: str, text: str) -> DataFrame:
+def extract_metrics(texts: DataFrame, text_id: str, text: str, most: dict[str, int] | None = None) -> DataFrame:
     """``text_id, kind, ordinal, value, value_b, context`` of figures in each whole text.
 
-    Percentages from 0.1 to 100 (six at most), pairs compared with each other (three), correlations
-    from 0 to 1 (five); these are the figures a finding shows, first ones first.
+    Percentages from 0.1 to 100, pairs compared with each other, correlations from 0 to 1, in the order of the text;
+    all of them, or the first ``most`` of a kind, as ``SHOWN`` has them for a display.
     """
+    first = lambda found, kind: F.slice(found, 1, most[kind]) if most and kind in most else found
     t = F.coalesce(F.col("_t"), F.lit(""))
     base = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_t")).where(F.length("_t") > 0)
     before = lambda m: F.trim(F.regexp_replace(F.substring(t, F.greatest(m["at"]["s"] - 50, F.lit(0)) + 1, F.least(m["at"]["s"], F.lit(50))), r"\s+", " "))
     words = lambda m: F.split(before(m), " ")
     last_four = lambda m: F.array_join(F.slice(words(m), F.greatest(F.size(words(m)) - 3, F.lit(1)), 4), " ")
-    percents = F.slice(F.filter(_matches(t, PERCENT), lambda m: (m["v"] >= 0.1) & (m["v"] <= 100)), 1, 6)
+    percents = first(F.filter(_matches(t, PERCENT), lambda m: (m["v"] >= 0.1) & (m["v"] <= 100)), "percentage")
     percents = F.transform(
         percents,
         lambda m: F.struct(
@@ -187,7 +192,7 @@ def extract_metrics(texts: DataFrame, text_id: str, text: str) -> DataFrame:
             F.when(F.length(before(m)) > 0, last_four(m)).otherwise(F.concat(m["v"].cast("string"), F.lit("%"))).alias("context"),
         ),
     )
-    rs = F.slice(F.filter(_matches(t, R_VALUE), lambda m: (m["v"] >= 0) & (m["v"] <= 1)), 1, 5)
+    rs = first(F.filter(_matches(t, R_VALUE), lambda m: (m["v"] >= 0) & (m["v"] <= 1)), "correlation")
     rs = F.transform(
         rs,
         lambda m: F.struct(
@@ -201,7 +206,7 @@ def extract_metrics(texts: DataFrame, text_id: str, text: str) -> DataFrame:
     )
     parts = [F.regexp_extract_all(t, F.lit(COMPARISON), F.lit(i)) for i in (1, 2, 3)]
     pairs = F.transform(
-        F.slice(F.arrays_zip(parts[0].alias("a"), parts[1].alias("l"), parts[2].alias("b")), 1, 3),
+        first(F.arrays_zip(parts[0].alias("a"), parts[1].alias("l"), parts[2].alias("b")), "comparison"),
         lambda m: F.struct(
             m["a"].cast("double").alias("value"),
             m["b"].cast("double").alias("value_b"),

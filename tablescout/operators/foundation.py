@@ -164,14 +164,22 @@ def categorical_profile(df: DataFrame, cols) -> DataFrame:
     )
 
 
+PROFILE = (
+    "column string, n bigint, mean double, std double, min double, max double, p25 double, p50 double, p75 double, "
+    "null_rate double, unique_count bigint, range double, cv double, kind string, top_value string, top_freq double"
+)
+
+
 def field_profile(df: DataFrame, numeric=(), categorical=()) -> DataFrame:
-    """One row per column: numeric statistics or the dominant category."""
+    """One row per column: numeric statistics or the dominant category; one schema whichever kinds there are."""
     parts = []
     if numeric:
         parts.append(numeric_profile(df, numeric).withColumn("kind", F.lit("numeric")))
     if categorical:
         parts.append(categorical_profile(df, categorical).withColumn("kind", F.lit("categorical")))
-    return union_all(parts)
+    out = union_all(parts) if parts else df.sparkSession.createDataFrame([], PROFILE)
+    fields = [f.split() for f in PROFILE.split(", ")]
+    return out.select(*[(F.col(c) if c in out.columns else F.lit(None).cast(t)).alias(c) for c, t in fields])
 
 
 def duplicate_count(df: DataFrame, cols, name: str = "duplicate_count") -> DataFrame:

@@ -11,12 +11,12 @@ from tablescout.plans.ranks import ranked_values, value_at, value_counts
 
 
 def representative_rows(df: DataFrame, order_by: str, numeric=(), categorical=(), k: int = 8) -> DataFrame:
-    """Up to ``k`` rows as text: extremes and middle of three numeric columns, first rows of frequent values.
+    """Up to ``k`` rows as text: extremes and middle of the numeric columns, first rows of frequent values.
 
     ``order_by`` is a unique numeric key that stands for the row position; the middle row of a column is
     the one half-way among its non-null rows. Only the keys of the chosen rows are gathered.
     """
-    numeric, categorical = list(numeric)[:3], list(categorical)[:2]
+    numeric, categorical = list(numeric), list(categorical)
     key = F.col(order_by)
     picks = []
     if numeric:

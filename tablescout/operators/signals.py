@@ -53,16 +53,15 @@ def outlier_prevalence(df: DataFrame, cols) -> DataFrame:
     return counted.select("column", (F.col("_far") / F.col("n")).alias("extreme_pct"))
 
 
-def correlation_opportunity(df: DataFrame, cols, min_abs: float = 0.5, top: int = 5) -> DataFrame:
+def correlation_opportunity(df: DataFrame, cols, min_abs: float = 0.5, top: int | None = None) -> DataFrame:
     """``col_a, col_b, r`` of strong pairs over rows complete in all columns (five or more), names in order."""
     cols = sorted(cols)
-    return (
+    strong = (
         pair_statistics(keep_complete(df, cols), pair_list(cols))
         .where((F.col("n") >= 5) & (F.abs("r") > min_abs))
         .orderBy(F.abs(F.round("r", 3)).desc(), "pair_order")
-        .limit(top)
-        .select("col_a", "col_b", "r")
     )
+    return (strong.limit(top) if top else strong).select("col_a", "col_b", "r")
 
 
 def segment_variables(df: DataFrame, metric: str, cols, min_spread: float = 0.2) -> DataFrame:

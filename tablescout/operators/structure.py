@@ -121,16 +121,15 @@ def id_columns(roles: DataFrame) -> DataFrame:
     )
 
 
-def join_keys(roles: DataFrame, top: int = 5) -> DataFrame:
+def join_keys(roles: DataFrame, top: int | None = None) -> DataFrame:
     """``column, unique_count, unique_ratio``: key-like names with a middling share of distinct values."""
     wanted = roles.where(F.col("role").isin("id_col", "categorical") & name_has(F.col("column"), JOIN_KEYWORDS))
-    return (
+    keys = (
         wanted.withColumn("unique_ratio", _share())
         .where((F.col("unique_ratio") > 0.01) & (F.col("unique_ratio") < 0.95))
         .orderBy(F.when(F.col("role") == "id_col", 0).otherwise(1), "ordinal")
-        .limit(top)
-        .select("column", "unique_count", "unique_ratio")
     )
+    return (keys.limit(top) if top else keys).select("column", "unique_count", "unique_ratio")
 
 
 def boolean_disguise(df: DataFrame, numeric=(), categorical=()) -> DataFrame:

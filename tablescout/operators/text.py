@@ -115,18 +115,19 @@ def near_duplicate_values(df: DataFrame, cols, min_sim: float = 0.8) -> DataFram
     )
 
 
-def co_occurrence(df: DataFrame, cols, per_pair: int = 3, min_pct: float = 0.05, top: int = 20) -> DataFrame:
-    """``col_a, val_a, col_b, val_b, cnt, pct`` of each column pair's most frequent combinations."""
+def co_occurrence(df: DataFrame, cols, per_pair: int | None = None, min_pct: float = 0.05, top: int | None = None) -> DataFrame:
+    """``col_a, val_a, col_b, val_b, cnt, pct`` of each column pair's frequent combinations, all or the first."""
     best = Window.partitionBy("pair_order").orderBy(F.col("cnt").desc(), "val_a", "val_b")
     rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return (
+    # At most 1 / min_pct combinations of a pair are frequent enough, so the order is among few rows.
+    frequent = (
         pair_counts(df, cols)
-        .withColumn("_r", F.row_number().over(best))
-        .where(F.col("_r") <= per_pair)
         .crossJoin(F.broadcast(rows))
         .withColumn("pct", F.col("cnt") / F.col("_rows"))
         .where(F.col("pct") > min_pct)
-        .orderBy("pair_order", "_r")
-        .limit(top)
-        .select("col_a", "val_a", "col_b", "val_b", "cnt", "pct")
+        .withColumn("_r", F.row_number().over(best))
     )
+    if per_pair:
+        frequent = frequent.where(F.col("_r") <= per_pair)
+    frequent = frequent.orderBy("pair_order", "_r")
+    return (frequent.limit(top) if top else frequent).select("col_a", "val_a", "col_b", "val_b", "cnt", "pct")

@@ -362,7 +362,7 @@ def forecast_baseline(series: DataFrame, keys=(), alpha: float = 0.3) -> DataFra
 
 
 def category_drift(
-    df: DataFrame, ts: str, cols, tie_breakers=(), min_delta: float = 0.05, top: int = 5
+    df: DataFrame, ts: str, cols, tie_breakers=(), min_delta: float = 0.05, top: int | None = None
 ) -> DataFrame:
     """``column, category, early_share, late_share, delta`` between the first and second half of the rows by time."""
     cols = list(cols)
@@ -378,7 +378,7 @@ def category_drift(
     )
     totals = counted.groupBy("column").agg(F.sum("_e").alias("_te"), F.sum("_l").alias("_tl"))
     best = Window.partitionBy("column").orderBy(F.abs(F.round("delta", 4)).desc(), "category")
-    return (
+    moved = (
         counted.join(F.broadcast(totals), "column")
         .select(
             "column",
@@ -388,10 +388,8 @@ def category_drift(
         )
         .withColumn("delta", F.col("late_share") - F.col("early_share"))
         .where(F.abs("delta") > min_delta)
-        .withColumn("_r", F.row_number().over(best))
-        .where(F.col("_r") <= top)
-        .drop("_r")
     )
+    return moved.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r") if top else moved
 
 
 def split_rows(df: DataFrame, ts: str, payload, tie_breakers, cuts: dict[str, Column]) -> DataFrame:

@@ -141,10 +141,13 @@ def with_margins(cells: DataFrame) -> DataFrame:
     return cells.join(rows, [*PAIR_KEY, "val_a"]).join(columns, [*PAIR_KEY, "val_b"])
 
 
-def full_table(cells: DataFrame, max_values: int) -> DataFrame:
-    """Cells with zero counts filled in, for the pairs whose columns have at most ``max_values`` values each."""
+def full_table(cells: DataFrame, max_values: int | None = None) -> DataFrame:
+    """Cells with zero counts filled in; with ``max_values`` only for pairs whose columns have at most so many values."""
     rows = cells.groupBy(*PAIR_KEY, "val_a").agg(F.sum("cnt").alias("row_total"))
     columns = cells.groupBy(*PAIR_KEY, "val_b").agg(F.sum("cnt").alias("col_total"))
+    if max_values is None:
+        grid = rows.join(columns, PAIR_KEY)
+        return grid.join(cells, [*PAIR_KEY, "val_a", "val_b"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     small = (
         cells.groupBy(*PAIR_KEY)
         .agg(F.countDistinct("val_a").alias("_r"), F.countDistinct("val_b").alias("_c"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescout.functions.columns import union_all
+
 MAX_RANGES = 16_384
 
 
@@ -36,11 +38,19 @@ def _range_of(value: str, bounds: str, ranges: int) -> Column:
     )
 
 
+def is_whole(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def value_counts(df: DataFrame, cols, by=()) -> DataFrame:
-    """``by..., column, value, cnt`` over non-null numeric values; a hot value is combined before the shuffle."""
+    """``by..., column, value, cnt`` over non-null numeric values; a hot value is combined before the shuffle.
+
+    Whole numbers stay whole numbers if all columns are, as doubles would merge large ones.
+    """
     by, cols = list(by), list(cols)
     names = F.array(*[F.lit(c) for c in cols])
-    long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_c", "value"))
+    kind = "bigint" if all(is_whole(df, c) for c in cols) else "double"
+    long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast(kind) for c in cols])).alias("_c", "value"))
     for c in ["value", *by]:
         long = long.where(F.col(c).isNotNull())
     return (
@@ -70,7 +80,7 @@ def ranked_values(counts: DataFrame, by=(), descending: bool = False) -> DataFra
         .drop("_bounds")
     )
     totals = cut.groupBy(*group, "_range").agg(
-        F.sum("cnt").alias("_c"), F.sum(F.col("cnt") * F.col("value")).alias("_s")
+        F.sum("cnt").alias("_c"), F.sum(F.col("cnt") * F.col("value").cast("double")).alias("_s")
     )
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*group)
@@ -89,7 +99,7 @@ def ranked_values(counts: DataFrame, by=(), descending: bool = False) -> DataFra
         "value",
         "cnt",
         F.coalesce(F.sum("cnt").over(inside), F.lit(0)).alias("_c1"),
-        F.coalesce(F.sum(F.col("cnt") * F.col("value")).over(inside), F.lit(0.0)).alias("_s1"),
+        F.coalesce(F.sum(F.col("cnt") * F.col("value").cast("double")).over(inside), F.lit(0.0)).alias("_s1"),
     )
     return local.join(offsets, [*group, "_range"]).select(
         *group,
@@ -121,11 +131,19 @@ def ranked_quantiles(df: DataFrame, cols, probabilities: dict[str, float], by=()
 
     Ranks all distinct values, which also counts them and serves any number of groups.
     """
-    ranked = ranked_values(value_counts(df, cols, by), by)
-    return ranked.groupBy(*by, "column").agg(
-        F.max("n").alias("n"),
-        F.count(F.lit(1)).alias("unique_count"),
-        *[quantile(p).alias(name) for name, p in probabilities.items()],
+    families = [[c for c in cols if is_whole(df, c)], [c for c in cols if not is_whole(df, c)]]
+    return union_all(
+        [
+            ranked_values(value_counts(df, family, by), by)
+            .groupBy(*by, "column")
+            .agg(
+                F.max("n").alias("n"),
+                F.count(F.lit(1)).alias("unique_count"),
+                *[quantile(p).cast("double").alias(name) for name, p in probabilities.items()],
+            )
+            for family in families
+            if family
+        ]
     )
 
 
@@ -232,7 +250,7 @@ def attach_ranks(rows: DataFrame, column: str, ranks: DataFrame, rank: Column, n
     settled = F.col("_hot_rank").isNotNull() | F.col("_value").isNull()
     return (
         rows.withColumn("_spread", spread)
-        .withColumn("_value", F.col(column).cast("double"))
+        .withColumn("_value", F.col(column).cast(ranks.schema["value"].dataType))
         .join(hot, "_value", "left")
         .withColumn("_salt", F.when(settled, F.col("_spread")).otherwise(F.lit(-1)))
         .join(cold, ["_value", "_salt"], "left")

@@ -1,8 +1,9 @@
-"""Discrete Fourier transform of one long series, split over tasks.
+"""Discrete Fourier transform of series of any length.
 
-A transform of length ``rows * columns`` is a transform of every column, a rotation, and a transform
-of every row: two groupings, each group about the square root of the series. Lengths without a
-usable divisor go through the chirp identity, which turns them into transforms of a power of two.
+Series up to a million values are transformed whole, each in one task. A longer transform, of length
+``rows * columns``, is a transform of every column, a rotation, and a transform of every row: two groupings,
+each group about the square root of the series. Lengths without a divisor near their root go through the chirp
+identity, which turns them into transforms of a power of two.
 """
 
 from __future__ import annotations
@@ -14,20 +15,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.columns import union_all
+
 # Longest transform one task computes by itself.
 GROUP_LIMIT = 1 << 20
 
 _SCHEMA = "metric string, j long, re double, im double"
 
 
-def _divisor(n: int, limit: int) -> int | None:
-    """The divisor nearest below the square root, if it leaves groups within the limit."""
-    for d in range(math.isqrt(n), 0, -1):
+# Rows and columns may differ by this factor; further apart, one grouping would have tiny groups.
+UNBALANCED = 8
+
+
+def _divisor(n: int) -> int | None:
+    """The divisor nearest below the square root, if it is not far from it."""
+    root = math.isqrt(n)
+    for d in range(root, 0, -1):
+        if n // d > UNBALANCED * d:
+            return None
         if n % d == 0:
-            return d if n // d <= limit else None
+            return d
     return None
 
 
+def _squares(j: np.ndarray, modulus: int) -> np.ndarray:
+    """j * j modulo a number below 2**41, in halves of 20 bits that never overflow."""
+    high, low = j >> 20, j & 0xFFFFF
+    return (((high * j) % modulus << 20) + low * j) % modulus
+
+
 def _turn(numerator: np.ndarray, denominator: int, sign: int) -> np.ndarray:
     """Unit roots exp(sign * 2 pi i * numerator / denominator), reduced exactly before the float step."""
     return np.exp(sign * 2j * np.pi * (numerator % denominator) / denominator)
@@ -68,9 +84,7 @@ def _chirp(values: DataFrame, n: int) -> DataFrame:
     length = rows * columns
 
     def phase(j: pd.Series, sign: int) -> np.ndarray:
-        # j squared modulo 2n in exact integers, as the squares of long series overflow.
-        squares = np.array([(int(v) * int(v)) % (2 * n) for v in j], dtype=np.int64)
-        return _turn(squares, 2 * n, sign)
+        return _turn(_squares(j.to_numpy(dtype=np.int64), 2 * n), 2 * n, sign)
 
     def weigh(batches):
         for b in batches:
@@ -86,7 +100,7 @@ def _chirp(values: DataFrame, n: int) -> DataFrame:
             yield pd.DataFrame({"metric": "", "j": length - at[back], "re": w.real[back], "im": w.imag[back]})
 
     series = _transform(values.mapInPandas(weigh, _SCHEMA), rows, columns, -1)
-    filter_ = _transform(values.select(F.col("j").alias("id")).mapInPandas(kernel, _SCHEMA), rows, columns, -1)
+    filter_ = _transform(values.sparkSession.range(n).mapInPandas(kernel, _SCHEMA), rows, columns, -1)
     filter_ = filter_.select("j", F.col("re").alias("_re"), F.col("im").alias("_im"))
     product = series.join(filter_, "j").select(
         "metric",
@@ -104,15 +118,20 @@ def dominant_frequency(values: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame
     Series lengths are looked up first: one number per metric.
     """
     lengths = {r["metric"]: r["n"] for r in values.groupBy("metric").agg(F.max("n").alias("n")).collect()}
-    found = None
-    for metric, n in sorted(lengths.items()):
-        one = values.where(F.col("metric") == metric).select(
-            "metric", F.col("idx").alias("j"), F.col("value").alias("re"), F.lit(0.0).alias("im")
-        )
-        rows = _divisor(n, limit)
-        spectrum = _transform(one, rows, n // rows, -1) if rows else _chirp(one, n)
+    rows = values.select("metric", "n", F.col("idx").alias("j"), F.col("value").alias("re"))
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        size = np.abs(np.fft.rfft(frame.sort_values("j")["re"].to_numpy()))[1:]
+        k = int(np.argmax(size)) + 1
+        return pd.DataFrame({"metric": frame["metric"].iloc[:1], "n": [len(frame)], "dominant_k": [k], "magnitude": [size[k - 1]]})
+
+    parts = [rows.where(F.col("n") <= limit).groupBy("metric").applyInPandas(whole, "metric string, n long, dominant_k long, magnitude double")]
+    for n in sorted({n for n in lengths.values() if n > limit}):
+        alike = rows.where(F.col("n") == n).select("metric", "j", "re", F.lit(0.0).alias("im"))
+        factor = _divisor(n)
+        spectrum = _transform(alike, factor, n // factor, -1) if factor else _chirp(alike, n)
         size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-        top = (
+        parts.append(
             spectrum.where((F.col("j") >= 1) & (F.col("j") <= n // 2))
             .groupBy("metric")
             .agg(F.min_by(F.struct("j", size.alias("m")), F.struct((-size).alias("m"), F.col("j"))).alias("_top"))
@@ -123,5 +142,4 @@ def dominant_frequency(values: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame
                 F.col("_top.m").alias("magnitude"),
             )
         )
-        found = top if found is None else found.unionByName(top)
-    return found
+    return union_all(parts)

@@ -70,7 +70,7 @@ _CO = " UNION ALL ".join(
 )
 def _(t):
     df = t.lineitem.select("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("code"))
-    return op.co_occurrence(df, ["l_returnflag", "l_linestatus", "code"])
+    return op.co_occurrence(df, ["l_returnflag", "l_linestatus", "code"], per_pair=3)
 
 
 _Z_COLS = ["quantity", "l_extendedprice", "discount"]
