@@ -24,7 +24,7 @@ MARKUP = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 #: Tags that end a block of text; those that hold others are followed to their end.
 HOLDERS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -38,11 +38,15 @@ CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs pagination pager footer masthead sidebar aside rail widget related recommended "
     "recommendations cookie cookies consent gdpr notice notices alert notification popup modal overlay paywall subscribe "
-    "subscription newsletter signup login search share sharing social form complementary contentinfo skip toolbar copyright "
-    "legal disclaimer".split()
+    "subscription newsletter signup login search share sharing social form complementary contentinfo skip toolbar topbar "
+    "copyright legal disclaimer privacy announcement announcements teaser teasers toast".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+#: Whole names of classes and identifiers that mark an article, as parts of names such as article-meta do not.
+ARTICLE_WORDS = frozenset(
+    "article articlebody article-body article-content article-text content content-body entry entry-content hentry main "
+    "main-content page-content post post-body post-content story story-body story-content text-content".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
-ARTICLE_WORDS = frozenset("article articlebody article-body post-content entry-content story-body main main-content".split())
 #: Where a block stands: outside the article of a page that has one, on a page without one, inside.
 OUTSIDE, NO_ARTICLE, INSIDE = 0, 1, 2
 
@@ -103,19 +107,20 @@ NOT, MAYBE, SURELY = 0, 1, 2
 
 def marks(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     """How surely an element surrounds the article (chrome), and whether it is one."""
-    names = set()
+    whole, names = set(), set()
     for kind, value in ATTRIBUTE.findall(attributes) if attributes else ():
         value = value.strip("\"'").lower()
-        names.update(value.split())
+        whole.update(value.split())
         if kind.lower() != "itemprop":
             names.update(re.split(r"[\s_-]+", value))
+    header = tag == "header" or "header" in names
     if tag in CHROME_TAGS or (attributes and HIDDEN.search(attributes)) or not names.isdisjoint(COMMENT_WORDS):
         chrome = SURELY
-    elif tag == "header" and not in_article or tag not in ("body", "main") and not names.isdisjoint(CHROME_WORDS):
+    elif header and not in_article or tag not in ("body", "main") and not names.isdisjoint(CHROME_WORDS):
         chrome = MAYBE
     else:
         chrome = NOT
-    return chrome, not chrome and (tag in ("article", "main") or not names.isdisjoint(ARTICLE_WORDS))
+    return chrome, not chrome and (tag in ("article", "main") or not whole.isdisjoint(ARTICLE_WORDS))
 
 
 def blocks(page: str) -> list[Block]:
