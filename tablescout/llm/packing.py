@@ -203,6 +203,16 @@ def position_ids(cu_seqlens: np.ndarray, length: int) -> np.ndarray:
     return np.arange(length) - np.repeat(edges[:-1], np.diff(edges))
 
 
+def write_packed(packed: DataFrame, folder: str) -> None:
+    """Write packed rows as Parquet; the rows of a shard stand in one file, in their order."""
+    packed.write.mode("overwrite").parquet(folder)
+
+
+def id_matrix(rows: list, length: int) -> np.ndarray:
+    """The token identifiers of packed rows as a matrix."""
+    return np.frombuffer(b"".join(r["input_ids"] for r in rows), "<u2").reshape(-1, length)
+
+
 @query("op1_packing")
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))

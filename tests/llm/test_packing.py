@@ -65,5 +65,13 @@ def test_round_trip(spark, shard_tokens):
         assert got[-1] == P.END and encode.encoding.decode(got[:-1].tolist()) == (text or "")
 
 
+def test_written_rows_are_a_matrix(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words " * i) for i in range(40)], "doc_id long, text string")
+    P.write_packed(P.pack(df, length=64), str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).orderBy("shard", "row").collect()
+    matrix = P.id_matrix(rows, 64)
+    assert matrix.shape == (len(rows), 64) and (matrix == P.END).sum() == 40 + sum(64 - r.n_tokens for r in rows)
+
+
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
