@@ -300,5 +300,13 @@ def explore(df: DataFrame, tie_breakers=(), order_by: str | None = None, mode: s
             roles,
         )
     )
+    sampled = foundation.infer_roles(df, mode=mode, samples=True)
     rows = representative_rows(df, order_by, num[:3], cats[:2]) if order_by else None
-    return Exploration(s, candidates.pool(pooled), foundation.dataset_summary(df, roles, num, cats), rows)
+    return Exploration(s, candidates.pool(pooled), foundation.dataset_summary(df, sampled, num, cats), rows)
+
+
+def explore_many(tables: dict[str, DataFrame], tie_breakers=(), mode: str = "reference") -> DataFrame:
+    """Candidates of several tables as one frame, told apart by ``dataset_id``."""
+    found = [explore(df, [c for c in tie_breakers if c in df.columns], mode=mode).candidates for df in tables.values()]
+    named = [frame.withColumn("dataset_id", F.lit(name)) for name, frame in zip(tables, found)]
+    return candidates.pool(named, by=["dataset_id"])

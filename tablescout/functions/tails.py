@@ -28,20 +28,30 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             value *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return value
+            return value
+    return math.nan
 
 
-def incomplete_beta(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
+def _gamma_step(a: float, b: float) -> float:
+    """lgamma(a + b) - lgamma(a); for a large a by its series, as the difference of two large numbers has few digits."""
+    if a < 1e5 or b * b > a / 100:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+
+
+def incomplete_beta(x: float, a: float, b: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); ``rest`` is 1 - x where the caller knows more of its digits."""
+    rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_front = _gamma_step(max(a, b), min(a, b)) - math.lgamma(min(a, b)) + a * log_x + b * math.log(rest)
+    # With x close to 1 the first fraction is made of differences from 1; near its mean the second has more digits.
+    if x < (a + 1.0) / (a + b + 2.0) and (a < 1e5 or rest > 4.0 * (b + 1.0) / (a + b + 2.0)):
         return math.exp(log_front) * _beta_fraction(x, a, b) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(1.0 - x, b, a) / b
+    return max(0.0, 1.0 - math.exp(log_front) * _beta_fraction(rest, b, a) / b)
 
 
 def upper_gamma(s: float, x: float) -> float:
@@ -69,18 +79,18 @@ def upper_gamma(s: float, x: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         value *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return value * math.exp(log_front)
+            return value * math.exp(log_front)
+    return math.nan
 
 
 def t_tail(t: float, dof: float) -> float:
-    return incomplete_beta(dof / (dof + t * t), dof / 2.0, 0.5)
+    return incomplete_beta(dof / (dof + t * t), dof / 2.0, 0.5, t * t / (dof + t * t))
 
 
 def f_tail(stat: float, d1: float, d2: float) -> float:
     if math.isinf(stat):
         return 0.0
-    return incomplete_beta(d2 / (d2 + d1 * stat), d2 / 2.0, d1 / 2.0)
+    return incomplete_beta(d2 / (d2 + d1 * stat), d2 / 2.0, d1 / 2.0, d1 * stat / (d2 + d1 * stat))
 
 
 def chi2_tail(stat: float, dof: float) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.columns import keep_complete, zscore
-from tablescout.operators.foundation import duplicate_count, plain_columns
+from tablescout.operators.foundation import plain_columns, row_digest
 from tablescout.plans.ranks import quantile, ranked_values, value_counts
 from tablescout.plans.stats import wide_moments
 from tablescout.session import materialize
@@ -200,11 +200,18 @@ def duplicates(df: DataFrame, id_cols=(), time_cols=(), near_cols: int | None =
     cols = plain_columns(df)
     skip = {*id_cols, *time_cols}
     keys = [c for c in cols if c not in skip][:near_cols]
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    exact = duplicate_count(df, cols, "exact_duplicate_count")
-    near = duplicate_count(df, keys, "near_duplicate_count") if keys else rows.select(F.lit(0).cast("long").alias("near_duplicate_count"))
+    # Copies are copies on fewer columns as well, so those are counted among the distinct rows.
+    rows = df.select(row_digest(keys).alias("_near"), row_digest(cols).alias("_row"))
+    distinct = rows.groupBy("_near", "_row").agg(F.count(F.lit(1)).alias("_k"))
+    near = distinct.groupBy("_near").agg(F.count(F.lit(1)).alias("_distinct"), F.sum("_k").alias("_k"))
+    none = F.lit(0).cast("long")
+    counts = near.agg(
+        F.coalesce(F.sum("_k"), none).alias("_rows"),
+        F.coalesce(F.sum(F.col("_k") - F.col("_distinct")), none).alias("exact_duplicate_count"),
+        (F.coalesce(F.sum(F.col("_k") - 1), none) if keys else none).alias("near_duplicate_count"),
+    )
     n = F.greatest(F.col("_rows"), F.lit(1))
-    return rows.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(near)).select(
+    return counts.select(
         "exact_duplicate_count",
         (F.col("exact_duplicate_count") / n).alias("exact_duplicate_rate"),
         "near_duplicate_count",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescout.functions.columns import ratio, union_all, zscore
+from tablescout.functions.columns import ratio, zscore
 from tablescout.plans.counts import category_counts
 from tablescout.plans.ranks import ranked_values, value_counts
 from tablescout.plans.stats import column_moments, tally
@@ -74,26 +74,22 @@ def gini(df: DataFrame, cols) -> DataFrame:
 def concentration(df: DataFrame, cols, entity: str | None = None) -> DataFrame:
     """``column, n, hhi, cr5, hhi_label`` over positive values (four or more)."""
     cols = list(cols)
-    rows = _amounts(df, cols, entity)
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        positive = rows.where(x > 0).select(x.alias("x"))
-        sums = positive.agg(F.count("x").alias("n"), F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q"))
-        top = positive.orderBy(F.col("x").desc()).limit(5).agg(F.sum("x").alias("_top"))
-        parts.append(
-            sums.crossJoin(F.broadcast(top))
-            .where(F.col("n") >= 4)
-            .select(
-                F.lit(c).alias("column"),
-                "n",
-                (F.col("_q") / (F.col("_s") * F.col("_s"))).alias("hhi"),
-                (F.col("_top") / F.col("_s")).alias("cr5"),
-            )
-        )
+    names = F.array(*[F.lit(c) for c in cols])
+    amounts = F.array(*[F.col(c).cast("double") for c in cols])
+    positive = _amounts(df, cols, entity).select(F.posexplode(amounts).alias("_c", "x")).where(F.col("x") > 0)
+    sums = positive.groupBy("_c").agg(F.count("x").alias("n"), F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q"))
+    # Spark keeps five rows of a column in each task before any of them move.
+    largest = F.row_number().over(Window.partitionBy("_c").orderBy(F.col("x").desc()))
+    top = positive.withColumn("_r", largest).where(F.col("_r") <= 5).groupBy("_c").agg(F.sum("x").alias("_top"))
+    shares = sums.where(F.col("n") >= 4).join(F.broadcast(top), "_c").select(
+        F.element_at(names, F.col("_c") + 1).alias("column"),
+        "n",
+        (F.col("_q") / (F.col("_s") * F.col("_s"))).alias("hhi"),
+        (F.col("_top") / F.col("_s")).alias("cr5"),
+    )
     hhi = F.col("hhi")
     label = F.when(hhi > 0.25, "highly concentrated").when(hhi > 0.1, "moderately concentrated").otherwise("competitive")
-    return union_all(parts).withColumn("hhi_label", label)
+    return shares.withColumn("hhi_label", label)
 
 
 def cohorts(df: DataFrame, ts: str, metric: str) -> DataFrame:

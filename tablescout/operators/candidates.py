@@ -304,11 +304,12 @@ def benchmark_opportunity(df: DataFrame, categorical=(), numeric=()) -> DataFram
     return union_all(parts)
 
 
-def pool(candidates: list[DataFrame]) -> DataFrame:
-    """All candidates, one per kind and label: the most confident, the earliest source among equals."""
-    best = Window.partitionBy("kind", "label").orderBy(F.col("confidence").desc(), "source_order", "description")
+def pool(candidates: list[DataFrame], by=()) -> DataFrame:
+    """All candidates, one per kind and label, and per table if ``by`` names its column: the most confident, the earliest
+    source among equals."""
+    best = Window.partitionBy(*by, "kind", "label").orderBy(F.col("confidence").desc(), "source_order", "description")
     ranked = union_all(candidates).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
-    return ranked.orderBy("kind", F.col("confidence").desc(), "source_order", "label")
+    return ranked.orderBy(*by, "kind", F.col("confidence").desc(), "source_order", "label")
 
 
 def next_page(candidates: DataFrame, known_labels: DataFrame, page: int = 1, size: int = 3) -> DataFrame:

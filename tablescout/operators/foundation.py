@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -185,14 +185,18 @@ def field_profile(df: DataFrame, numeric=(), categorical=()) -> DataFrame:
 def duplicate_count(df: DataFrame, cols, name: str = "duplicate_count") -> DataFrame:
     """Rows beyond the first of each distinct combination; nulls equal each other.
 
-    Long texts are compared by a 128-bit digest, so they are not shuffled.
+    Rows are compared by a 128-bit digest, so 16 bytes of a row are shuffled.
     """
-    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    short = lambda c: F.when(F.length(c) > 64, F.md5(c)).otherwise(F.col(c)).alias(c) if c in texts else F.col(c)
-    copies = df.select(*[short(c) for c in cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
+    copies = df.select(row_digest(cols).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("_k"))
     return copies.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias(name))
 
 
+def row_digest(cols) -> Column:
+    """128 bits of a row's values; a null is told from every value and every place."""
+    parts = [x for c in cols for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
 def null_rates(df: DataFrame) -> DataFrame:
     """``column, ordinal, null_rate`` over all plain columns, in one pass."""
     cols = plain_columns(df)
@@ -246,10 +250,12 @@ def quality_gate(df: DataFrame, max_null: float = 0.85) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, roles: DataFrame, numeric=(), categorical=()) -> DataFrame:
-    """Roles, null and distinct counts, profile and table shape, one row per column."""
+    """Roles, null and distinct counts, samples if the roles have them, profile, table shape and table quality; one row
+    per column."""
     shape = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("col_count", F.lit(len(df.columns)).cast("long"))
     out = roles
     if numeric or categorical:
         profile = field_profile(df, numeric, categorical).drop("unique_count", "kind")
         out = roles.join(F.broadcast(profile), "column", "left")
-    return out.crossJoin(F.broadcast(shape))
+    quality = data_quality(df, categorical).select("overall_null_rate", "columns_with_nulls", "duplicate_count", "duplicate_rate")
+    return out.crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(quality))

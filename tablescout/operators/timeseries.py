@@ -222,17 +222,22 @@ def changepoints(series: DataFrame, keys=(), top: int = 3) -> DataFrame:
 
 
 def lag_correlation(
-    df: DataFrame, ts: str, metrics, tie_breakers=(), max_lag: int = 12, min_abs: float = 0.3
+    df: DataFrame, ts: str, metrics, tie_breakers=(), max_lag: int = 12, min_abs: float = 0.3, keys=(), grain: str | None = None
 ) -> DataFrame:
-    """``col_a, col_b, leader, best_lag, r``: correlation of col_a with an earlier col_b, best lag per pair.
+    """``keys..., col_a, col_b, leader, best_lag, r``: correlation of col_a with an earlier col_b, best lag per pair.
 
-    The shifted column is the one that leads.
+    The shifted column is the one that leads. Steps are rows in time order within the keys, or with ``grain`` the
+    means of its calendar periods.
     """
-    metrics = list(metrics)
+    metrics, keys = list(metrics), list(keys)
+    if grain:
+        period = F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias("ts")
+        df = with_time(df, ts).groupBy(*keys, period).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+        ts, tie_breakers = "ts", ()
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    rows = ordered_rows(df, ts, metrics, tie_breakers)
+    rows = ordered_rows(df, ts, metrics, tie_breakers, keys)
     shifted = {f"_{b}_{k}": (b, -k) for b in metrics[1:] for k in range(1, max_lag + 1)}
-    wide = with_neighbours(rows, [], "pos", shifted)
+    wide = with_neighbours(rows, keys, "pos", shifted)
     # One row per lag, so that the aggregate has a few columns per pair and not per pair and lag.
     by_lag = F.array(
         *[
@@ -240,12 +245,12 @@ def lag_correlation(
             for k in range(1, max_lag + 1)
         ]
     )
-    long = wide.select("n_rows", *metrics[:-1], F.inline(by_lag))
+    long = wide.select(*keys, "n_rows", *metrics[:-1], F.inline(by_lag))
     sums = []
     for j, (a, b) in enumerate(pairs):
         y, x = F.col(a), F.col(f"_earlier_{b}")
         sums += [F.regr_sxx(y, x).alias(f"_x{j}"), F.regr_syy(y, x).alias(f"_y{j}"), F.regr_sxy(y, x).alias(f"_c{j}")]
-    per_lag = long.groupBy("lag").agg(F.max("n_rows").alias("_rows"), *sums)
+    per_lag = long.groupBy(*keys, "lag").agg(F.max("n_rows").alias("_rows"), *sums)
     cells = F.array(
         *[
             F.struct(
@@ -258,11 +263,11 @@ def lag_correlation(
     )
     strongest = F.min_by(F.struct("lag", "r"), F.struct(-F.abs("r"), F.col("lag")))
     return (
-        per_lag.select("_rows", "lag", F.inline(cells))
+        per_lag.select(*keys, "_rows", "lag", F.inline(cells))
         .where((F.col("lag") <= F.floor(F.col("_rows") / 4)) & F.col("r").isNotNull())
-        .groupBy("col_a", "col_b")
+        .groupBy(*keys, "col_a", "col_b")
         .agg(strongest.alias("_best"))
-        .select("col_a", "col_b", F.col("col_b").alias("leader"), F.col("_best.lag").alias("best_lag"), F.col("_best.r").alias("r"))
+        .select(*keys, "col_a", "col_b", F.col("col_b").alias("leader"), F.col("_best.lag").alias("best_lag"), F.col("_best.r").alias("r"))
         .where(F.abs("r") > min_abs)
     )
 
@@ -362,25 +367,31 @@ def forecast_baseline(series: DataFrame, keys=(), alpha: float = 0.3) -> DataFra
 
 
 def category_drift(
-    df: DataFrame, ts: str, cols, tie_breakers=(), min_delta: float = 0.05, top: int | None = None
+    df: DataFrame, ts: str, cols, tie_breakers=(), min_delta: float = 0.05, top: int | None = None, keys=()
 ) -> DataFrame:
-    """``column, category, early_share, late_share, delta`` between the first and second half of the rows by time."""
-    cols = list(cols)
+    """``keys..., column, category, early_share, late_share, delta`` between the first and second half of the rows by
+    time, within the keys if there are any."""
+    cols, keys = list(cols), list(keys)
     text = with_time(df, ts).withColumns({c: F.col(c).cast("string") for c in cols})
-    placed = split_rows(text, ts, cols, tie_breakers, {"_early": F.floor(F.col("n_rows") / 2)})
+    if keys:
+        ordered = ordered_rows(text, ts, [], tie_breakers, keys, extra=cols)
+        placed = ordered.withColumn("_early", F.col("pos") < F.floor(F.col("n_rows") / 2))
+    else:
+        placed = split_rows(text, ts, cols, tie_breakers, {"_early": F.floor(F.col("n_rows") / 2)})
     names = F.array(*[F.lit(c) for c in cols])
     counted = (
-        placed.select("_early", F.posexplode(F.array(*cols)).alias("_c", "category"))
+        placed.select(*keys, "_early", F.posexplode(F.array(*cols)).alias("_c", "category"))
         .where(F.col("category").isNotNull())
-        .groupBy("_c", "category")
+        .groupBy(*keys, "_c", "category")
         .agg(F.count_if(F.col("_early")).alias("_e"), F.count_if(~F.col("_early")).alias("_l"))
         .withColumn("column", F.element_at(names, F.col("_c") + 1))
     )
-    totals = counted.groupBy("column").agg(F.sum("_e").alias("_te"), F.sum("_l").alias("_tl"))
-    best = Window.partitionBy("column").orderBy(F.abs(F.round("delta", 4)).desc(), "category")
+    totals = counted.groupBy(*keys, "column").agg(F.sum("_e").alias("_te"), F.sum("_l").alias("_tl"))
+    best = Window.partitionBy(*keys, "column").orderBy(F.abs(F.round("delta", 4)).desc(), "category")
     moved = (
-        counted.join(F.broadcast(totals), "column")
+        counted.join(totals if keys else F.broadcast(totals), [*keys, "column"])
         .select(
+            *keys,
             "column",
             "category",
             F.coalesce(ratio(F.col("_e"), F.col("_te")), F.lit(0.0)).alias("early_share"),

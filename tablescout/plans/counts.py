@@ -76,7 +76,8 @@ def distinct_counts(df: DataFrame, cols, exact: bool = True) -> DataFrame:
         if kind == "string":
             long = long.select(
                 "_c",
-                F.when(F.length("value") > 64, F.md5("value")).otherwise(F.col("value")).alias("value"),
+                # A digest starts with a sign that no text is taken to start with, so it meets no literal value.
+                F.when(F.length("value") > 64, F.concat(F.lit("\u0001"), F.md5("value"))).otherwise(F.col("value")).alias("value"),
                 F.length("value").cast("long").alias("_len"),
             )
             values = long.groupBy("_c", "value").agg(F.count("value").alias("cnt"), F.sum("_len").alias("_len"))

@@ -165,6 +165,8 @@ def with_neighbours(df: DataFrame, keys, position: str, offsets: dict[str, tuple
     keys = list(keys)
     back = max([-o for _, o in offsets.values() if o < 0], default=0)
     ahead = max([o for _, o in offsets.values() if o > 0], default=0)
+    if max(back, ahead) > BLOCK_ROWS:
+        raise ValueError(f"offsets reach at most {BLOCK_ROWS} rows")
     block, inside = _block(F.col(position)), F.pmod(F.col(position), F.lit(BLOCK_ROWS))
     copies = [block]
     if back:

@@ -40,7 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def forget_on_exit(spark: SparkSession) -> None:
+    """Remove this application's checkpoint files when it ends."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder, so later plans read the same rows after any retry."""
     ensure_checkpoint_dir(df.sparkSession)
+    forget_on_exit(df.sparkSession)
     return df.checkpoint(eager=True)

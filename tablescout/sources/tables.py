@@ -61,6 +61,14 @@ def read_table(
     return nan_to_null(reader.options(**options).load(path))
 
 
+def parse_csv(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """Rows of text in CSV form as columns, by the same quoting, missing words and types as files."""
+    wanted = T._parse_datatype_string(schema)
+    cells = ", ".join(f"`{f.name}` string" for f in wanted.fields)
+    parsed = lines.select(F.from_csv(F.col(line), F.lit(cells), {"quote": '"', "escape": '"'}).alias("cells")).select("cells.*")
+    return nan_to_null(typed(missing_to_null(parsed), wanted))
+
+
 def missing_to_null(cells: DataFrame) -> DataFrame:
     """Text cells with the words for missing values as null."""
     return cells.select(*[F.when(~F.col(f"`{c}`").isin(*NA_WORDS), F.col(f"`{c}`")).alias(c) for c in cells.columns])

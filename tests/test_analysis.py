@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tablescout.analysis import MODULES, analyze, explore
+from tablescout.analysis import MODULES, analyze, explore, explore_many
 from tablescout.sources.tables import read_table
 
 
@@ -57,3 +57,10 @@ def test_exploration_suggests_candidates(sales):
     assert "Segment by 'region'" in labels and "Trend & seasonality analysis" in labels
     assert any(k.startswith("Correlation deep-dive") for k in labels)
     assert out.summary.count() == len(sales.columns)
+
+
+def test_candidates_of_several_tables(sales):
+    both = explore_many({"all": sales, "north": sales.where("region = 'north'").drop("day")}, ["sale_id"])
+    labels = {(r["dataset_id"], r["label"]) for r in both.collect()}
+    assert ("all", "Trend & seasonality analysis") in labels and ("north", "Trend & seasonality analysis") not in labels
+    assert {d for d, _ in labels} == {"all", "north"} and len(labels) == both.count()

@@ -34,3 +34,11 @@ def test_even_chi_square_has_a_closed_form(stat):
 
 def test_large_samples_approach_the_normal_law():
     assert t_tail(1.959964, 5_000_000) == pytest.approx(0.05, abs=1e-6)
+
+
+@pytest.mark.parametrize("dof", [1e6, 1e9, 1e12])
+@pytest.mark.parametrize("t", [0.1, 1.0, 2.0, 5.0])
+def test_many_degrees_of_freedom_approach_the_normal_law(t, dof):
+    # The first term of the t law's expansion about the normal one.
+    normal, density = math.erfc(t / math.sqrt(2)), math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    assert t_tail(t, dof) == pytest.approx(normal + density * (t**3 + t) / (2 * dof), abs=1e-9)

@@ -172,9 +172,9 @@ _RV = r"r(?:[=\s\-](?:value)?(?:\s+of)?(?:\s*[:=])?\s*)(\d+(?:\.\d+)?)"
 @query(
     "extract_metrics",
     f"""WITH s AS (SELECT * FROM {_SENTENCES}),
-      p AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '{_PCT}', 1), lambda x: CAST(x AS DOUBLE)), lambda x: x >= 0.1 AND x <= 100)[:6] AS v FROM s),
-      r AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '{_RV}', 1, 'i'), lambda x: CAST(x AS DOUBLE)), lambda x: x >= 0 AND x <= 1)[:5] AS v FROM s),
-      c AS (SELECT id, regexp_extract_all(text, '{_CMP}', 1, 'i')[:3] AS a, regexp_extract_all(text, '{_CMP}', 3, 'i')[:3] AS b FROM s)
+      p AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '{_PCT}', 1), lambda x: CAST(x AS DOUBLE)), lambda x: x >= 0.1 AND x <= 100) AS v FROM s),
+      r AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '{_RV}', 1, 'i'), lambda x: CAST(x AS DOUBLE)), lambda x: x >= 0 AND x <= 1) AS v FROM s),
+      c AS (SELECT id, regexp_extract_all(text, '{_CMP}', 1, 'i') AS a, regexp_extract_all(text, '{_CMP}', 3, 'i') AS b FROM s)
       SELECT id AS text_id, 'percentage' AS kind, CAST(i AS INT) AS ordinal, round(v[i], 4) AS value, CAST(NULL AS DOUBLE) AS value_b FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS i FROM p)
       UNION ALL SELECT id, 'correlation', CAST(i AS INT), round(v[i], 4), NULL FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS i FROM r)
       UNION ALL SELECT id, 'comparison', CAST(i AS INT), round(CAST(a[i] AS DOUBLE), 4), round(CAST(b[i] AS DOUBLE), 4) FROM (SELECT id, a, b, unnest(range(1, len(a) + 1)) AS i FROM c)""",

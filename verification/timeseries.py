@@ -225,3 +225,44 @@ def _drift_sql(cut):
 @query("category_drift", _drift_sql(0.0001))
 def _(t):
     return op.category_drift(t.lineitem, "l_shipdate", _DRIFT_COLS, LINE_ORDER, min_delta=0.0001)
+
+
+def _lag_by_flag_sql(source, order, cut):
+    parts, lags = [], []
+    for a, b in [("l_extendedprice", "l_quantity")]:
+        for k in range(1, 13):
+            parts.append(f"SELECT f, '{a}' AS col_a, '{b}' AS col_b, {k} AS k, corr({a}, lag{k}_{b}) AS r FROM z GROUP BY f HAVING {k} <= max(n) // 4")
+            lags.append(f"lag({b}, {k}) OVER (PARTITION BY f ORDER BY {order}) AS lag{k}_{b}")
+    return f"""WITH z AS (SELECT *, count(*) OVER (PARTITION BY f) AS n, {", ".join(lags)} FROM {source}), r AS ({" UNION ALL ".join(parts)}),
+      q AS (SELECT *, row_number() OVER (PARTITION BY f, col_a, col_b ORDER BY abs(r) DESC, k) AS o FROM r WHERE r IS NOT NULL)
+      SELECT f AS l_returnflag, col_a, col_b, col_b AS leader, CAST(k AS INT) AS best_lag, round(r, 4) AS r FROM q WHERE o = 1 AND abs(r) > {cut}"""
+
+
+_BY_FLAG = ["l_extendedprice", "l_quantity"]
+
+
+@query("lag_correlation_by_flag", _lag_by_flag_sql("(SELECT *, l_returnflag AS f FROM lineitem)", f"{ORDER_SQL}, l_extendedprice, l_quantity", 0.0))
+def _(t):
+    return op.lag_correlation(t.lineitem, "l_shipdate", _BY_FLAG, LINE_ORDER, min_abs=0.0, keys=["l_returnflag"])
+
+
+_MONTHS = """(SELECT l_returnflag AS f, date_trunc('month', l_shipdate) AS ts, avg(l_extendedprice) AS l_extendedprice, avg(l_quantity) AS l_quantity
+  FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("lag_correlation_monthly", _lag_by_flag_sql(_MONTHS, "ts", 0.0))
+def _(t):
+    return op.lag_correlation(t.lineitem, "l_shipdate", _BY_FLAG, min_abs=0.0, keys=["l_returnflag"], grain="month")
+
+
+@query(
+    "category_drift_by_flag",
+    """WITH n0 AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) - 1 AS pos,
+        count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+      t AS (SELECT l_returnflag, count(*) FILTER (pos < n // 2) AS te, count(*) FILTER (pos >= n // 2) AS tl FROM n0 GROUP BY 1),
+      c AS (SELECT n0.l_returnflag, l_linestatus AS category, count(*) FILTER (pos < n // 2) / max(te) AS e, count(*) FILTER (pos >= n // 2) / max(tl) AS f
+        FROM n0 JOIN t ON n0.l_returnflag = t.l_returnflag GROUP BY 1, 2)
+      SELECT l_returnflag, 'l_linestatus' AS "column", category, round(e, 4) AS early_share, round(f, 4) AS late_share, round(f - e, 4) AS delta FROM c WHERE abs(f - e) > 0.0""",
+)
+def _(t):
+    return op.category_drift(t.lineitem, "l_shipdate", ["l_linestatus"], LINE_ORDER, min_delta=0.0, keys=["l_returnflag"])
