@@ -160,19 +160,15 @@ def running_totals(df: DataFrame, keys, position: str, terms: dict[str, Column])
 def with_neighbours(df: DataFrame, keys, position: str, offsets: dict[str, tuple[str, int]]) -> DataFrame:
     """Add columns read ``offset`` rows away (negative: earlier) along a dense ``position``.
 
-    Rows near a block's edge are also sent to the block next door, so one shuffle by block suffices.
+    Rows near a block's edge are also sent to the blocks that read them, so one shuffle by block suffices.
     """
     keys = list(keys)
     back = max([-o for _, o in offsets.values() if o < 0], default=0)
     ahead = max([o for _, o in offsets.values() if o > 0], default=0)
-    if max(back, ahead) > BLOCK_ROWS:
-        raise ValueError(f"offsets reach at most {BLOCK_ROWS} rows")
     block, inside = _block(F.col(position)), F.pmod(F.col(position), F.lit(BLOCK_ROWS))
     copies = [block]
-    if back:
-        copies.append(F.when(inside >= BLOCK_ROWS - back, block + 1))
-    if ahead:
-        copies.append(F.when(inside < ahead, block - 1))
+    copies += [F.when(inside >= k * BLOCK_ROWS - back, block + k) for k in range(1, -(-back // BLOCK_ROWS) + 1)]
+    copies += [F.when(inside < ahead - (k - 1) * BLOCK_ROWS, block - k) for k in range(1, -(-ahead // BLOCK_ROWS) + 1)]
     spread = df.withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
     near = Window.partitionBy(*keys, "_block").orderBy(position)
     read = {

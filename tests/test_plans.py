@@ -144,6 +144,15 @@ def test_distributed_transform_equals_numpy(spark, n, limit):
     assert got["magnitude"] == pytest.approx(size.max())
 
 
+def test_neighbours_further_than_a_block(spark, small_blocks):
+    df = spark.range(60).selectExpr("id as pos", "id * 10 as v")
+    far = {"a": ("v", -20), "b": ("v", 17), "c": ("v", -7), "d": ("v", 8)}
+    got = {r["pos"]: r for r in sequence.with_neighbours(df, [], "pos", far).collect()}
+    for i in range(60):
+        want = {n: (i + o) * 10 if 0 <= i + o < 60 else None for n, (_, o) in far.items()}
+        assert {n: got[i][n] for n in far} == want
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
