@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablescout.llm import (  # noqa: F401
+    chat,
     decontamination,
     exact_dedup,
     html_text,
