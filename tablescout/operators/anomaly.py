@@ -117,10 +117,14 @@ def train_forest(df: DataFrame, cols, trees: int = 50, sample: int = 256, seed:
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in plain_columns(df)])
     rows = keep_complete(df, cols).select(whole.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
     # The margin makes a tree short of rows very unlikely; a short tree is still a valid one.
-    chance = min(1.0, 1.5 * sample / max(1, rows.count()))
-    number = lambda tree: F.shiftrightunsigned(F.xxhash64("_h", tree, F.lit(seed)), 11) / F.lit(float(1 << 53))
-    held = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: number(tree) < chance)
-    drawn = rows.withColumn("tree", F.explode(held)).withColumn("_u", number(F.col("tree")))
+    times = trees * min(1.0, 1.5 * sample / max(1, rows.count()))
+    number = lambda *of: F.shiftrightunsigned(F.xxhash64("_h", *of, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    # A row goes to as many neighbouring trees as its share says, up or down to a whole number by its hash.
+    held = rows.withColumn("_k", F.least(F.floor(F.lit(times) + number(F.lit(-1))), F.lit(trees))).where(F.col("_k") > 0)
+    first = F.pmod(F.xxhash64("_h", F.lit(-2), F.lit(seed)), F.lit(trees))
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
+    drawn = held.withColumn("_i", turns).withColumn("tree", F.pmod(first + F.col("_i"), F.lit(trees)).cast("int"))
+    drawn = drawn.withColumn("_u", number(F.col("tree")))
     drawn = drawn.groupBy("tree", "_u", *cols).agg(F.least(F.count(F.lit(1)), F.lit(sample)).alias("_copies"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
