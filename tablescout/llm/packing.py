@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +163,12 @@ def pad(data: bytes, length: int) -> bytes:
     return data + np.full(length - len(data) // 2, END, "<u2").tobytes()
 
 
+def file_order(path: str) -> tuple:
+    """Sorts the part files of a table as they were written."""
+    folder, name = path.rsplit("/", 1) if "/" in path else ("", path)
+    return folder, [(int(c), "") if c.isdecimal() else (-1, c) for c in re.split(r"(\d+)", name)]
+
+
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pack the token identifiers of all documents into rows of ``length``.
 
@@ -171,28 +178,43 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, sh
     little-endian, filled up with END; segment i of a row is cu_seqlens[i] to cu_seqlens[i + 1] and holds the tokens
     of doc_ids[i] from token piece_starts[i] on; positions start anew at each of position_resets.
 
+    Shard numbers rise with the place of the documents in the table, by part file and row of it for a table that is
+    read from Parquet, as tasks take files by size; they are not without gaps. A shard never spans two files.
+
     Null and empty texts are documents of the end token alone, so every row of ``docs`` is in the result, repeated
     rows and missing identifiers as well. An empty table gives no rows. Further columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    try:
+        place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "row_index")]
+        rows = docs.select("doc_id", text, *place)
+        files = [r.file_path for r in docs.select(F.col("_metadata.file_path")).distinct().collect()]
+    except AnalysisException:
+        part = F.spark_partition_id()
+        rows = docs.select("doc_id", text, F.lit("").alias("file_path"), part.cast("long").alias("file_block_start"), F.lit(None).cast("long").alias("row_index"))
+        files = []
+    ranks = {path: i for i, path in enumerate(sorted(files, key=file_order))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary), np.array([END], "<u2").tobytes()
         ids: list = []
         tokens: list[bytes] = []
-        held, shards, part, id_type = 0, 0, 0, None
+        held, seen, shard, now, id_type = 0, 0, 0, None, None
         for batch in batches:
-            id_type, part = batch.schema.field(0).type, batch.column(2)[0].as_py() if batch.num_rows else part
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            id_type = batch.schema.field(0).type
+            for doc_id, text, path, start, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if ids and (held >= shard_tokens or now != (path, start)):
+                    yield from packed(ids, tokens, length, shard, id_type)
+                    ids, tokens, held = [], [], 0
+                if not ids:
+                    now, shard = (path, start), (ranks.get(path, start) << 40) + (seen if at is None else at)
                 ids.append(doc_id)
                 tokens.append(encode(text) + end)
                 held += len(tokens[-1]) // 2
-                if held >= shard_tokens:
-                    yield from packed(ids, tokens, length, (part << 32) + shards, id_type)
-                    ids, tokens, held, shards = [], [], 0, shards + 1
+                seen += 1
         if ids:
-            yield from packed(ids, tokens, length, (part << 32) + shards, id_type)
+            yield from packed(ids, tokens, length, shard, id_type)
 
     return rows.mapInArrow(run, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
 

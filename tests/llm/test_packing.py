@@ -75,3 +75,16 @@ def test_written_rows_are_a_matrix(spark, tmp_path):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_follow_the_written_order(spark, tmp_path):
+    rows = [(i, "word " * (i + 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    df.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    shards = {}
+    for r in P.pack(read, length=256, shard_tokens=500).collect():
+        shards.setdefault(r.shard, set()).update(r.doc_ids)
+    ordered = [shards[s] for s in sorted(shards)]
+    assert len(ordered) > 8 and sum(map(len, ordered)) == 200
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))

@@ -56,3 +56,19 @@ def test_stages_on_odd_tables(spark):
             out = stage(spark, table, FOLDER)
             out.collect()
         assert corpus_pipeline.mixing(spark, table, FOLDER).columns == docs.columns
+
+
+def test_first_shards_hold_the_early_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing.pack, "__defaults__", (*packing.pack.__defaults__[:2], 3000))
+    docs = spark.createDataFrame(
+        [(i, f"{'abc'[i % 3]}{i} " * (20 + i % 50), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string"
+    )
+    mixed = settle(corpus_pipeline.mixing(spark, docs.repartition(3), FOLDER))
+    shards = {}
+    for r in corpus_pipeline.packing(spark, mixed, FOLDER).collect():
+        shards.setdefault(r.shard, []).extend("abc"[d % 3] for d in r.doc_ids)
+    ordered = [shards[s] for s in sorted(shards)]
+    tenth = len(ordered) // 10
+    share = lambda some, source: sum(s.count(source) for s in some) / sum(map(len, some))
+    early, late = ordered[:tenth], ordered[-tenth:]
+    assert share(early, "a") > 1.5 * share(late, "a") and share(late, "c") > 1.5 * share(early, "c")
