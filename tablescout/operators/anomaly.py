@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,29 +109,43 @@ _TREE = "feature array<int>, cut array<double>, left array<int>, right array<int
 def train_forest(df: DataFrame, cols, trees: int = 50, sample: int = 256, seed: int = 42) -> list:
     """Isolation trees, each grown in its own task from its own random rows.
 
-    Every tree draws from all rows by a hash of the row and the tree's number, so the forest is the same however the
-    rows are partitioned. Equal rows are one row with a number of copies before they move, so copies cannot fill a
-    task; a drawn row counts with up to ``sample`` copies. The trees that come back are bounded by ``trees`` and
-    ``sample``, whatever the table's size.
+    Equal rows are one row with their number of copies before any draw, and each copy is drawn for each tree by itself,
+    with random numbers that follow from the row, so the forest is the same however the rows are partitioned and copies
+    have their weight in every tree. About 1.5 times ``sample`` copies are drawn for a tree, and ``sample`` of those are
+    kept. The trees that come back are bounded by ``trees`` and ``sample``, whatever the table's size.
     """
     cols = list(cols)
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in plain_columns(df)])
-    rows = keep_complete(df, cols).select(whole.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = keep_complete(df, cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
     # The margin makes a tree short of rows very unlikely; a short tree is still a valid one.
-    times = trees * min(1.0, 1.5 * sample / max(1, rows.count()))
-    number = lambda *of: F.shiftrightunsigned(F.xxhash64("_h", *of, F.lit(seed)), 11) / F.lit(float(1 << 53))
-    # A row goes to as many neighbouring trees as its share says, up or down to a whole number by its hash.
-    held = rows.withColumn("_k", F.least(F.floor(F.lit(times) + number(F.lit(-1))), F.lit(trees))).where(F.col("_k") > 0)
-    first = F.pmod(F.xxhash64("_h", F.lit(-2), F.lit(seed)), F.lit(trees))
-    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
-    drawn = held.withColumn("_i", turns).withColumn("tree", F.pmod(first + F.col("_i"), F.lit(trees)).cast("int"))
-    drawn = drawn.withColumn("_u", number(F.col("tree")))
-    drawn = drawn.groupBy("tree", "_u", *cols).agg(F.least(F.count(F.lit(1)), F.lit(sample)).alias("_copies"))
+    chance = min(1.0, 1.5 * sample / max(1, rows.count()))
+    counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_h", F.xxhash64(*cols, F.lit(seed)))
+    # Copies and trees of a row stand in a line; the steps from one draw to the next are geometric.
+    number = (F.shiftrightunsigned("_h", 11) + 0.5) / float(1 << 53)
+    skipped = F.floor(F.log(number) / math.log1p(-chance)) if chance < 1 else F.lit(0).cast("long")
+    line = F.col("_n") * trees
+    held = counted.withColumn("_at", skipped).where(F.col("_at") < line)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for *values, n, h, at in frame.itertuples(index=False, name=None):
+                random, times = np.random.default_rng([seed, h & (1 << 64) - 1]), np.zeros(trees, int)
+                while at < n * trees:
+                    times[at % trees] += 1
+                    at += int(random.geometric(chance))
+                out += [(int(t), *values, int(times[t])) for t in times.nonzero()[0]]
+            yield pd.DataFrame(out, columns=["tree", *cols, "_copies"])
+
+    fields = [T.StructField(c, T.DoubleType()) for c in cols]
+    kind = T.StructType([T.StructField("tree", T.IntegerType()), *fields, T.StructField("_copies", T.LongType())])
+    drawn = held.select(*cols, "_n", "_h", "_at").mapInPandas(draw, kind)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         random = np.random.default_rng([seed, int(frame["tree"].iloc[0])])
-        first = frame.sort_values(["_u", *cols]).head(sample)
-        points = np.repeat(first[cols].to_numpy(), first["_copies"].to_numpy(), axis=0)[:sample]
+        first = frame.sort_values(cols)
+        points = np.repeat(first[cols].to_numpy(), first["_copies"].to_numpy(), axis=0)
+        points = points[random.permutation(len(points))[:sample]]
         limit = max(1, math.ceil(math.log2(max(len(points), 2))))
         return pd.DataFrame([(*_grow(points, limit, random), len(points))], columns=["feature", "cut", "left", "right", "length", "size"])
 

@@ -402,6 +402,19 @@ def test_planted_outliers_are_found(spark):
     assert len(set(top) & set(range(2000, 2020))) >= 18
 
 
+def test_copies_have_their_weight_in_every_tree(spark):
+    values = np.random.default_rng(1).uniform(1, 2, (2000, 2)).tolist() + [[0.0, 0.0]] * 1000
+    df = spark.createDataFrame(values, "a double, b double")
+    forest = anomaly.train_forest(df.repartition(3), ["a", "b"], sample=60)
+    assert len(forest) == 50 and forest == anomaly.train_forest(df.repartition(7), ["a", "b"], sample=60)
+    for tree in forest:
+        at = depth = 0
+        while tree["feature"][at] >= 0:
+            at, depth = tree["left"][at], depth + 1
+        # About 20 of 60 rows are the copies at the low end; the leaf's length stands for those it could not part.
+        assert anomaly._path_length(np.array([5]))[0] < tree["length"][at] - depth < anomaly._path_length(np.array([40]))[0]
+
+
 def test_forest_of_many_rows_samples_all_trees(spark):
     df = spark.range(40_000).selectExpr("cast(id % 997 as double) a", "cast(id % 31 as double) b")
     forest = anomaly.train_forest(df, ["a", "b"])
