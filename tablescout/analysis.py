@@ -122,7 +122,7 @@ def _time_series(t: Table) -> dict[str, DataFrame]:
         out["peaks_valleys"] = timeseries.peaks_valleys(of(3))
         out["stationarity"] = timeseries.stationarity(of(4))
         out["seasonality"] = timeseries.seasonality(df, t.ts, num[:3])
-        out["changepoints"] = timeseries.changepoints(of(3))
+        out["changepoints"] = timeseries.changepoints(of(3), top=3)
         out["cycles"] = timeseries.long_cycles(of(3))
         out["forecast_baseline"] = timeseries.forecast_baseline(of(3))
     if len(num) >= 2:

@@ -185,11 +185,12 @@ def seasonality(df: DataFrame, ts: str, metrics, keys=()) -> DataFrame:
     )
 
 
-def changepoints(series: DataFrame, keys=(), top: int = 3) -> DataFrame:
-    """Up to ``top`` mean shifts above 15 %: metric, cp_index, cp_date, before_mean, after_mean, pct_shift.
+def changepoints(series: DataFrame, keys=(), top: int | None = None) -> DataFrame:
+    """Mean shifts above 15 %, all or the ``top`` earliest: metric, cp_index, cp_date, before_mean, after_mean, pct_shift.
 
     Both side means come from running totals. A kept point hides candidates for a window after it, so
-    the kept points follow from one minimum per round over the written candidates.
+    the kept points follow from one minimum per round over the written candidates. A window is the floor of a fifth of
+    the series or more and both ends are one, so there is room for four points at most.
     """
     group = [*keys, "metric"]
     usable = series.where(F.col("n") >= 10)
@@ -206,7 +207,7 @@ def changepoints(series: DataFrame, keys=(), top: int = 3) -> DataFrame:
     )
     earliest = F.min_by(F.struct("idx", "ts", "before_mean", "after_mean", "_w"), "idx").alias("_hit")
     kept, rest = [], candidates
-    for _ in range(top):
+    for _ in range(4 if top is None else min(top, 4)):
         hit = rest.groupBy(*group).agg(earliest).select(*group, "_hit.*")
         kept.append(hit)
         after = hit.select(*group, (F.col("idx") + F.col("_w")).alias("_from"))

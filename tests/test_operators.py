@@ -210,6 +210,12 @@ def dated(spark, **columns):
     return spark.createDataFrame(pd.DataFrame({"t": pd.date_range("2020-01-01", periods=n), **columns}))
 
 
+def test_all_changepoints_are_returned(spark):
+    series = row_series(dated(spark, v=[float(i) for i in range(1, 20)]), "t", ["v"])
+    assert [r["cp_index"] for r in rows(timeseries.changepoints(series).orderBy("cp_index"))] == [3, 7, 11, 15]
+    assert timeseries.changepoints(series, top=3).count() == 3
+
+
 def test_step_is_a_changepoint(spark, small_blocks):
     values = [10.0] * 60 + [20.0] * 40
     got = rows(timeseries.changepoints(row_series(dated(spark, v=values), "t", ["v"])), "cp_index")

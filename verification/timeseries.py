@@ -108,7 +108,8 @@ _CP = """, w AS (SELECT *, greatest(3, n // 5) AS w, sum(value) OVER (PARTITION
 
 
 def _cps(s, keys=()):
-    return op.changepoints(s, keys).withColumn("cp_date", F.date_format("cp_date", "yyyy-MM-dd"))
+    # Their SQL holds the three earliest.
+    return op.changepoints(s, keys, top=3).withColumn("cp_date", F.date_format("cp_date", "yyyy-MM-dd"))
 
 
 _CP_ALL = _CP.format(k="", kk="", g="1", on="", on2="", on3="", cut=0.15)
