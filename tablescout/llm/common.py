@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def in_batches(run, rows: int = BATCH_ROWS):
+    """``run`` for mapInArrow, which gets at most so many rows at once.
+
+    Spark's batches hold up to 10,000 rows or 64 megabytes; cutting them in the worker leaves the session as it is.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+    return each
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 

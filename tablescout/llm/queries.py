@@ -7,6 +7,7 @@ from tablescout.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
     html_text,
+    lexical,
     merkle,
     mixing,
     packing,
