@@ -8,6 +8,7 @@ from tablescout.llm import (  # noqa: F401
     exact_dedup,
     html_text,
     lexical,
+    licences,
     merkle,
     mixing,
     packing,
