@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablescout.session import ensure_checkpoint_dir
 
-#: Rows in one Arrow batch; with texts of some kilobytes a batch stays within a few megabytes.
+#: Rows that an operator works on at once; with texts of some kilobytes they have a few megabytes.
 BATCH_ROWS = 400
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +34,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in small Arrow batches, as a few long documents must fit into a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def in_batches(run, rows: int = BATCH_ROWS):
     """``run`` for mapInArrow, which gets at most so many rows at once.
 

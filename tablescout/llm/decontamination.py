@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.byte_words import Eights, flat, mixed, spans, split
-from tablescout.llm.common import query, settle, small_batches, table
+from tablescout.llm.common import in_batches, query, settle, table
 from tablescout.llm.fm_index import FMIndex
 
 #: Words in a window of a benchmark item.
@@ -170,7 +170,6 @@ class Shard:
 
 def search(docs: DataFrame, items: list[tuple[str, str | None]], keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs``, whose text is the column ``text``, with n_words, spans and items."""
-    small_batches(docs.sparkSession)
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of(items))
     kept = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
@@ -196,7 +195,7 @@ def search(docs: DataFrame, items: list[tuple[str, str | None]], keep: list[str]
                     shard = Shard(phrases.value, vocabulary)
         yield from out(shard)
 
-    return kept.mapInArrow(run, f"{schema}, {RESULT}" if schema else RESULT)
+    return kept.mapInArrow(in_batches(run), f"{schema}, {RESULT}" if schema else RESULT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], slice_bytes: int = SLICE_BYTES) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, small_batches, table
+from tablescout.llm.common import in_batches, query, table
 
 #: Comments, elements whose content is no text, tags, declarations, and a tag that the end of the page cuts off.
 MARKUP = re.compile(
@@ -234,7 +234,6 @@ def extract(pages: DataFrame) -> DataFrame:
     identifiers and addresses stay missing, and further columns are not looked at. A page that ends inside a tag or a
     comment ends there.
     """
-    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -245,7 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return rows.mapInArrow(in_batches(run), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
 
 
 @query("op7_html_text")

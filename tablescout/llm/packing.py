@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, small_batches, table
+from tablescout.llm.common import in_batches, query, table
 
 #: A public byte-level vocabulary, on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -184,7 +184,6 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, sh
     Null and empty texts are documents of the end token alone, so every row of ``docs`` is in the result, repeated
     rows and missing identifiers as well. An empty table gives no rows. Further columns are not looked at.
     """
-    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).alias("text")
     try:
         place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "row_index")]
@@ -216,7 +215,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, sh
         if ids:
             yield from packed(ids, tokens, length, shard, id_type)
 
-    return rows.mapInArrow(run, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(in_batches(run), SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def position_ids(cu_seqlens: np.ndarray, length: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.byte_words import Eights, flat, mixed, spans, split
-from tablescout.llm.common import query, remainder, settle, small_batches, table
+from tablescout.llm.common import in_batches, query, remainder, settle, table
 
 #: Bound of the training sample: labelled documents of each class.
 SAMPLE_ROWS = 1_200
@@ -117,7 +117,7 @@ def learn_worth(docs: DataFrame, labels: DataFrame, label: str, learn, sample_ro
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = sample.select("doc_id", "label", F.col("text").cast("binary"))
-    found = columns.mapInArrow(run, f"doc_id {kind}, label int, buckets binary, shares binary").toPandas()
+    found = columns.mapInArrow(in_batches(run), f"doc_id {kind}, label int, buckets binary, shares binary").toPandas()
     found = found.sort_values(["label", "doc_id"])
     rows = [
         (int(y), np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4")) for y, b, s in zip(found.label, found.buckets, found.shares)
@@ -141,10 +141,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: s
     a document labelled both ways counts for both; repeated documents are scored each. Columns not in ``keep`` are
     not read, whatever their names.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     worth, odds = learn_worth(docs, labels, label, remainder("doc_id", FOLDS) != 0, sample_rows)
-    shared = spark.sparkContext.broadcast(worth)
+    shared = docs.sparkSession.sparkContext.broadcast(worth)
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +153,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: s
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], [*batch.schema.names[:-1], "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
-    return kept.mapInArrow(run, f"{schema}, score double" if schema else "score double")
+    return kept.mapInArrow(in_batches(run), f"{schema}, score double" if schema else "score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, settle, small_batches, table
+from tablescout.llm.common import in_batches, query, settle, table
 from tablescout.llm.components import representatives
 
 #: Bits at which linked fingerprints may differ.
@@ -50,7 +50,6 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and its fingerprint ``fp``, the 64 bits as a long."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(in_batches(run), f"doc_id {kind}, fp long")
 
 
 def differing(a: str, b: str, bits: int | None = None) -> Column:

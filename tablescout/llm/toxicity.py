@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, remainder, small_batches, table
+from tablescout.llm.common import in_batches, query, remainder, table
 from tablescout.llm.quality import training_sample
 
 #: Bounds of the training sample by class, and of the lexicon.
@@ -78,7 +78,7 @@ def lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     texts = sample.select("label", "text").distinct()
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     others, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    counted = texts.mapInArrow(run, "entry string, others long, toxic long").groupBy("entry")
+    counted = texts.mapInArrow(in_batches(run), "entry string, others long, toxic long").groupBy("entry")
     counted = counted.agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("others") + 0.5) / (others + 1.0))
     chosen = counted.where(F.col("toxic") >= max(LEAST_DOCS, SUPPORT * toxic)).withColumn("weight", odds)
@@ -151,7 +151,7 @@ def matched(rows: DataFrame, keep: list[str], weights: dict[str, float], finish=
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns)], [*batch.schema.names[:-1], *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema]
-    return kept.mapInArrow(run, ", ".join([*fields, *(f"{n} double" for n in names)]))
+    return kept.mapInArrow(in_batches(run), ", ".join([*fields, *(f"{n} double" for n in names)]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic") -> DataFrame:
@@ -167,7 +167,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label:
     learned and all scores are alike. Labels other than 0 and 1, and those without a document, are left out; repeated
     documents are scored each; columns not in ``keep`` are not read.
     """
-    small_batches(docs.sparkSession)
     sample, numbers = training_sample(docs, labels, label, remainder("doc_id", FOLDS) != HELD_OUT, SAMPLE_ROWS)
     weights = lexicon(sample)
     found = matched(sample, ["doc_id", "label"], weights).toPandas().sort_values(["label", "doc_id"])

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, settle, table
+from tablescout.llm.common import in_batches, query, settle, table
 
 #: Payloads from this size on are stored once.
 LEAST_BYTES = 1000
@@ -151,8 +151,6 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     become revisit records. Each task packs its records into frames of at most 256,000 bytes, or one record, and
     frames into bundles of about four megabytes, so a task holds one bundle.
     """
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES))
     rows = with_originals(pages)
     text = lambda c: F.col(c).cast("string").alias(c)
     rows = rows.select(text("page_id"), text("url"), "payload", "digest", text("refers_to"), F.spark_partition_id().alias("part"))
@@ -178,7 +176,7 @@ def write_bundles(pages: DataFrame) -> DataFrame:
         if bundler.records:
             yield row(bundler)
 
-    return rows.mapInArrow(run, BUNDLE)
+    return rows.mapInArrow(in_batches(run, PAGES), BUNDLE)
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -220,8 +218,7 @@ def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names)
 
-    bundles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BUNDLES))
-    return bundles.select("bundle", "archive").mapInArrow(run, RECORD)
+    return bundles.select("bundle", "archive").mapInArrow(in_batches(run, BUNDLES), RECORD)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
