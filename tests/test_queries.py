@@ -24,8 +24,10 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
+    before = spark.conf.getAll
     frame = entry.queries()[name](spark, FOLDER)
     got = [tuple(r) for r in frame.collect()]
+    assert spark.conf.getAll == before, "a query leaves the session as it was"
     if name not in entry.oracle_sql():
         assert got
         return
