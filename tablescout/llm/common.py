@@ -14,6 +14,9 @@ from tablescout.session import ensure_checkpoint_dir
 #: Rows that an operator works on at once; with texts of some kilobytes they have a few megabytes.
 BATCH_ROWS = 400
 
+#: Rows of some tens of bytes that may go to all tasks.
+BROADCAST_ROWS = 1_000_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -58,7 +61,21 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    settled = spark.read.schema(df.schema).parquet(folder)
+    settled.settled_in = folder
+    return settled
+
+
+def forget(settled: DataFrame) -> None:
+    """Delete a table of :func:`settle` that nothing reads any more."""
+    context = settled.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(settled.settled_in)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, all of them narrow; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def id_text(doc_id: str | Column) -> Column:
@@ -69,3 +86,9 @@ def id_text(doc_id: str | Column) -> Column:
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the identifier's text modulo ``divisor``."""
     return F.crc32(id_text(doc_id).cast("binary")) % divisor
+
+
+def field(value: str | Column) -> Column:
+    """A value as text that tells where it ends: its bytes, a colon and itself; ``-`` if it is missing."""
+    text = (F.col(value) if isinstance(value, str) else value).cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import query, settle, table
+from tablescout.llm.common import field, query, settle, table
 
 #: Consecutive nodes that become one, levels of the tree that a digit of the rank stands for, and digits in a block: a
 #: block holds ARITY ** (WIDTH * DIGITS) = 256 nodes at most.
@@ -26,12 +26,6 @@ def digest(*parts: str | Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def field(value: str | Column) -> Column:
-    """A value as text that tells where it ends: its bytes, a colon and itself; ``-`` if it is missing."""
-    text = (F.col(value) if isinstance(value, str) else value).cast("string")
-    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
-
-
 def leaf(**changed: Column) -> Column:
     """The leaf of a document; ``changed`` gives other values for some of its columns."""
     return digest(*(field(changed.get(c, F.col(c))) for c in COVERED))
