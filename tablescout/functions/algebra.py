@@ -3,64 +3,34 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def _matrix_row(pairs: DataFrame) -> DataFrame:
-    """All pair rows of one matrix side by side; the matrix has one cell per column pair."""
-    return pairs.agg(F.collect_list(F.struct("col_a", "col_b", "n", "r")).alias("cells"))
-
-
-def _matrix(cells, cols: list[str]) -> tuple[np.ndarray, int]:
-    at = {c: i for i, c in enumerate(cols)}
-    out, n = np.eye(len(cols)), 0
-    for cell in cells:
-        i, j, r = at[cell["col_a"]], at[cell["col_b"]], cell["r"]
-        out[i, j] = out[j, i] = np.nan if r is None else r
-        n = int(cell["n"] or 0)
-    return out, n
 
 
 def _usable(matrix: np.ndarray, cols: list[str]) -> tuple[np.ndarray, list[str]]:
     """Drop constant columns, whose correlations are undefined."""
-    off = matrix - np.diag(np.diag(matrix))
-    keep = [i for i in range(len(cols)) if not np.isnan(np.delete(off[i], i)).all()]
+    keep = [i for i in range(len(cols)) if not np.isnan(matrix[i, i])]
     return matrix[np.ix_(keep, keep)], [cols[i] for i in keep]
 
 
-def variance_inflation(pairs: DataFrame, cols: list[str]) -> DataFrame:
-    def solve(batches):
-        for batch in batches:
-            for cells in batch["cells"]:
-                matrix, n = _matrix(cells, cols)
-                matrix, kept = _usable(matrix, cols)
-                if len(kept) < 3 or n < len(kept) + 2:
-                    continue
-                out = []
-                for i in range(len(kept)):
-                    rest = [j for j in range(len(kept)) if j != i]
-                    beta = np.linalg.lstsq(matrix[np.ix_(rest, rest)], matrix[rest, i], rcond=None)[0]
-                    r2 = float(matrix[rest, i] @ beta)
-                    out.append(1.0 / (1.0 - r2) if r2 < 1.0 - 1e-12 else float("inf"))
-                yield pd.DataFrame({"column": kept, "vif": out})
-
-    return _matrix_row(pairs).mapInPandas(solve, "column string, vif double")
-
-
-def partial_correlations(pairs: DataFrame, cols: list[str]) -> DataFrame:
-    def solve(batches):
-        for batch in batches:
-            for cells in batch["cells"]:
-                matrix, n = _matrix(cells, cols)
-                matrix, kept = _usable(matrix, cols)
-                if n < 4 or len(kept) < 2:
-                    continue
-                inverse = np.linalg.pinv(matrix)
-                scale = np.sqrt(np.diag(inverse))
-                partial = -inverse / np.outer(scale, scale)
-                rows = [(kept[i], kept[j], float(partial[i, j])) for i in range(len(kept)) for j in range(i + 1, len(kept))]
-                yield pd.DataFrame(rows, columns=["col_a", "col_b", "partial_r"])
-
-    return _matrix_row(pairs).mapInPandas(solve, "col_a string, col_b string, partial_r double")
+def variance_inflation(matrix: np.ndarray, n: int, cols: list[str]) -> list[tuple[str, float]]:
+    """Each column with its variance inflation factor; none for fewer than three columns or hardly more rows."""
+    matrix, kept = _usable(matrix, cols)
+    if len(kept) < 3 or n < len(kept) + 2:
+        return []
+    out = []
+    for i, c in enumerate(kept):
+        rest = [j for j in range(len(kept)) if j != i]
+        beta = np.linalg.lstsq(matrix[np.ix_(rest, rest)], matrix[rest, i], rcond=None)[0]
+        r2 = float(matrix[rest, i] @ beta)
+        out.append((c, 1.0 / (1.0 - r2) if r2 < 1.0 - 1e-12 else float("inf")))
+    return out
+
+
+def partial_correlations(matrix: np.ndarray, n: int, cols: list[str]) -> list[tuple[str, str, float]]:
+    """Each pair of columns with its correlation given all others."""
+    matrix, kept = _usable(matrix, cols)
+    if n < 4 or len(kept) < 2:
+        return []
+    inverse = np.linalg.pinv(matrix)
+    scale = np.sqrt(np.diag(inverse))
+    partial = -inverse / np.outer(scale, scale)
+    return [(kept[i], kept[j], float(partial[i, j])) for i in range(len(kept)) for j in range(i + 1, len(kept))]

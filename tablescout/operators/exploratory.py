@@ -17,8 +17,9 @@ from tablescout.functions.columns import (
 )
 from tablescout.functions.tails import chi2_upper, f_upper, slope_p_value
 from tablescout.plans.counts import PAIR_KEY, category_counts, distinct_counts, full_table, pair_counts, with_margins
+from tablescout.plans.gram import gram
 from tablescout.plans.ranks import attach_ranks, average_ranks, quantile, quantiles, ranked_quantiles, ranked_values, value_counts
-from tablescout.plans.stats import column_moments, complete_pair_statistics, pair_list, pair_statistics, tally
+from tablescout.plans.stats import column_moments, pair_list, pair_statistics, tally
 
 
 def distribution(df: DataFrame, cols) -> DataFrame:
@@ -188,13 +189,16 @@ def pairwise_regression(df: DataFrame, pairs, p_values: bool = True) -> DataFram
 
 
 def vif(df: DataFrame, cols) -> DataFrame:
-    """``column, vif`` from the inverse of one distributed correlation matrix over complete rows."""
-    return variance_inflation(complete_pair_statistics(df, cols), list(cols))
+    """``column, vif`` from the inverse of one correlation matrix over complete rows, made in one scan."""
+    found = gram(df, cols)
+    return df.sparkSession.createDataFrame(variance_inflation(found.correlation, found.n, found.cols), "column string, vif double")
 
 
 def partial_correlation(df: DataFrame, cols, min_abs: float = 0.2, top: int | None = None) -> DataFrame:
-    """``col_a, col_b, partial_r`` given all other columns, strongest first."""
-    pairs = partial_correlations(complete_pair_statistics(df, cols), list(cols))
+    """``col_a, col_b, partial_r`` given all other columns, strongest first; one scan."""
+    found = gram(df, cols)
+    rows = partial_correlations(found.correlation, found.n, found.cols)
+    pairs = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, partial_r double")
     out = pairs.where(F.abs("partial_r") >= min_abs).orderBy(F.abs("partial_r").desc(), "col_a", "col_b")
     return out.limit(top) if top else out
 

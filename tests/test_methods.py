@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescout.operators import basket
+from tablescout.operators import multivariate as M
+from tablescout.plans import gram as G
 
 
 def test_itemsets_and_rules_are_brute_force(spark):
@@ -40,3 +42,58 @@ def test_item_in_most_baskets_is_no_group(spark, monkeypatch):
     basket.itemsets(spark.createDataFrame(rows, "b int, i string"), "b", "i", min_count=2, max_size=2).collect()
     (projected,) = [df for df in seen if "rest" in df.columns]
     assert {r["items"][0] for r in projected.collect()} == {f"i{k}" for k in range(10)} and projected.count() == 10
+
+
+def _cloud(spark, rows=400, seed=0):
+    random = np.random.default_rng(seed)
+    values = random.normal(0, 1, (rows, 4)) @ random.normal(0, 1, (4, 4)) + 1e7
+    df = spark.createDataFrame([(*map(float, v), [float(v[0]), 1.0]) for v in values], "a double, b double, c double, d double, v array<double>")
+    return values, df
+
+
+def test_gram_keeps_digits_and_skips_missing_rows(spark, monkeypatch):
+    monkeypatch.setattr(G, "SLICE_ROWS", 7)
+    values, df = _cloud(spark)
+    gaps = df.union(spark.createDataFrame([(1.0, None, 2.0, 3.0, None), (float("nan"), 1.0, 1.0, 1.0, None)], df.schema)).repartition(5)
+    found = G.gram(gaps, list("abcd"))
+    assert found.n == 400 and np.allclose(found.mean, values.mean(axis=0), rtol=1e-14)
+    assert np.allclose(found.covariance, np.cov(values.T), rtol=1e-9)
+    one = G.gram(df, ["v"])
+    assert one.cols == ["v[0]", "v[1]"] and np.isnan(one.correlation[1]).all() and one.correlation[0, 0] == 1
+    assert G.gram(df.limit(0), ["a", "b"]).n == 0
+
+
+def test_components_are_those_of_numpy(spark):
+    values, df = _cloud(spark)
+    found = M.principal_components(df, list("abcd"), standardize=False)
+    want = np.sort(np.linalg.eigvalsh(np.cov(values.T)))[::-1]
+    assert np.allclose(found.variance, want, rtol=1e-7)
+    placed = found.project(df, list("abcd"), 2)
+    spread = placed.agg(F.var_samp("pc1"), F.var_samp("pc2"), F.corr("pc1", "pc2")).first()
+    assert np.allclose(spread[:2], want[:2], rtol=1e-7) and abs(spread[2]) < 1e-6
+    shares = [r.share for r in M.principal_components(df, list("abcd")).summary(df).collect()]
+    assert sum(shares) == pytest.approx(1) and shares == sorted(shares, reverse=True)
+
+
+def test_hundred_columns_take_one_scan(spark):
+    df = spark.range(50).select(*(F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(100)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("gram", "gram")
+    assert G.gram(df, df.columns).product.shape == (100, 100)
+    assert len(tracker.getJobIdsForGroup("gram")) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_clusters_are_the_same_for_any_partitioning(spark):
+    random = np.random.default_rng(3)
+    points = np.concatenate([random.normal(c, 0.4, (150, 3)) for c in ((0, 0, 0), (5, 5, 0), (0, 5, 5), (9, 0, 9))])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points] + [(None, 1.0, 1.0)] + [(0.0, 0.0, 0.0)] * 300, "x double, y double, z double")
+    one, two = (M.kmeans(df.repartition(n), ["x", "y", "z"], 4) for n in (2, 9))
+    assert np.array_equal(one.centres, two.centres) and one.sizes == two.sizes and one.inertia == two.inertia
+    assert all(b <= a * (1 + 1e-12) for a, b in zip(one.inertia, one.inertia[1:]))
+    assert sorted(one.sizes) == [150, 150, 150, 450]
+    marked = one.assign(df, ["x", "y", "z"])
+    assert {r.cluster: r["count"] for r in marked.groupBy("cluster").count().collect()} == {None: 1, **dict(enumerate(one.sizes))}
+    few = M.kmeans(spark.createDataFrame([(1.0,)] * 5 + [(2.0,)], "x double"), ["x"], 4)
+    assert sorted(few.sizes) == [1, 5] and few.inertia[-1] == 0
+    assert M.kmeans(df.limit(0), ["x", "y", "z"], 3).sizes == []

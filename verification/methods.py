@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket
+from tablescout.operators import basket, multivariate
 from verification.registry import query
 
 
@@ -64,3 +64,97 @@ def _(t):
 def _(t):
     rules = basket.association_rules(basket.itemsets(_traits(t), "l_orderkey", "item", min_count=20))
     return rules.withColumn("antecedent", _joined("antecedent"))
+
+
+#: Covariances of the places of the vectors, as one list of lists.
+COVARIANCE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i),
+r AS (SELECT i, list(c ORDER BY j) AS row FROM c GROUP BY i)"""
+
+
+@query(
+    "component_power_sums",
+    f"""WITH {COVARIANCE},
+    s AS (SELECT a.i, b.i AS j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.j GROUP BY a.i, b.i)
+    SELECT (SELECT count(*) FROM r) AS components, (SELECT count(*) FROM e) AS n, round((SELECT sum(c) FROM c WHERE i = j), 4) AS variance,
+      round((SELECT sum(c) FROM s WHERE i = j), 4) AS squares, round((SELECT sum(s.c * c.c) FROM s JOIN c USING (i, j)), 4) AS cubes""",
+)
+def _(t):
+    found = multivariate.principal_components(t.embeddings, ["embedding"], standardize=False)
+    powers = [F.round(F.sum(F.pow("variance", F.lit(p))), 4).alias(c) for p, c in ((1, "variance"), (2, "squares"), (3, "cubes"))]
+    return found.summary(t.embeddings).agg(F.count("*").alias("components"), F.lit(found.n).cast("long").alias("n"), *powers)
+
+
+@query(
+    "first_component",
+    f"""WITH RECURSIVE {COVARIANCE}, m AS (SELECT list(row ORDER BY i) AS m FROM r),
+    p(k, v) AS (SELECT 0, list_transform(range(64), lambda i: 1.0::DOUBLE / (i + 1)) UNION ALL
+      SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+        SELECT k, list_transform(m, lambda row: list_inner_product(row, v)) AS w FROM p, m WHERE k < 600)),
+    f AS (SELECT v, list_transform(m, lambda row: list_inner_product(row, v)) AS w FROM p, m WHERE k = 600)
+    SELECT 1 AS component, round(list_inner_product(v, w), 4) AS variance,
+      round(list_inner_product(v, w) / (SELECT sum(c) FROM c WHERE i = j), 4) AS share FROM f""",
+)
+def _(t):
+    found = multivariate.principal_components(t.embeddings, ["embedding"], standardize=False)
+    return found.summary(t.embeddings).where("component = 1").select("component", "variance", "share")
+
+
+@query("principal_components")
+def _(t):
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return multivariate.principal_components(t.lineitem, cols).summary(t.lineitem)
+
+
+@query(
+    "component_scores",
+    """WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS b, avg(l_extendedprice) AS c, stddev_samp(l_extendedprice) AS d,
+      corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_quantity - a) / b + (l_extendedprice - c) / d) / sqrt(2), 4) AS pc1 FROM lineitem, m""",
+)
+def _(t):
+    cols = ["l_quantity", "l_extendedprice"]
+    placed = multivariate.principal_components(t.lineitem, cols).project(t.lineitem, cols, 1)
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pc1")
+
+
+#: Rounds of assigning and averaging; both sides stand still well before.
+ROUNDS = 60
+LLOYD_SQL = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+k(it, c) AS (SELECT 0, (SELECT list(v ORDER BY vec_id) FROM e WHERE vec_id < 6) UNION ALL
+  SELECT it + 1, list(centre ORDER BY nearest) FROM (
+    SELECT it, nearest, list(m ORDER BY j) AS centre FROM (
+      SELECT it, nearest, j, avg(x) AS m FROM (
+        SELECT it, list_position(d, list_min(d)) AS nearest, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM (
+          SELECT it, v, list_transform(c, lambda y: list_distance(y, v)) AS d FROM k, e WHERE it < {ROUNDS}))
+      GROUP BY it, nearest, j) GROUP BY it, nearest) GROUP BY it),
+f AS (SELECT vec_id, list_position(d, list_min(d)) - 1 AS cluster, list_min(d) AS apart FROM (
+  SELECT vec_id, list_transform(c, lambda y: list_distance(y, v)) AS d FROM k, e WHERE it = {ROUNDS}))"""
+
+
+def _clusters(t):
+    rows = t.embeddings.where("vec_id < 6").orderBy("vec_id").collect()
+    return multivariate.kmeans(t.embeddings, ["embedding"], 6, start=[r.embedding for r in rows], rounds=ROUNDS)
+
+
+@query("cluster_members", LLOYD_SQL + " SELECT vec_id, CAST(cluster AS INT) AS cluster FROM f")
+def _(t):
+    return _clusters(t).assign(t.embeddings, ["embedding"]).select("vec_id", "cluster")
+
+
+@query("cluster_sizes", LLOYD_SQL + " SELECT CAST(cluster AS INT) AS cluster, count(*) AS size, (SELECT round(sum(apart * apart), 4) FROM f) AS inertia FROM f GROUP BY cluster")
+def _(t):
+    found = _clusters(t)
+    rows = [(i, n, found.inertia[-1]) for i, n in enumerate(found.sizes)]
+    return t.spark.createDataFrame(rows, "cluster int, size long, inertia double")
+
+
+@query("clusters_seeded", "SELECT 8 AS clusters, count(*) AS rows, true AS falls, true AS stands FROM embeddings")
+def _(t):
+    """Clusters from drawn seeds: all rows are in one, the distances fall, and no centre moves any more."""
+    found = multivariate.kmeans(t.embeddings, ["embedding"], 8)
+    falls = all(b <= a for a, b in zip(found.inertia, found.inertia[1:]))
+    again = multivariate.kmeans(t.embeddings, ["embedding"], 8, start=found.centres, rounds=1)
+    row = (len(found.sizes), sum(found.sizes), falls, bool(abs(again.centres - found.centres).max() < 1e-6))
+    return t.spark.createDataFrame([row], "clusters int, rows long, falls boolean, stands boolean")
