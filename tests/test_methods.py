@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket
+from tablescout.operators import basket, churn, experiment
 from tablescout.operators import multivariate as M
 from tablescout.plans import gram as G
 
@@ -97,3 +97,58 @@ def test_clusters_are_the_same_for_any_partitioning(spark):
     few = M.kmeans(spark.createDataFrame([(1.0,)] * 5 + [(2.0,)], "x double"), ["x"], 4)
     assert sorted(few.sizes) == [1, 5] and few.inertia[-1] == 0
     assert M.kmeans(df.limit(0), ["x", "y", "z"], 3).sizes == []
+
+
+def test_panel_is_dense_and_censored(spark):
+    rows = [("a", "2024-01-01", 1.0), ("a", "2024-01-01", 2.0), ("a", "2024-01-04", None), ("b", "2024-01-03", 5.0), (None, "2024-01-09", 1.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "e string, t string, v double").withColumn("t", F.to_timestamp("t"))
+    panel = churn.activity_panel(df, "e", "t", "day", "v", silent=2)
+    got = [tuple(r) for r in panel.orderBy("entity", "period").collect()]
+    assert got == [
+        ("a", 0, 2, 3.0, 0, 0, 2, False, True), ("a", 1, 0, 0.0, 1, 1, 2, False, False), ("a", 2, 0, 0.0, 2, 2, 2, True, None), ("a", 3, 1, 0.0, 3, 0, 3, True, None),
+        ("b", 2, 1, 5.0, 0, 0, 1, True, None), ("b", 3, 0, 0.0, 1, 1, 1, True, None),
+    ]
+    assert [tuple(r) for r in churn.churn_by_period(panel).orderBy("period").collect()][0] == (0, 1, 1, 1, 0, 1.0)
+    assert churn.activity_panel(df.limit(0), "e", "t").count() == 0
+
+
+def test_logistic_regression_is_that_of_numpy(spark):
+    random = np.random.default_rng(5)
+    x = random.normal(0, 1, (600, 2)) * [1, 100] + [0, 5000]
+    y = random.uniform(size=600) < 1 / (1 + np.exp(-(0.5 + x[:, 0] - (x[:, 1] - 5000) / 80)))
+    df = spark.createDataFrame([(*map(float, r), 7.0, bool(k)) for r, k in zip(x, y)] + [(None, 1.0, 1.0, True), (1.0, 1.0, 1.0, None)], "a double, b double, c double, y boolean")
+    found = churn.logistic_regression(df.repartition(5), ["a", "b", "c"], "y")
+    full, beta = np.column_stack([np.ones(600), x]), np.zeros(3)
+    centre = np.array([0, 0, 5000.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-((full - centre) @ beta)))
+        beta += np.linalg.solve(((full - centre) * (p * (1 - p))[:, None]).T @ (full - centre), (full - centre).T @ (y - p))
+    assert np.allclose(found.coefficients, [beta[1], beta[2], 0], rtol=1e-6)
+    assert found.intercept == pytest.approx(beta[0] - 5000 * beta[2], rel=1e-6) and found.n == 600
+    spread = np.linalg.inv((full * (p * (1 - p))[:, None]).T @ full)
+    assert np.allclose(found.errors[:3], np.sqrt(np.diag(spread)), rtol=1e-4)
+    parted = spark.createDataFrame([(float(i), i > 5) for i in range(12)], "a double, y boolean")
+    assert np.isfinite(churn.logistic_regression(parted, ["a"], "y", ridge=0.1).coefficients).all()
+
+
+def test_rank_sum_counts_pairs(spark):
+    draw = random.Random(4)
+    a, b = [draw.randrange(6) for _ in range(40)], [draw.randrange(1, 7) for _ in range(25)]
+    rows = [("a", v) for v in a] + [("b", v) for v in b] + [("c", 9), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(4)
+    (r,) = experiment.rank_sum(df, "g", "v", "a", "b").collect()
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    ties = sum(t**3 - t for t in (sum(v == k for v in a + b) for k in range(8)))
+    sigma = (40 * 25 / 12 * (66 - ties / (65 * 64))) ** 0.5
+    assert (r.n_a, r.n_b, r.u) == (40, 25, u) and r.z == pytest.approx((u - 500) / sigma)
+    assert experiment.rank_sum(df, "g", "v", "a", "nobody").count() == 0
+
+
+def test_resampled_interval_does_not_depend_on_partitions(spark):
+    random = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], float(random.normal(3 if i % 2 else 5, 2))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    one, two = (experiment.resampled_difference(df.repartition(n), "g", "v", "a", "b", ["id"]).collect()[0] for n in (1, 7))
+    assert tuple(one) == pytest.approx(tuple(two), rel=1e-9)
+    error = (sum(np.var([r[2] for r in rows if r[1] == s], ddof=1) / 1000 for s in "ab")) ** 0.5
+    assert one.low == pytest.approx(one.difference - 1.96 * error, abs=error / 3) and one.high == pytest.approx(one.difference + 1.96 * error, abs=error / 3)

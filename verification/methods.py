@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket, multivariate
+from tablescout.operators import basket, churn, experiment, multivariate
 from verification.registry import query
 
 
@@ -158,3 +158,117 @@ def _(t):
     again = multivariate.kmeans(t.embeddings, ["embedding"], 8, start=found.centres, rounds=1)
     row = (len(found.sizes), sum(found.sizes), falls, bool(abs(again.centres - found.centres).max() < 1e-6))
     return t.spark.createDataFrame([row], "clusters int, rows long, falls boolean, stands boolean")
+
+
+#: Purchases of users by day, from the first of a user to the last day of all; silent for three days is churned.
+PANEL_SQL = """WITH d AS (SELECT user_id AS entity, date_diff('day', DATE '1970-01-05', ts::DATE) AS day, count(*) AS events, sum(value) AS v
+  FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+g AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
+u AS (SELECT entity, min(day) AS start FROM d GROUP BY entity),
+x AS (SELECT entity, start, lo, hi, unnest(range(start, hi + 1)) AS day FROM u, g),
+p AS (SELECT x.entity, x.day - lo AS period, coalesce(events, 0) AS events, coalesce(v, 0) AS value_sum, x.day - start AS age,
+  x.day - max(CASE WHEN events > 0 THEN x.day END) OVER past AS recency, sum(coalesce(events, 0)) OVER past AS events_so_far,
+  x.day + 3 > hi AS censored,
+  CASE WHEN x.day + 3 <= hi THEN coalesce(sum(coalesce(events, 0)) OVER (PARTITION BY x.entity ORDER BY x.day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) = 0 END AS churned
+  FROM x LEFT JOIN d USING (entity, day) WINDOW past AS (PARTITION BY x.entity ORDER BY x.day ROWS UNBOUNDED PRECEDING))"""
+
+
+def _panel(t):
+    return churn.activity_panel(t.events.where("event_type = 'purchase'"), "user_id", "ts", "day", "value", silent=3)
+
+
+@query(
+    "activity_panel",
+    PANEL_SQL
+    + """ SELECT entity, CAST(period AS INT) AS period, events, round(value_sum, 4) AS value_sum, CAST(age AS INT) AS age,
+    CAST(recency AS INT) AS recency, CAST(events_so_far AS BIGINT) AS events_so_far, censored, churned FROM p""",
+)
+def _(t):
+    return _panel(t)
+
+
+@query(
+    "churn_by_period",
+    PANEL_SQL
+    + """, c AS (SELECT period, count(*) AS entities, count(*) FILTER (events > 0) AS active, count(*) FILTER (events > 0 AND churned) AS churned,
+      count(*) FILTER (events > 0 AND censored) AS censored FROM p GROUP BY period)
+    SELECT CAST(period AS INT) AS period, entities, active, churned, censored, round(churned / nullif(active - censored, 0), 4) AS churn_rate FROM c""",
+)
+def _(t):
+    return churn.churn_by_period(_panel(t))
+
+
+@query(
+    "churn_model_balance",
+    PANEL_SQL
+    + """ SELECT count(*) AS n, round(count(*) FILTER (churned), 3) AS expected, round(sum(CASE WHEN churned THEN recency ELSE 0 END), 3) AS recency,
+      round(sum(CASE WHEN churned THEN events_so_far ELSE 0 END), 3) AS events_so_far, round(sum(CASE WHEN churned THEN value_sum ELSE 0 END), 3) AS value_sum
+    FROM p WHERE churned IS NOT NULL""",
+    digits=3,
+)
+def _(t):
+    """A fitted model expects as many churned, and as much of each column with them, as there are; no other model does."""
+    cols = ["recency", "events_so_far", "value_sum"]
+    rows = _panel(t).where("churned IS NOT NULL")
+    model = churn.logistic_regression(rows, cols, "churned")
+    p = model.probability(rows, cols)
+    sums = [F.sum(F.col("p") * F.col(c)).alias(c) for c in cols]
+    return rows.withColumn("p", p).agg(F.count("*").alias("n"), F.sum("p").alias("expected"), *sums)
+
+
+@query("churn_model")
+def _(t):
+    rows = _panel(t).where("churned IS NOT NULL")
+    return churn.logistic_regression(rows, ["recency", "events_so_far", "value_sum"], "churned").table(rows)
+
+
+def _normal_p(z: str) -> str:
+    """Two-sided p of a standard normal value, by the series of the error function."""
+    x = f"(abs({z}) / sqrt(2))"
+    term = f"exp(2 * k * ln(2) + (2 * k + 1) * ln({x} + 1e-300) - lgamma(2 * k + 2) + lgamma(k + 1))"
+    return f"round(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(120), lambda k: {term})), 4) AS p_value"
+
+
+@query(
+    "share_test",
+    f"""WITH c AS (SELECT count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'R') AS n_b,
+      count(*) FILTER (l_returnflag = 'A' AND l_quantity > 25) AS k_a, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS k_b FROM lineitem),
+    s AS (SELECT *, k_a / n_a AS share_a, k_b / n_b AS share_b, (k_a + k_b) / (n_a + n_b) AS p FROM c)
+    , z AS (SELECT *, (share_a - share_b) / sqrt(p * (1 - p) * (1 / n_a + 1 / n_b)) AS z FROM s)
+    SELECT n_a, n_b, round(share_a, 4) AS share_a, round(share_b, 4) AS share_b, round(share_a - share_b, 4) AS difference, round(z, 4) AS z, {_normal_p("z")} FROM z""",
+)
+def _(t):
+    rows = t.lineitem.withColumn("large", F.col("l_quantity") > 25)
+    return experiment.share_test(rows, "l_returnflag", "large", "A", "R")
+
+
+@query(
+    "rank_sum",
+    f"""WITH r AS (SELECT l_returnflag AS g, l_quantity AS v, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k,
+      count(*) OVER (PARTITION BY l_quantity) AS t FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+    s AS (SELECT count(*) FILTER (g = 'A') AS n, count(*) FILTER (g = 'R') AS m, sum(k) FILTER (g = 'A') AS r, sum(t::DOUBLE * t - 1) AS ties FROM r),
+    u AS (SELECT *, r - n * (n + 1) / 2 AS u FROM s),
+    z AS (SELECT *, (u - n * m / 2) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) AS z FROM u)
+    SELECT n AS n_a, m AS n_b, round(u, 4) AS u, round(u / (n * m), 4) AS superiority, round(z, 4) AS z, {_normal_p("z")} FROM z""",
+)
+def _(t):
+    return experiment.rank_sum(t.lineitem, "l_returnflag", "l_quantity", "A", "R")
+
+
+@query(
+    "resampled_difference",
+    """WITH m AS (SELECT count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'R') AS n_b,
+      avg(l_extendedprice) FILTER (l_returnflag = 'A') - avg(l_extendedprice) FILTER (l_returnflag = 'R') AS difference FROM lineitem)
+    SELECT n_a, n_b, round(difference, 4) AS difference, true AS holds, true AS close FROM m""",
+)
+def _(t):
+    """The interval holds the difference, and is about as wide as the one of the normal law."""
+    rows = t.lineitem
+    found = experiment.resampled_difference(rows, "l_returnflag", "l_extendedprice", "A", "R", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    side = lambda f: F.when(F.col("l_returnflag") == f, F.col("l_extendedprice"))
+    error = F.sqrt(F.var_samp(side("A")) / F.count(side("A")) + F.var_samp(side("R")) / F.count(side("R")))
+    both = found.crossJoin(F.broadcast(rows.agg(error.alias("error"))))
+    return both.select(
+        "n_a", "n_b", "difference", F.col("difference").between(F.col("low"), F.col("high")).alias("holds"),
+        (F.abs((F.col("high") - F.col("low")) / (F.col("error") * 3.92) - 1) < 0.2).alias("close"),
+    )
