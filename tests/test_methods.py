@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket, churn, experiment
+from tablescout.operators import basket, churn, control, engagement, experiment, survival
 from tablescout.operators import multivariate as M
 from tablescout.plans import gram as G
 
@@ -152,3 +152,93 @@ def test_resampled_interval_does_not_depend_on_partitions(spark):
     assert tuple(one) == pytest.approx(tuple(two), rel=1e-9)
     error = (sum(np.var([r[2] for r in rows if r[1] == s], ddof=1) / 1000 for s in "ab")) ** 0.5
     assert one.low == pytest.approx(one.difference - 1.96 * error, abs=error / 3) and one.high == pytest.approx(one.difference + 1.96 * error, abs=error / 3)
+
+
+def test_product_limit_over_blocks(spark, small_blocks):
+    draw = random.Random(6)
+    rows = [(draw.choice("ab"), float(draw.randrange(40)), draw.random() < 0.6) for _ in range(300)] + [("a", 99.0, True), ("b", 7.0, None), (None, 1.0, True)]
+    df = spark.createDataFrame(rows, "g string, d double, seen boolean").repartition(4)
+    got = {(r.g, r.duration): r for r in survival.product_limit(df, "d", "seen", ["g"]).collect()}
+    for g in "ab":
+        own = [(d, e) for k, d, e in rows if k == g and e is not None]
+        s = v = None
+        for t in sorted({d for d, _ in own}):
+            risk, events = sum(d >= t for d, _ in own), sum(d == t and e for d, e in own)
+            s = (1.0 if s is None else s) * (1 - events / risk)
+            v = (0.0 if v is None else v) + (events / (risk * (risk - events)) if events < risk else 0)
+            r = got[g, t]
+            assert (r.at_risk, r.events) == (risk, events) and r.survival == pytest.approx(s, abs=1e-12) and r.std_error == pytest.approx(s * v**0.5, abs=1e-12)
+    assert got["a", 99.0].survival == 0
+    assert survival.product_limit(df.limit(0), "d", "seen").count() == 0
+
+
+def test_log_rank_of_three_groups(spark):
+    """The statistic is that of the pairwise sums, and equal groups give next to nothing."""
+    rows = [(g, float(d), d % 4 > 0) for g in "abc" for d in range(1, 40)]
+    (r,) = survival.log_rank(spark.createDataFrame(rows, "g string, d double, seen boolean"), "d", "seen", "g").collect()
+    assert r.groups == 3 and r.dof == 2 and r.chi2 == pytest.approx(0, abs=1e-9) and r.p_value == pytest.approx(1)
+    late = [(g, d * (3 if g == "c" else 1), e) for g, d, e in rows]
+    (r,) = survival.log_rank(spark.createDataFrame(late, "g string, d double, seen boolean"), "d", "seen", "g").collect()
+    assert r.p_value < 1e-3 and r.observed_events[2] < r.expected_events[2]
+    assert sum(r.observed_events) == pytest.approx(sum(r.expected_events))
+    assert survival.log_rank(spark.createDataFrame(rows[:5], "g string, d double, seen boolean"), "d", "seen", "g").count() == 0
+
+
+def test_time_to_next_of_a_hot_entity(spark, small_blocks):
+    rows = [("hot", i // 2) for i in range(40)] + [("x", 5), ("x", 100), (None, 3), ("y", None)]
+    df = spark.createDataFrame(rows, "e string, s int").select("e", F.timestamp_seconds("s").alias("t"), F.monotonically_increasing_id().alias("k"))
+    got = survival.time_to_next(df, "e", "t", ["k"]).collect()
+    hot = sorted(r.duration for r in got if r.entity == "hot" and r.observed)
+    assert hot == [0.0] * 20 + [1.0] * 19 and len(got) == 42
+    assert {(r.entity, r.duration) for r in got if not r.observed} == {("hot", 81.0), ("x", 0.0)}
+
+
+def test_rolling_distinct_is_a_count_of_each_window(spark):
+    draw = random.Random(3)
+    rows = [(draw.randrange(12), f"2024-01-{draw.randrange(1, 29):02d}") for _ in range(60)] + [(99, f"2024-01-{d:02d}") for d in range(1, 29)] * 3 + [(None, "2024-01-05"), (5, None)]
+    df = spark.createDataFrame(rows, "e int, t string").withColumn("t", F.to_timestamp("t"))
+    days = {e: {int(t[-2:]) for k, t in rows if k == e and t} for e, _ in rows if e is not None}
+    for r in engagement.rolling_distinct(df, "e", "t", (1, 3, 10)).collect():
+        for w in (1, 3, 10):
+            assert r[f"active_{w}"] == sum(any(r.day.day - w < d <= r.day.day for d in own) for own in days.values())
+    assert engagement.rolling_distinct(df.limit(0), "e", "t").count() == 0
+
+
+def test_runs_go_on_over_block_edges(spark, small_blocks):
+    draw = random.Random(7)
+    series = [draw.choice([1, 2, 3, 5, 6, 7]) for _ in range(60)] + [9] * 30 + [1, 2, 3, 4, 5, 6, 7, 8] + [1, 8] * 12 + [60] + [4] * 5
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(series)] + [(500, None)], "i int, v double").repartition(3)
+    centre = float(np.mean(series))
+    sigma = float(np.mean(np.abs(np.diff(series)))) / 1.128
+
+    def runs(states, least, more):
+        out, at = set(), 0
+        for state, some in itertools.groupby(states):
+            n = len(list(some))
+            if state and n >= least:
+                out.add((at - more, at + n - 1, n + more))
+            at += n
+        return out
+
+    step = [0, *np.sign(np.diff(series)).tolist()]
+    want = {
+        "beyond": runs([(v > centre + 3 * sigma) - (v < centre - 3 * sigma) for v in series], 1, 0),
+        "shift": runs([(v > centre) - (v < centre) for v in series], 8, 0),
+        "trend": runs(step, 5, 1),
+        "zigzag": runs([s * (1 if i % 2 == 0 else -1) for i, s in enumerate(step)], 13, 1),
+    }
+    got = {}
+    for r in control.run_rules(df, "v", ["i"]).collect():
+        got.setdefault(r.rule, set()).add((r.start, r.stop, r.length))
+    assert got == want and all(want.values())
+    keyed = control.run_rules(df.withColumn("k", F.explode(F.array(F.lit("a"), F.lit("b")))), "v", ["i"], ["k"])
+    assert keyed.count() == 2 * sum(map(len, want.values()))
+
+
+def test_no_step_gathers_the_rows(spark):
+    """Only sums by day, group or block pass through one task."""
+    df = spark.range(1000).selectExpr("id % 7 AS e", "timestamp_seconds(id * 5000) AS t", "double(id) AS v")
+    for frame in (engagement.rolling_distinct(df, "e", "t"), churn.activity_panel(df, "e", "t"), experiment.rank_sum(df, "e", "v", 1, 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        for above in plan.split("Exchange SinglePartition")[1:]:
+            assert "HashAggregate" in above.split("\n")[1] or "Project" in above.split("\n")[1] or "Generate" in above.split("\n")[1], plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket, churn, experiment, multivariate
+from tablescout.operators import basket, churn, control, engagement, experiment, multivariate, survival
 from verification.registry import query
 
 
@@ -272,3 +272,151 @@ def _(t):
         "n_a", "n_b", "difference", F.col("difference").between(F.col("low"), F.col("high")).alias("holds"),
         (F.abs((F.col("high") - F.col("low")) / (F.col("error") * 3.92) - 1) < 0.2).alias("close"),
     )
+
+
+#: Hours from each event to the next one of its user.
+GAPS_SQL = """WITH g AS (SELECT event_type, floor(epoch_us(coalesce(n, (SELECT max(ts) FROM events))) / 3600e6 - epoch_us(ts) / 3600e6) AS hours, n IS NOT NULL AS observed,
+    (epoch_us(coalesce(n, (SELECT max(ts) FROM events))) - epoch_us(ts)) / 1e6 AS duration, user_id, ts
+  FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)),"""
+_RISK = """c AS (SELECT event_type, hours, count(*) FILTER (observed) AS events, count(*) FILTER (NOT observed) AS censored, count(*) AS n FROM h GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY hours DESC) AS at_risk FROM c)"""
+HOURS_SQL = "h AS (SELECT event_type, observed, floor(duration / 3600) AS hours FROM g),"
+
+
+def _gaps(t):
+    gaps = survival.time_to_next(t.events, "user_id", "ts", ["event_id"], ["event_type"])
+    return gaps.withColumn("hours", F.floor(F.col("duration") / 3600))
+
+
+@query("time_to_next", GAPS_SQL[:-1] + " SELECT user_id AS entity, ts AS time, event_type, CAST(round(duration * 1e6) AS BIGINT) AS micros, observed FROM g")
+def _(t):
+    gaps = survival.time_to_next(t.events, "user_id", "ts", ["event_id"], ["event_type"])
+    micros = F.round(F.col("duration") * 1_000_000).cast("long").alias("micros")
+    return gaps.select("entity", F.col("time").cast("timestamp_ntz").alias("time"), "event_type", micros, "observed")
+
+
+@query(
+    "product_limit",
+    GAPS_SQL
+    + HOURS_SQL
+    + _RISK
+    + """ SELECT event_type, CAST(hours AS BIGINT) AS duration, CAST(at_risk AS BIGINT) AS at_risk, events, censored,
+      round(CASE WHEN bool_or(events = at_risk) OVER w THEN 0 ELSE exp(sum(ln(CASE WHEN events < at_risk THEN 1 - events / at_risk ELSE 1 END)) OVER w) END, 4) AS survival,
+      round(CASE WHEN bool_or(events = at_risk) OVER w THEN 0 ELSE exp(sum(ln(CASE WHEN events < at_risk THEN 1 - events / at_risk ELSE 1 END)) OVER w)
+        * sqrt(sum(CASE WHEN events < at_risk THEN events / (at_risk * (at_risk - events)) ELSE 0 END) OVER w) END, 4) AS std_error
+    FROM r WINDOW w AS (PARTITION BY event_type ORDER BY hours)""",
+)
+def _(t):
+    return survival.product_limit(_gaps(t), "hours", "observed", ["event_type"])
+
+
+@query(
+    "median_survival",
+    GAPS_SQL
+    + HOURS_SQL
+    + _RISK
+    + """, s AS (SELECT event_type, hours, exp(sum(ln(CASE WHEN events < at_risk THEN 1 - events / at_risk ELSE 1e-300 END)) OVER (PARTITION BY event_type ORDER BY hours)) AS s FROM r)
+    SELECT event_type, CAST(min(hours) FILTER (s <= 0.5) AS BIGINT) AS median FROM s GROUP BY event_type""",
+)
+def _(t):
+    return survival.median_survival(survival.product_limit(_gaps(t), "hours", "observed", ["event_type"]), ["event_type"])
+
+
+@query(
+    "log_rank",
+    GAPS_SQL
+    + """h AS (SELECT event_type = 'purchase' AS a, observed, floor(duration / 3600) AS hours FROM g WHERE event_type IN ('purchase', 'view')),
+    c AS (SELECT hours, count(*) FILTER (a AND observed) AS d1, count(*) FILTER (observed) AS d, count(*) FILTER (a) AS n1, count(*) AS n FROM h GROUP BY hours),
+    r AS (SELECT *, sum(n1) OVER (ORDER BY hours DESC) AS r1, sum(n) OVER (ORDER BY hours DESC) AS r FROM c),
+    s AS (SELECT sum(d1) AS o, sum(d) - sum(d1) AS o2, sum(d * r1 / r) AS e, sum(d) - sum(d * r1 / r) AS e2,
+      sum(CASE WHEN r > 1 THEN d * (r - d) / (r - 1) * r1 / r * (1 - r1 / r) END) AS v FROM r WHERE d > 0)
+    SELECT 2 AS groups, CAST(o AS BIGINT) AS observed_a, round(e, 4) AS expected_a, CAST(o2 AS BIGINT) AS observed_b, round(e2, 4) AS expected_b, round((o - e) * (o - e) / v, 4) AS chi2, 1 AS dof FROM s""",
+)
+def _(t):
+    found = survival.log_rank(_gaps(t).where("event_type IN ('purchase', 'view')"), "hours", "observed", "event_type")
+    cell = lambda c, i: F.element_at(c, i)
+    return found.select(
+        "groups", cell("observed_events", 1).cast("long").alias("observed_a"), cell("expected_events", 1).alias("expected_a"),
+        cell("observed_events", 2).cast("long").alias("observed_b"), cell("expected_events", 2).alias("expected_b"), "chi2", "dof",
+    )
+
+
+@query(
+    "rolling_distinct",
+    """WITH d AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events)::TIMESTAMP, (SELECT max(ts)::DATE FROM events)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day),
+    v AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase' OR user_id % 3 = 0)
+    SELECT d.day, count(DISTINCT user_id) FILTER (v.day = d.day) AS active_1, count(DISTINCT user_id) FILTER (v.day > d.day - 7) AS active_7, count(DISTINCT user_id) AS active_28
+    FROM d LEFT JOIN v ON v.day <= d.day AND v.day > d.day - 28 GROUP BY d.day""",
+)
+def _(t):
+    """Only purchases of most users, so that not everybody is there in every window."""
+    return engagement.rolling_distinct(t.events.where("event_type = 'purchase' OR user_id % 3 = 0"), "user_id", "ts")
+
+
+@query(
+    "rolling_customers",
+    """WITH d AS (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY))::DATE AS day),
+    v AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders)
+    SELECT d.day, count(DISTINCT o_custkey) FILTER (v.day > d.day - 7) AS active_7, count(DISTINCT o_custkey) AS active_28,
+      round(count(DISTINCT o_custkey) FILTER (v.day > d.day - 7) / nullif(count(DISTINCT o_custkey), 0), 4) AS stickiness
+    FROM d LEFT JOIN v ON v.day <= d.day AND v.day > d.day - 28 GROUP BY d.day""",
+)
+def _(t):
+    rolling = engagement.rolling_distinct(t.orders, "o_custkey", "o_orderdate", (7, 28))
+    return rolling.join(engagement.stickiness(rolling, 7, 28), "day")
+
+
+@query(
+    "feature_adoption",
+    """WITH p AS (SELECT event_type, user_id, count(*) AS n, min(ts) AS t FROM events GROUP BY 1, 2)
+    SELECT event_type AS feature, count(*) AS entities, round(count(*) / (SELECT count(DISTINCT user_id) FROM events), 4) AS adoption_rate, min(t) AS first_used, round(avg(n), 4) AS events_per_entity
+    FROM p GROUP BY event_type""",
+)
+def _(t):
+    return engagement.feature_adoption(t.events, "user_id", "event_type", "ts")
+
+
+_LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+CHART_SQL = f"""WITH o AS (SELECT l_quantity AS v, row_number() OVER ({_LINES}) - 1 AS pos, l_quantity - lag(l_quantity) OVER ({_LINES}) AS step FROM lineitem),
+l AS (SELECT count(*) AS n, avg(v) AS centre, avg(abs(step)) / 1.128 AS sigma FROM o)"""
+
+
+def _run_sql(rule: str, state: str, least: int, more: int) -> str:
+    return f"""SELECT '{rule}' AS rule, min(pos) - {more} AS start, max(pos) AS stop, count(*) + {more} AS length FROM (
+      SELECT pos, s, pos - row_number() OVER (PARTITION BY s ORDER BY pos) AS island FROM (SELECT pos, {state} AS s FROM o, l) WHERE s <> 0)
+    GROUP BY s, island HAVING count(*) >= {least}"""
+
+
+_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("control_limits", CHART_SQL + " SELECT n, round(centre, 4) AS centre, round(sigma, 4) AS sigma, round(centre - 3 * sigma, 4) AS lower, round(centre + 3 * sigma, 4) AS upper FROM l")
+def _(t):
+    return control.control_limits(t.lineitem, "l_quantity", _ORDER)
+
+
+@query(
+    "run_rules",
+    CHART_SQL
+    + " "
+    + " UNION ALL ".join(
+        [
+            _run_sql("beyond", "CASE WHEN v > centre + 3 * sigma THEN 1 WHEN v < centre - 3 * sigma THEN -1 ELSE 0 END", 1, 0),
+            _run_sql("shift", "sign(v - centre)", 8, 0),
+            _run_sql("trend", "coalesce(sign(step), 0)", 5, 1),
+            _run_sql("zigzag", "coalesce(sign(step), 0) * CASE WHEN pos % 2 = 0 THEN 1 ELSE -1 END", 13, 1),
+        ]
+    ),
+)
+def _(t):
+    return control.run_rules(t.lineitem, "l_quantity", _ORDER)
+
+
+@query(
+    "capability_by_supplier",
+    """WITH o AS (SELECT l_suppkey, l_quantity AS v, l_quantity - lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS step FROM lineitem),
+    l AS (SELECT l_suppkey, count(*) AS n, avg(v) AS centre, avg(abs(step)) / 1.128 AS sigma FROM o GROUP BY 1)
+    SELECT l_suppkey, n, round(centre, 4) AS centre, round(sigma, 4) AS sigma, round(50 / (6 * sigma), 4) AS cp, round(least(50 - centre, centre) / (3 * sigma), 4) AS cpk FROM l WHERE n >= 2""",
+)
+def _(t):
+    return control.capability(t.lineitem, "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], 0.0, 50.0, ["l_suppkey"])
