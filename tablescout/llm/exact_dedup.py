@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.common import query, settle, table
 
-#: Runs that the rows are dealt into, and how many runs one round merges into one.
-RUNS, FAN_IN = 256, 16
+#: How many runs one round merges into one, and hexadecimal digits of the digest by which every merge is cut into ranges.
+FAN_IN, CUT_DIGITS = 16, 2
 
 DIGEST = ["digest", "check", "n_bytes"]
 
 
 def digest_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One narrow row per row of ``docs``: digests of its text without white space, its length and its run."""
+    """One narrow row per row of ``docs``: digests of its text without white space, its length, and its run, which is the
+    partition that read it."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -29,23 +30,27 @@ def digest_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.xxhash64("plain").alias("check"),
         F.octet_length("plain").cast("long").alias("n_bytes"),
         F.monotonically_increasing_id().alias("row"),
-    ).withColumn("run", F.pmod(F.xxhash64("doc_id", "row"), F.lit(RUNS)).cast("int"))
+        F.spark_partition_id().alias("run"),
+    )
 
 
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
-    """Every ``fan_in`` neighbouring runs become one; each text keeps its best row and the number of its rows."""
-    return runs.groupBy(*DIGEST, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(
-        F.min("best").alias("best"), F.sum("n").alias("n")
-    )
+    """Every ``fan_in`` neighbouring runs become one; each text keeps its best row and the number of its rows.
+
+    The runs of a merge meet range by range of the digest, are sorted by it, and equal digests that follow each other
+    are verified and become one row, so that a merge is the work of as many tasks as there are ranges.
+    """
+    dealt = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition("cut", "run")
+    return dealt.sortWithinPartitions("cut", "run", *DIGEST).groupBy("cut", "run", *DIGEST).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Group rows whose texts are identical without their white space.
 
-    Rows are dealt into runs. In each round every 16 runs are merged into one: the aggregation sorts each run by
-    digest, merges, and keeps the best row of each digest, so a text with any number of copies is at most 16 rows of
-    a digest in any merge after the first. The survivors then go down to their runs and from there to their rows.
-    Of equal texts the row with the most code points in its original text stays, then the smallest doc_id.
+    Each partition of the table becomes a run: one row for each digest with its best row and count, combined where the
+    rows are read. In rounds every 16 neighbouring runs are merged into one, range by range of the digest, until one
+    is left, so a text with any number of copies is at most 16 rows in any merge. The survivors then go down to their
+    runs and from there to their rows. Of equal texts the row with the most code points in its original text stays, then the smallest doc_id.
 
     Null and empty texts are equal to each other and to blank texts. Missing identifiers come after all others, and
     of rows repeated with one identifier one is kept. Further columns of ``docs`` are not looked at.
@@ -54,8 +59,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = settle(digest_rows(docs, doc_id, text))
     best = F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    runs = settle(rows.groupBy(*DIGEST, "run").agg(F.min(best).alias("best"), F.count("*").alias("n")))
-    merged, left = runs, RUNS
+    cut = F.substring(F.hex("digest"), 1, CUT_DIGITS).alias("cut")
+    runs = settle(rows.groupBy(*DIGEST, cut, "run").agg(F.min(best).alias("best"), F.count("*").alias("n")))
+    merged, left = runs, (runs.agg(F.max("run")).first()[0] or 0) + 1
     while left > 1:
         merged, left = merge_runs(merged, FAN_IN), -(-left // FAN_IN)
     merged = settle(merged.select(*DIGEST, "best", "n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.common import in_batches, query, table
 
-#: Comments, elements whose content is no text, tags, declarations, and a tag that the end of the page cuts off.
+#: Comments, elements whose content is no text, tags, declarations, and a tag that the end of the page cuts off. Drawings
+#: and formulas are left out from their tag to its end; one that ends in itself or nowhere is a tag like others.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|math|iframe|object|canvas|select|textarea|audio|video)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|noscript|template|title|iframe|object|canvas|select|textarea|audio|video)\b.*?(?:</\1\s*>|\Z)"
+    r"""|<(?:svg|math)\b(?:[^<>"']|"[^"]*"|'[^']*')*(?<!/)>(?:(?!<(?:svg|math)\b).)*?</(?:svg|math)\s*>"""
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>"""
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z)",
@@ -32,16 +35,24 @@ HOLDERS = frozenset(
 )
 BREAKS = HOLDERS | frozenset("caption h1 h2 h3 h4 h5 h6 head hr html p pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements, and words of classes, identifiers and roles, that surround an article instead of being part of it.
-CHROME_TAGS = frozenset("nav footer aside form menu dialog button label legend".split())
+#: Elements, and whole names of classes, identifiers and roles, that surround an article instead of being part of it.
+CHROME_TAGS = frozenset("nav footer aside menu dialog button label legend".split())
 CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion nav navbar navigation "
-    "menu menubar breadcrumb breadcrumbs pagination pager footer masthead sidebar aside rail widget related recommended "
-    "recommendations cookie cookies consent gdpr notice notices alert notification popup modal overlay paywall subscribe "
-    "subscription newsletter signup login search share sharing social form complementary contentinfo skip toolbar topbar "
-    "copyright legal disclaimer privacy announcement announcements teaser teasers toast".split()
+    "ad ads adv advert adverts advertisement advertising adslot banner sponsor sponsored promo nav navbar navigation "
+    "menu menubar breadcrumb breadcrumbs pagination pager footer masthead sidebar aside rail widget "
+    "recommendations cookie cookies consent gdpr notice notices notification popup modal overlay paywall subscribe "
+    "subscription newsletter signup login share sharing complementary contentinfo skip toolbar topbar "
+    "copyright teaser teasers toast".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
+#: Words that name such elements and articles alike, and words that say nothing of what an element holds.
+OPEN_WORDS = frozenset(
+    "promotion related recommended alert search social form legal disclaimer privacy announcement announcements respond responses discussion".split()
+)
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box cell col column container content desktop fixed float group header holder inner item items large left link "
+    "links list main message mobile outer page panel primary right row section site small sticky text title top unit user view wrap wrapper".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 #: Whole names of classes and identifiers that mark an article, as parts of names such as article-meta do not.
 ARTICLE_WORDS = frozenset(
     "article articlebody article-body article-content article-text content content-body entry entry-content hentry main "
@@ -96,57 +107,79 @@ class Block:
     text: str
     words: int
     links: float
-    chrome: bool
+    #: How surely it stands outside the article, from 0 to 1.
+    chrome: float
     inside: bool
     heading: bool
 
 
-#: How surely an element is no article: by its class a frame may say so that holds one as well.
+#: How surely an element is no article. What may be one is judged by the share of the page's text that it holds.
 NOT, MAYBE, SURELY = 0, 1, 2
 
 
 def marks(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """How surely an element surrounds the article (chrome), and whether it is one."""
-    whole, names = set(), set()
+    """How surely an element surrounds the article (chrome), and whether it is one.
+
+    A name says so surely if all of its words do or say nothing; next to other words it only may, as in legal-news.
+    """
+    whole, sure, open_ = set(), False, False
     for kind, value in ATTRIBUTE.findall(attributes) if attributes else ():
-        value = value.strip("\"'").lower()
-        whole.update(value.split())
-        if kind.lower() != "itemprop":
-            names.update(re.split(r"[\s_-]+", value))
-    header = tag == "header" or "header" in names
-    if tag in CHROME_TAGS or (attributes and HIDDEN.search(attributes)) or not names.isdisjoint(COMMENT_WORDS):
+        names = value.strip("\"'").lower().split()
+        whole.update(names)
+        for name in names if kind.lower() != "itemprop" else ():
+            words = set(re.split(r"[_-]+", name)) - {""}
+            telling = words & (CHROME_WORDS | COMMENT_WORDS)
+            sure |= bool(telling) and words <= CHROME_WORDS | COMMENT_WORDS | PLAIN_WORDS
+            open_ |= bool(telling | words & OPEN_WORDS)
+            if "header" in words and not in_article:
+                open_ = True
+    named = tag in ("article", "main") or not whole.isdisjoint(ARTICLE_WORDS)
+    if tag in CHROME_TAGS or (attributes and HIDDEN.search(attributes)) or sure and not (tag in ("body", "main", "article")):
         chrome = SURELY
-    elif header and not in_article or tag not in ("body", "main") and not names.isdisjoint(CHROME_WORDS):
+    elif tag not in ("body", "main", "article") and (open_ or tag == "form" or tag == "header" and not in_article):
         chrome = MAYBE
     else:
         chrome = NOT
-    return chrome, not chrome and (tag in ("article", "main") or not whole.isdisjoint(ARTICLE_WORDS))
+    return chrome, chrome < SURELY and named and not (chrome == MAYBE and tag not in ("article", "main"))
+
+
+@dataclass
+class Holder:
+    """An open element: the outermost one that surely and that maybe surrounds the article, and whether it is in one."""
+
+    tag: str
+    sure: bool
+    maybe: int | None
+    inside: bool
 
 
 def blocks(page: str) -> list[Block]:
     """Flat blocks of text in page order, white space as one space, character references decoded."""
-    out: list[Block] = []
+    found: list[tuple[str, int, float, Holder, bool]] = []
     pieces: list[tuple[str, bool]] = []
-    holders: list[tuple[str, int, bool]] = []  # tag, chrome and inside of all that is open
+    outermost = Holder("", False, None, False)
+    holders, open_tags = [outermost], Counter()
+    n_maybe, held = 0, Counter()  # elements that may be chrome, and the words beside links in each
     linked, heading, at = False, False, 0
 
     def close() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
             if text:
-                words = text.count(" ") + 1
-                links = sum(len(html.unescape(t).split()) for t, link in pieces if link)
-                chrome, inside = holders[-1][1:] if holders else (NOT, False)
-                out.append(Block(text, words, min(1.0, links / words), chrome > NOT, inside, heading))
+                words, own = text.count(" ") + 1, holders[-1]
+                links = min(words, sum(len(html.unescape(t).split()) for t, link in pieces if link))
+                found.append((text, words, links / words, own, heading))
+                if not own.sure:
+                    held[own.maybe] += words - links
             pieces.clear()
 
-    for found in MARKUP.finditer(page):
-        if found.start() > at:
-            pieces.append((page[at : found.start()], linked))
-        at = found.end()
-        if found[3] is None:
+    for part in MARKUP.finditer(page):
+        if part.start() > at:
+            pieces.append((page[at : part.start()], linked))
+        at = part.end()
+        if part[3] is None:
             continue
-        tag, ends = found[3].lower(), bool(found[2])
+        tag, ends = part[3].lower(), bool(part[2])
         if tag == "a":
             linked = not ends
         elif tag == "br":
@@ -156,19 +189,28 @@ def blocks(page: str) -> list[Block]:
             heading = tag in HEADINGS and not ends
             if tag in HOLDERS:
                 if not ends:
-                    chrome, inside = holders[-1][1:] if holders else (NOT, False)
-                    own_chrome, own_inside = marks(tag, found[4], inside)
-                    if tag in ("article", "main") and own_inside and not inside and chrome == MAYBE:
-                        chrome = NOT
-                    holders.append((tag, max(chrome, own_chrome), inside or own_inside))
-                elif any(h[0] == tag for h in holders):
-                    while holders.pop()[0] != tag:
-                        pass
+                    above = holders[-1]
+                    chrome, inside = marks(tag, part[4], above.inside)
+                    maybe = above.maybe
+                    if tag in ("article", "main") and inside and not above.inside:
+                        maybe = None  # a frame may say so that holds an article as well
+                    if maybe is None and chrome == MAYBE:
+                        maybe, n_maybe = n_maybe, n_maybe + 1
+                    holders.append(Holder(tag, above.sure or chrome == SURELY, maybe, above.inside or inside))
+                    open_tags[tag] += 1
+                elif open_tags[tag]:
+                    while True:
+                        gone = holders.pop().tag
+                        open_tags[gone] -= 1
+                        if gone == tag:
+                            break
                     linked = False
     if page[at:]:
         pieces.append((page[at:], linked))
     close()
-    return out
+    total = max(1, sum(held.values()))
+    doubt = lambda h: 1.0 if h.sure else 0.0 if h.maybe is None else 1.0 - held[h.maybe] / total
+    return [Block(text, words, links, doubt(own), own.inside, big) for text, words, links, own, big in found]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -225,10 +267,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     A page becomes flat blocks of text at its block elements, without scripts, styles and markup. Each block has its
-    words and share of linked words and those of its neighbours, whether an element around it says that it is a menu,
+    words and share of linked words and those of its neighbours, how surely an element around it says that it is a menu,
     header, footer, sidebar, notice, advert, form or comment, whether it stands in a marked article, and whether it is
-    a heading. A decision tree trained on the labelled table above tells main text from the rest. Pages are worked on
-    where they are read.
+    a heading. An element that may say so, as a form, or a class that only has such a word among others, counts the
+    less the more of the page's text it holds. A decision tree trained on the labelled table above tells main text
+    from the rest. Pages are worked on where they are read, in time that grows with their length.
 
     Null and empty pages, and pages without main text, give the empty text. Repeated pages are returned each, missing
     identifiers and addresses stay missing, and further columns are not looked at. A page that ends inside a tag or a

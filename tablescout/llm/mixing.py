@@ -148,9 +148,11 @@ p AS (SELECT d.doc_id, d.size, CAST(t.source_size AS BIGINT) AS source_size, t.t
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (SELECT *, greatest(0, least(size, demand - start)) AS one, greatest(0, least(size, demand - start - source_size)) AS two,
     [1.5::DOUBLE, 1.0, 0.5][place + 1] AS a, [0.5::DOUBLE, 1.0, 1.5][place + 1] AS b FROM p),
-v AS (SELECT *, CASE WHEN one > 0 THEN (start + one / 2.0::DOUBLE) / target * (a + b) / 2 END AS area FROM u)
+v AS (SELECT *, CASE WHEN one > 0 THEN (start + one / 2.0::DOUBLE) / target * (a + b) / 2 END AS area,
+    CASE WHEN two > 0 THEN (start + source_size + two / 2.0::DOUBLE) / target * (a + b) / 2 END AS later FROM u)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(one + two AS BIGINT) AS taken,
-  round(area * 2 / (a + sqrt(a * a + (b - a) * area * 2)), 6) AS first_position FROM v
+  round(area * 2 / (a + sqrt(a * a + (b - a) * area * 2)), 6) AS first_position,
+  round(later * 2 / (a + sqrt(a * a + (b - a) * later * 2)), 6) AS second_position FROM v
 """
 
 
@@ -159,7 +161,9 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     placed = with_passes(settle(docs.select("doc_id", "source", word_count("text").alias("size"))))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, b: a + b)
-    at = [position(turn, F.col("takes")[turn]) for turn in range(MOST)]
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.round(F.coalesce(*at), 6).alias("first_position")
-    )
+    first, second = (position(turn, F.col("takes")[turn]) for turn in range(MOST))
+    # In training order of the documents, those that are not taken at last.
+    ordered = placed.withColumns({"first_position": first, "second_position": second, "taken": taken, "due": F.coalesce(first, F.lit(2.0))})
+    ordered = ordered.repartitionByRange("due", "doc_id").sortWithinPartitions("due", "doc_id")
+    rounded = [F.round(c, 6).alias(c) for c in ("first_position", "second_position")]
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", *rounded)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import in_batches, query, table
@@ -163,55 +163,75 @@ def pad(data: bytes, length: int) -> bytes:
     return data + np.full(length - len(data) // 2, END, "<u2").tobytes()
 
 
-def file_order(path: str) -> tuple:
-    """Sorts the part files of a table as they were written."""
-    folder, name = path.rsplit("/", 1) if "/" in path else ("", path)
-    return folder, [(int(c), "") if c.isdecimal() else (-1, c) for c in re.split(r"(\d+)", name)]
+def written_place(docs: DataFrame) -> Column | None:
+    """Where a row stands in a table that Spark has written: by the number of its part file, and by its row in it.
 
-
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    None where ``docs`` is not read from files.
+    """
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return (number(r"^part-(\d+)") * (1 << 40) + number(r"-c(\d+)\.") * (1 << 32)) + F.col("_metadata.row_index")
+
+
+def pack(
+    docs: DataFrame,
+    length: int = LENGTH,
+    vocabulary: str = VOCABULARY,
+    shard_tokens: int = SHARD_TOKENS,
+    order: list[str] | None = None,
+    place: Column | None = None,
+) -> DataFrame:
     """Pack the token identifiers of all documents into rows of ``length``.
 
     Each task encodes its documents, ends each with END, and packs shards of about ``shard_tokens`` tokens: documents
     longer than a row are split into pieces without loss, and pieces go by falling length into the fullest row that
-    still holds them. Tasks need no shuffle and hold one shard. ``input_ids`` is a row of the matrix, 16-bit
-    little-endian, filled up with END; segment i of a row is cu_seqlens[i] to cu_seqlens[i + 1] and holds the tokens
-    of doc_ids[i] from token piece_starts[i] on; positions start anew at each of position_resets.
+    still holds them. Tasks need no shuffle and hold one shard; a shard goes over the bounds of files. ``input_ids``
+    is a row of the matrix, 16-bit little-endian, filled up with END; segment i of a row is cu_seqlens[i] to
+    cu_seqlens[i + 1] and holds the tokens of doc_ids[i] from token piece_starts[i] on; positions start anew at each of
+    position_resets.
 
-    Shard numbers rise with the place of the documents in the table, by part file and row of it for a table that is
-    read from Parquet, as tasks take files by size; they are not without gaps. A shard never spans two files.
+    Shard numbers rise with the order of the rows of ``docs``, with gaps: with its partitions, so after a sort they are
+    in that order. ``order`` names columns to range-sort by first. ``place`` is a number of each row that rises with
+    the order where tasks read stretches of it in any order, as of a table read from files; a shard then has the place
+    of its first row, and one of an eighth of its tokens or more ends where a stretch does.
 
     Null and empty texts are documents of the end token alone, so every row of ``docs`` is in the result, repeated
     rows and missing identifiers as well. An empty table gives no rows. Further columns are not looked at.
     """
-    text = F.coalesce("text", F.lit("")).alias("text")
-    try:
-        place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "row_index")]
-        rows = docs.select("doc_id", text, *place)
-        files = [r.file_path for r in docs.select(F.col("_metadata.file_path")).distinct().collect()]
-    except AnalysisException:
-        part = F.spark_partition_id()
-        rows = docs.select("doc_id", text, F.lit("").alias("file_path"), part.cast("long").alias("file_block_start"), F.lit(None).cast("long").alias("row_index"))
-        files = []
-    ranks = {path: i for i, path in enumerate(sorted(files, key=file_order))}
+    own = F.lit(None).cast("long") if place is None else place
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), own.alias("place"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order or [])))
+    if order:
+        keys = [f"o{i}" for i in range(len(order))]
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = rows.select("doc_id", "text", "place", F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary), np.array([END], "<u2").tobytes()
         ids: list = []
         tokens: list[bytes] = []
-        held, seen, shard, now, id_type = 0, 0, 0, None, None
+        held, seen, shard, last, id_type = 0, 0, 0, None, None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, text, path, start, at in zip(*(c.to_pylist() for c in batch.columns)):
-                if ids and (held >= shard_tokens or now != (path, start)):
+            known = batch.column(2).null_count == 0
+            places = batch.column(2).to_numpy() if known else batch.column(3).to_numpy() * (1 << 40) + np.arange(seen, seen + batch.num_rows)
+            # A stretch ends where the next row does not follow in the order.
+            follows = np.diff(places, prepend=places[0] - 1 if last is None else last) == 1
+            last = int(places[-1])
+            seen += batch.num_rows
+            texts = batch.column(1).to_pylist()
+            for doc_id, text, at, next_one in zip(batch.column(0).to_pylist(), texts, places.tolist(), follows.tolist()):
+                if held >= shard_tokens or (not next_one and held * 8 >= shard_tokens):
                     yield from packed(ids, tokens, length, shard, id_type)
                     ids, tokens, held = [], [], 0
                 if not ids:
-                    now, shard = (path, start), (ranks.get(path, start) << 40) + (seen if at is None else at)
+                    shard = at
                 ids.append(doc_id)
                 tokens.append(encode(text) + end)
                 held += len(tokens[-1]) // 2
-                seen += 1
         if ids:
             yield from packed(ids, tokens, length, shard, id_type)
 

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import in_batches, query, settle, table
+from tablescout.llm.common import if_small, in_batches, query, settle, table
 
 #: Payloads from this size on are stored once.
 LEAST_BYTES = 1000
@@ -21,6 +22,8 @@ LEAST_BYTES = 1000
 FRAME_BYTES, BUNDLE_BYTES = 256_000, 4_000_000
 #: Pages, or bundles, handed to Python at once.
 PAGES, BUNDLES = 200, 4
+#: End of the names of archive files.
+SUFFIX = ".warc.zst"
 #: The archive's time stamp; pages have none.
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the seekable format: the skippable frame of the seek table, and the end of the file.
@@ -131,7 +134,8 @@ def read_record(archive: bytes, frame: int, offset: int) -> tuple[dict[str, str]
 def with_originals(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and ``refers_to``, the page whose payload is the same and stored instead.
 
-    Digests are grouped before anything wide moves, and only digests that occur twice are joined back.
+    Digests are grouped before anything wide moves, and only digests that occur twice are joined back; payloads stay
+    where they are read while those digests are few enough to go to all tasks.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
@@ -139,7 +143,7 @@ def with_originals(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns(key)
     groups = rows.where(F.col("n_bytes") >= LEAST_BYTES).groupBy(*key).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
     groups = settle(groups.where("n > 1").drop("n"))
-    rows = rows.join(groups, list(key), "left")
+    rows = rows.join(if_small(groups), list(key), "left")
     other = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return rows.select("page_id", "url", "payload", "digest", other.alias("refers_to"))
 
@@ -221,6 +225,34 @@ def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
     return bundles.select("bundle", "archive").mapInArrow(in_batches(run, BUNDLES), RECORD)
 
 
+def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
+    """Write each archive as the file ``<bundle>.warc.zst`` of a folder that all executors reach: bundle, path, bytes.
+
+    Files are written under a name of their own and renamed when whole, so a task that is done again leaves one file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for bundle, archive in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path, part = f"{root}/{bundle}{SUFFIX}", f"{root}/.{bundle}-{uuid.uuid4().hex}"
+                data = archive.as_buffer()
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([path]), pa.array([data.size], pa.int64())], ["bundle", "path", "bytes"])
+
+    return settle(bundles.select("bundle", "archive").mapInArrow(in_batches(run, BUNDLES), "bundle string, path string, bytes long"))
+
+
+def import_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives of a folder as rows for :func:`read_bundles`: bundle, archive."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_replace(name, rf"{re.escape(SUFFIX)}$", "").alias("bundle"), F.col("content").alias("archive"))
+
+
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Archive all pages and read the archives back: one row for each record.
 

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablescout.llm import simhash
+from tablescout.llm import exact_dedup, simhash
 from tablescout.llm.components import representatives
 from tablescout.llm.exact_dedup import exact_groups
 
@@ -96,6 +96,24 @@ def test_exact_groups_edge_cases(spark):
     assert exact_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 40])
+def test_runs_are_partitions_merged_in_rounds(spark, monkeypatch, partitions):
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 4)
+    merges = []
+    whole = exact_dedup.merge_runs
+    monkeypatch.setattr(exact_dedup, "merge_runs", lambda runs, fan_in: merges.append(whole(runs, fan_in)) or merges[-1])
+    rows = [(i, f"text {i % 50}") for i in range(400)] + [(i, "hot") for i in range(400, 600)]
+    got = exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {i: i % 50 if i < 400 else 400 for i, _ in rows}
+    assert len(merges) == {1: 0, 2: 1, 40: 3}[partitions]
+    for merged, runs in zip(merges, (10, 3, 1)):
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        # The merge is the exchange by range and run, and nothing is exchanged again to aggregate.
+        assert plan.count("REPARTITION_BY_COL") == merges.index(merged) + 1 and "ENSURE_REQUIREMENTS" not in plan
+        if partitions == 40:
+            assert merged.select("run").distinct().count() == runs and merged.select("cut").distinct().count() > 20
+
+
 def test_near_groups_edge_cases(spark):
     rows = [(i + 1, t) for i, t in enumerate(TEXTS)] + [(None, "a b c"), (2, None), (40, "a b c d e f g")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x"))

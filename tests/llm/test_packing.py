@@ -78,13 +78,34 @@ def test_empty_table(spark):
 
 
 def test_shards_follow_the_written_order(spark, tmp_path):
-    rows = [(i, "word " * (i + 1)) for i in range(200)]
+    rows = [(i, "word " * (70 + i % 9)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
     df.write.parquet(str(tmp_path / "docs"))
     read = spark.read.parquet(str(tmp_path / "docs"))
     shards = {}
-    for r in P.pack(read, length=256, shard_tokens=500).collect():
+    for r in P.pack(read, length=256, shard_tokens=500, place=P.written_place(read)).collect():
         shards.setdefault(r.shard, set()).update(r.doc_ids)
     ordered = [shards[s] for s in sorted(shards)]
     assert len(ordered) > 8 and sum(map(len, ordered)) == 200
     assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_any_frame_packs_as_well_as_a_scan(spark, tmp_path):
+    """Shards end by size alone: shuffled, sorted and dealt over many files, rows are filled as in a scan."""
+    draw = random.Random(1)
+    rows = [(i, "word " * draw.choice([3, 30, 100, 200])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    df.repartition(300).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    count = lambda frame, **more: P.pack(frame, length=256, shard_tokens=20_000, **more).count()
+    least = count(one)
+    for frame in (one.repartition(3), one.orderBy("doc_id"), many):
+        assert count(frame) <= 1.05 * least
+        assert count(frame, place=P.written_place(frame)) <= 1.1 * least
+    assert count(many, order=["doc_id"]) <= 1.05 * least
+    shards = {}
+    for r in P.pack(one.orderBy(F.desc("doc_id")), length=256, shard_tokens=20_000).collect():
+        shards.setdefault(r.shard, set()).update(r.doc_ids)
+    ordered = [shards[s] for s in sorted(shards)]
+    assert len(ordered) > 4 and all(min(a) > max(b) for a, b in zip(ordered, ordered[1:]))

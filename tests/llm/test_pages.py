@@ -2,6 +2,8 @@
 
 import hashlib
 import html
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,69 @@ def test_pages_without_marked_article_and_broken_ones():
     assert H.main_text(None, TREE) == H.main_text("", TREE) == H.main_text("<<<>>>", TREE).strip("<>") == ""
 
 
+WORDS = " ".join(["word"] * 30)
+TEXT = f"<h2>Head line</h2><p>{WORDS}</p><p>{WORDS} end</p><p>{WORDS}</p>"
+PLAIN = f"Head line\n\n{WORDS}\n\n{WORDS} end\n\n{WORDS}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><svg class='i'/>{TEXT}</article>",
+        f"<article><math/><svg viewBox='0 0 1 1'><path d='M1'/><text>no</text></svg>{TEXT}</article>",
+        f"<article><svg class='open'>{TEXT}<svg><text>no</text></svg></article>",
+        f"<article><!-->{TEXT}<!----></article>",
+        f"<article><!--->{TEXT}<!-- no --!></article>",
+        f"<form action=/x><input>{TEXT}</form>",
+        f"<form><nav><a>Menu</a></nav><article>{TEXT}</article><label>no</label></form>",
+        f"<article class='legal-news'>{TEXT}</article>",
+        f"<div class='social-impact'>{TEXT}</div>",
+        f"<section class='announcement'>{TEXT}</section><footer>no</footer>",
+        f"<section id='discussion'>{TEXT}</section>",
+        f"<div class='related-story'>{TEXT}</div><div class='ad'>{WORDS} no</div><div class='cookie-banner'>{WORDS} no</div>",
+        f"<article>{TEXT}<form><p>Write to us here</p><label>Name</label></form><div class='social-links'>Tell others</div></article>",
+    ],
+)
+def test_article_text_is_not_lost(page):
+    for whole in (page, f"<html><body><nav><a>One</a><a>Two</a></nav>{page}<footer>us</footer></body></html>"):
+        assert H.main_text(whole, TREE) == PLAIN
+
+
+def test_random_markup_keeps_every_word_of_an_article():
+    """Words of a marked article whose markup names nothing else: all of them, in order, as a plain tag walk gives them."""
+    draw = random.Random(8)
+    for _ in range(300):
+        out, want, open_tags = [], [], []
+        for i in range(draw.randrange(1, 60)):
+            kind = draw.randrange(8)
+            if kind < 4:
+                out.append(f"w{i} ")
+                want.append(f"w{i}")
+            elif kind == 4:
+                tag = draw.choice(["p", "b", "div", "section", "i", "span", "blockquote"])
+                open_tags.append(tag)
+                out.append(f"<{tag} class='x{i}' title=\"a > b\">")
+            elif kind == 5 and open_tags:
+                out.append(f"</{open_tags.pop()}>")
+            elif kind == 6:
+                out.append(draw.choice(["<!-- no -->", "<!-->", "<svg/>", "<svg><g>no</g></svg>", "<script>no <p></script>", "<br>", "<img alt='no'>", "</li>", "<style>no</style>"]))
+            else:
+                out.append("&amp; ")
+                want.append("&")
+        got = H.main_text("<article><h1>t</h1>" + "".join(out) + f"</article><p>{WORDS}</p>", TREE)
+        assert got.split()[1:] == want, "".join(out)
+
+
+def test_time_grows_with_the_length():
+    def took(n):
+        started = time.perf_counter()
+        H.blocks("<div>" * n + "</li>x" * n + "</div>" * n)
+        return time.perf_counter() - started
+
+    took(1000)
+    assert took(40_000) < 20 * max(took(4_000), 0.01)
+
+
 def test_labelled_blocks_are_learned():
     rows = H.np.array(H.LABELLED, float)
     assert (TREE.predict(rows[:, :-1]) == rows[:, -1]).all() and len(rows) < 200
@@ -114,3 +179,16 @@ def test_frames_are_readable_as_one_stream_and_damage_is_seen(spark):
 def test_entities_decode_once():
     assert html.unescape("&amp;lt;") == "&lt;"
     assert H.main_text("<article><p>&amp;lt; b</p></article>", TREE) == "&lt; b"
+
+
+def test_archive_files_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/archives"
+    bundles = W.settle(W.write_bundles(pages.repartition(3)))
+    for _ in range(2):
+        written = W.export_bundles(bundles, folder).collect()
+    files = sorted(p.name for p in (tmp_path / "archives").iterdir() if not p.name.endswith(".crc"))
+    assert files == sorted(f"{r.bundle}.warc.zst" for r in written) and len(files) == bundles.count()
+    key = lambda df: sorted((r.page_id or "", r.record_id, r.bundle, r.frame, r.offset, r.payload or b"") for r in df.collect())
+    assert key(W.read_bundles(W.import_bundles(spark, folder))) == key(W.read_bundles(bundles))
+    assert W.export_bundles(W.write_bundles(pages.limit(0)), folder).count() == 0
