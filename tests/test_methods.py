@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket, churn, control, engagement, experiment, survival
+from tablescout.operators import attribution as A
+from tablescout.operators import basket, churn, control, engagement, experiment, survival, terms
 from tablescout.operators import multivariate as M
 from tablescout.plans import gram as G
 
@@ -242,3 +243,52 @@ def test_no_step_gathers_the_rows(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         for above in plan.split("Exchange SinglePartition")[1:]:
             assert "HashAggregate" in above.split("\n")[1] or "Project" in above.split("\n")[1] or "Generate" in above.split("\n")[1], plan
+
+
+def test_removal_effect_of_a_small_chain():
+    """Half of the paths go through a, a third of those convert through b; the rest is direct to b."""
+    counts = [(A.START, "a", 60), (A.START, "b", 40), ("a", "b", 20), ("a", A.LOST, 40), ("b", A.CONVERSION, 30), ("b", A.LOST, 30)]
+    # Conversions: b holds 60 paths, half convert: 0.3 of all. Without a, 40 reach b: 0.2. Without b none.
+    assert A._removal(counts) == pytest.approx({"a": (1 / 3) / (4 / 3), "b": 1 / (4 / 3)})
+    loop = [(A.START, "a", 10), ("a", "a", 90), ("a", A.CONVERSION, 5), ("a", A.LOST, 5)]
+    assert A._removal(loop) == pytest.approx({"a": 1.0})
+    assert A._removal([(A.START, "a", 1), ("a", A.LOST, 1)]) == {"a": 0.0}
+
+
+def test_paths_of_a_hot_entity(spark, small_blocks):
+    """One entity with most rows over many blocks, conversions at their edges, conversions without touches."""
+    draw = random.Random(2)
+    rows = [("hot", i, draw.choice(["a", "b", "buy"])) for i in range(60)] + [("x", 1, "a"), ("y", 2, "buy"), (None, 3, "a"), ("z", 4, None)]
+    df = spark.createDataFrame(rows, "e string, t int, c string").repartition(4)
+    steps = A.touches(df, "e", "t", "c", F.col("c") == "buy")
+    want, open_ = [], {}
+    for e, _, c in sorted((r for r in rows if r[0] and r[2]), key=lambda r: (r[0], r[1])):
+        path = open_.setdefault(e, [])
+        if c == "buy":
+            want.append((e, tuple(path), True))
+            open_[e] = []
+        else:
+            path.append(c)
+    want += [(e, tuple(p), False) for e, p in open_.items() if p]
+    got = [(r.entity, r.touches, r.first_touch, r.last_touch, r.converted) for r in A.paths(steps).collect()]
+    assert sorted(got, key=str) == sorted(((e, len(p), p[0] if p else None, p[-1] if p else None, k) for e, p, k in want), key=str)
+    out = A.attribution(steps).collect()
+    won = [p for _, p, k in want if k and p]
+    assert {r.channel: r.linear for r in out} == pytest.approx({c: sum(p.count(c) / len(p) for p in won) for c in "ab"})
+    assert sum(r.markov for r in out) == pytest.approx(sum(k for *_, k in want))
+
+
+def test_term_weights_are_those_of_plain_counts(spark):
+    texts = {1: "Alpha beta beta the", 2: "alpha gamma the THE", 3: "beta, gamma! the", 4: "", 5: None, 6: "only the"}
+    df = spark.createDataFrame([*texts.items(), (None, "alpha")], "id long, text string")
+    got = {(r.key, r.term): r.weight for r in terms.term_weights(df, "id", "text", max_share=0.75).collect()}
+    says = {t: np.log(4 / 2) for t in ("alpha", "beta", "gamma")}
+    one = np.array([says["alpha"], 2 * says["beta"]])
+    assert got[1, "alpha"] == pytest.approx(one[0] / np.linalg.norm(one)) and got[1, "beta"] == pytest.approx(one[1] / np.linalg.norm(one))
+    assert {t for _, t in got} == {"alpha", "beta", "gamma"}
+    weights = terms.term_weights(df, "id", "text", max_share=0.75)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 6), (1, 1)], "a long, b long")
+    near = {(r.a, r.b): r.similarity for r in terms.text_similarity(weights, pairs).collect()}
+    assert near[1, 1] == pytest.approx(1) and near[1, 6] == 0 and near[1, 3] > near[1, 2] > 0
+    assert [r.term for r in terms.top_terms(weights, 1).where("key = 1").collect()] == ["beta"]
+    assert terms.term_weights(df.limit(0), "id", "text").count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import basket, churn, control, engagement, experiment, multivariate, survival
+from tablescout.operators import attribution, basket, churn, control, engagement, experiment, multivariate, survival, terms
 from verification.registry import query
 
 
@@ -420,3 +420,82 @@ def _(t):
 )
 def _(t):
     return control.capability(t.lineitem, "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], 0.0, 50.0, ["l_suppkey"])
+
+
+#: Events of users until each purchase; what follows begins a new path.
+PATHS_SQL = """WITH e AS (SELECT *, event_type = 'purchase' AS c, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w - CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS path,
+    row_number() OVER w AS pos, lag(event_type) OVER w AS last, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT user_id, path, count(*) FILTER (NOT c) AS touches, min_by(event_type, pos) FILTER (NOT c) AS first_touch, max_by(event_type, pos) FILTER (NOT c) AS last_touch,
+    bool_or(c) AS converted FROM e GROUP BY 1, 2)"""
+
+
+def _touches(t):
+    return attribution.touches(t.events, "user_id", "ts", "event_type", F.col("event_type") == "purchase", ["event_id"])
+
+
+@query(
+    "path_counts",
+    PATHS_SQL + " SELECT first_touch, last_touch, count(*) AS paths, count(*) FILTER (converted) AS conversions, round(avg(touches), 4) AS mean_touches FROM p GROUP BY 1, 2",
+)
+def _(t):
+    return attribution.path_counts(_touches(t))
+
+
+@query(
+    "channel_transitions",
+    PATHS_SQL
+    + """, s AS (SELECT CASE WHEN last IS NULL OR last = 'purchase' THEN '(start)' ELSE last END AS from_state, CASE WHEN c THEN '(conversion)' ELSE event_type END AS to_state FROM e
+      UNION ALL SELECT event_type, '(lost)' FROM e WHERE pos = n AND NOT c),
+    g AS (SELECT from_state, to_state, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT from_state, to_state, n, round(n / sum(n) OVER (PARTITION BY from_state), 4) AS share FROM g""",
+)
+def _(t):
+    return attribution.transitions(_touches(t))
+
+
+@query(
+    "channel_attribution",
+    PATHS_SQL
+    + """, w AS (SELECT * FROM p WHERE converted AND touches > 0),
+    f AS (SELECT first_touch AS channel, count(*) AS n FROM w GROUP BY 1), l AS (SELECT last_touch AS channel, count(*) AS n FROM w GROUP BY 1),
+    x AS (SELECT e.event_type AS channel, sum(1 / touches) AS n FROM e JOIN w USING (user_id, path) WHERE NOT c GROUP BY 1)
+    SELECT channel, round(coalesce(f.n, 0), 4)::DOUBLE AS first_touch, round(coalesce(l.n, 0), 4)::DOUBLE AS last_touch, round(x.n, 4) AS linear, true AS fair
+    FROM x LEFT JOIN f USING (channel) LEFT JOIN l USING (channel)""",
+)
+def _(t):
+    """With the removal effects checked to deal out all conversions, nobody less than nothing."""
+    found = attribution.attribution(_touches(t))
+    total = found.agg(F.round(F.sum("markov"), 6).alias("_sum"), F.min("markov").alias("_least"))
+    n = t.events.agg(F.count_if(F.col("event_type") == "purchase").alias("_n"))
+    fair = ((F.col("_sum") == F.col("_n")) & (F.col("_least") >= 0)).alias("fair")
+    return found.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n)).select("channel", "first_touch", "last_touch", "linear", fair)
+
+
+TERMS_SQL = r"""WITH c AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+n AS (SELECT key, term, count(*) AS n FROM c GROUP BY 1, 2), d AS (SELECT term, count(*) AS documents, sum(n)::BIGINT AS occurrences FROM n GROUP BY 1),
+t AS (SELECT count(DISTINCT key) AS texts FROM n),
+w AS (SELECT key, term, n, n * ln(texts / documents) AS w FROM n JOIN d USING (term), t WHERE documents >= 2 AND documents <= 0.5 * texts),
+u AS (SELECT key, term, n, CASE WHEN sum(w * w) OVER (PARTITION BY key) > 0 THEN w / sqrt(sum(w * w) OVER (PARTITION BY key)) ELSE 0 END AS weight FROM w)"""
+
+
+@query("document_frequencies", TERMS_SQL + " SELECT term, documents, occurrences FROM d")
+def _(t):
+    return terms.document_frequencies(terms.term_counts(t.documents, "doc_id", "text"))
+
+
+@query("term_weights", TERMS_SQL + " SELECT key, count(*) AS terms, sum(n)::BIGINT AS n, round(sum(weight), 3) AS weight, round(max(weight), 3) AS most FROM u GROUP BY key", digits=3)
+def _(t):
+    weights = terms.term_weights(t.documents, "doc_id", "text")
+    return weights.groupBy("key").agg(F.count("*").alias("terms"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("weight").alias("most"))
+
+
+@query(
+    "group_terms",
+    TERMS_SQL
+    + """, s AS (SELECT lang AS g, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+    m AS (SELECT lang AS g, term, sum(weight) / any_value(size) AS weight FROM u JOIN documents ON key = doc_id JOIN s ON lang = g GROUP BY lang, term),
+    r AS (SELECT *, weight / sqrt(sum(weight * weight) OVER (PARTITION BY term)) AS similarity, row_number() OVER (PARTITION BY g ORDER BY weight DESC, term) AS rank FROM m)
+    SELECT g AS "group", CAST(rank AS INT) AS rank, term, round(weight, 4) AS weight, round(similarity, 4) AS similarity FROM r WHERE rank <= 5""",
+)
+def _(t):
+    return terms.group_terms(terms.term_weights(t.documents, "doc_id", "text"), t.documents, "doc_id", "lang")
