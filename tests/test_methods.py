@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescout.operators import attribution as A
-from tablescout.operators import basket, churn, control, engagement, experiment, survival, terms
+from tablescout.operators import basket, churn, control, demand, engagement, experiment, survival, terms
 from tablescout.operators import multivariate as M
 from tablescout.plans import gram as G
 
@@ -292,3 +292,32 @@ def test_term_weights_are_those_of_plain_counts(spark):
     assert near[1, 1] == pytest.approx(1) and near[1, 6] == 0 and near[1, 3] > near[1, 2] > 0
     assert [r.term for r in terms.top_terms(weights, 1).where("key = 1").collect()] == ["beta"]
     assert terms.term_weights(df.limit(0), "id", "text").count() == 0
+
+
+def test_levels_over_blocks_are_those_of_a_walk(spark, small_blocks):
+    draw = random.Random(8)
+    series = [draw.uniform(1, 9) for _ in range(60)]
+    df = spark.createDataFrame([(k, i, v) for k in "ab" for i, v in enumerate(series)] + [("a", 99, None)], "k string, i int, v double").repartition(4)
+    got = {r.pos: r for r in demand.exponential_level(df, "v", ["i"], ["k"], 0.4).where("k = 'b'").collect()}
+    level = None
+    for i, v in enumerate(series):
+        assert got[i].forecast == (None if level is None else pytest.approx(level))
+        level = v if level is None else level + 0.4 * (v - level)
+        assert got[i].level == pytest.approx(level)
+    assert demand.exponential_level(df.limit(0), "v", ["i"]).count() == 0
+
+
+def test_intermittent_demand_and_seasons(spark, small_blocks):
+    series = [0, 0, 4, 0, 6, 0, 0, 0, 5, 1] + [0] * 5
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(series)], "i int, v double")
+    (r,) = demand.intermittent_demand(df, "v", ["i"], alpha=0.5).collect()
+    size = interval = None
+    last = -1
+    for i, v in enumerate(series):
+        if v:
+            size, interval = (v, i - last) if size is None else ((size + v) / 2, (interval + i - last) / 2)
+            last = i
+    assert (r.periods, r.demands, r.size_level, r.interval_level) == (15, 4, size, interval) and r.rate == pytest.approx(size / interval)
+    wave = spark.createDataFrame([(i, float([10, 20, 60][i % 3])) for i in range(30)], "i int, v double")
+    ahead = demand.seasonal_forecast(wave, "v", ["i"], 3, 4).orderBy("step").collect()
+    assert [x.forecast for x in ahead] == pytest.approx([10, 20, 60, 10])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import attribution, basket, churn, control, engagement, experiment, multivariate, survival, terms
+from tablescout.operators import attribution, basket, churn, control, demand, engagement, experiment, multivariate, survival, terms
 from verification.registry import query
 
 
@@ -499,3 +499,52 @@ def _(t):
 )
 def _(t):
     return terms.group_terms(terms.term_weights(t.documents, "doc_id", "text"), t.documents, "doc_id", "lang")
+
+
+#: Daily quantities shipped, in order of the day.
+DAILY_SQL = """d AS (SELECT l_shipdate::DATE AS day, sum(l_quantity) AS x FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM d)"""
+
+
+def _daily(t):
+    return t.lineitem.where("l_shipdate >= '2000-01-01'").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("x"))
+
+
+@query(
+    "exponential_level",
+    f"""WITH RECURSIVE {DAILY_SQL}, s AS (SELECT i, day, x, x AS level, NULL::DOUBLE AS forecast FROM o WHERE i = 1
+      UNION ALL SELECT o.i, o.day, o.x, s.level + 0.3::DOUBLE * (o.x - s.level), s.level FROM s JOIN o ON o.i = s.i + 1)
+    SELECT day, i - 1 AS pos, x AS value, round(level, 4) AS level, round(forecast, 4) AS forecast, round(x - forecast, 4) AS error FROM s""",
+)
+def _(t):
+    return demand.exponential_level(_daily(t), "x", ["day"])
+
+
+@query(
+    "seasonal_forecast",
+    f"""WITH RECURSIVE {DAILY_SQL}, p AS (SELECT (i - 1) % 7 AS place, avg(x) / (SELECT avg(x) FROM o) AS k FROM o GROUP BY 1),
+    f AS (SELECT o.i, o.n, x / k AS x FROM o JOIN p ON (o.i - 1) % 7 = place),
+    s AS (SELECT i, n, x AS level FROM f WHERE i = 1 UNION ALL SELECT f.i, f.n, s.level + 0.3::DOUBLE * (f.x - s.level) FROM s JOIN f ON f.i = s.i + 1)
+    SELECT CAST(step AS INT) AS step, round(k, 4) AS season_index, round(level, 4) AS level, round(level * k, 4) AS forecast
+    FROM s, range(1, 15) r(step) JOIN p ON place = (s.n - 1 + step) % 7 WHERE s.i = s.n""",
+)
+def _(t):
+    return demand.seasonal_forecast(_daily(t), "x", ["day"], 7, 14)
+
+
+@query(
+    "intermittent_demand",
+    """WITH RECURSIVE d AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_shipdate, CASE WHEN l_quantity > 40 THEN l_quantity ELSE 0 END AS x FROM lineitem ),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, x) AS t, count(*) OVER (PARTITION BY l_suppkey) AS periods FROM d),
+    h AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY t) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, t - coalesce(lag(t) OVER (PARTITION BY l_suppkey ORDER BY t), 0) AS gap FROM o WHERE x > 0),
+    s AS (SELECT l_suppkey, i, n, x::DOUBLE AS a, gap::DOUBLE AS b FROM h WHERE i = 1
+      UNION ALL SELECT h.l_suppkey, h.i, h.n, s.a + 0.1::DOUBLE * (h.x - s.a), s.b + 0.1::DOUBLE * (h.gap - s.b) FROM s JOIN h ON h.l_suppkey = s.l_suppkey AND h.i = s.i + 1),
+    g AS (SELECT l_suppkey, any_value(periods) AS periods, count(*) AS demands, avg(gap) AS mean_interval, var_samp(x) / (avg(x) * avg(x)) AS variation FROM h GROUP BY 1)
+    SELECT l_suppkey, periods, demands, round(mean_interval, 8) AS mean_interval, round(a, 8) AS size_level, round(b, 8) AS interval_level, round(a / b, 8) AS rate, round(variation, 8) AS variation
+    FROM g JOIN s USING (l_suppkey) WHERE s.i = s.n""",
+    digits=8,
+)
+def _(t):
+    """Large shipments of each supplier; the others are periods without demand."""
+    rows = t.lineitem.withColumn("x", F.when(F.col("l_quantity") > 40, F.col("l_quantity")).otherwise(0.0))
+    return demand.intermittent_demand(rows, "x", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey"])
