@@ -528,3 +528,11 @@ def test_representative_rows_fall_back_to_the_first(spark):
     df = df.withColumn("x", F.col("id") * -1.0)
     got = {r["id"] for r in representative_rows(df, "id", ["x"]).collect()}
     assert got == {"0", "5", "9"}
+
+
+def test_crosstab_has_combinations_that_do_not_occur(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", "x"), ("b", None)], "p string, q string")
+    got = {(r["val_a"], r["val_b"]): r["cnt"] for r in exploratory.crosstab(df, [("p", "q")]).collect()}
+    assert got == {("a", "x"): 2, ("a", "y"): 1, ("b", "x"): 1, ("b", "y"): 0}
+    summary = only(exploratory.crosstab_summary(df, [("p", "q")]))
+    assert summary["max_deviation"] == pytest.approx(0.25)

@@ -97,12 +97,11 @@ def _(t):
     "role_samples_orders",
     """SELECT "column", string_agg(v, '|' ORDER BY v) AS samples FROM (
       SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY v) AS r FROM (SELECT DISTINCT * FROM """
-    + text_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    + text_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     + """)) WHERE r <= 5 GROUP BY 1""",
 )
 def _(t):
-    df = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return op.infer_roles(df, samples=True).select("column", F.array_join("sample_values", "|").alias("samples"))
+    return op.infer_roles(t.orders, samples=True).select("column", F.array_join("sample_values", "|").alias("samples"))
 
 
 @query(

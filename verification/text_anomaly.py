@@ -116,9 +116,9 @@ def _(t):
     return an.duplicates(t.documents, id_cols=["doc_id"])
 
 
-@query("duplicates_events", _dup_sql("(SELECT ts, user_id, event_type, props FROM events)", "user_id, event_type, props"))
+@query("duplicates_events", _dup_sql("events", "user_id, event_type, value, props"))
 def _(t):
-    return an.duplicates(t.events.select("ts", "user_id", "event_type", "props"), time_cols=["ts"])
+    return an.duplicates(t.events, id_cols=["event_id"], time_cols=["ts"])
 
 
 @query("duplicate_groups", "SELECT md5(text) AS text_md5, lang, count(*) AS copies FROM documents GROUP BY text, lang HAVING count(*) > 1")
@@ -164,9 +164,8 @@ def _sentences(t):
     return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(made)
 
 
-_PCT = r"(\d+(?:\.\d+)?)\s*%"
-_CMP = r"(\d+(?:\.\d+)?)\s+([\w\s]{0,40}?)(?:compared to|versus|vs\.?)\s+(\d+(?:\.\d+)?)"
-_RV = r"r(?:[=\s\-](?:value)?(?:\s+of)?(?:\s*[:=])?\s*)(\d+(?:\.\d+)?)"
+# DuckDB takes the case as an option.
+_PCT, _CMP, _RV = fi.PERCENT, fi.COMPARISON.removeprefix("(?i)"), fi.R_VALUE.removeprefix("(?i)")
 
 
 @query(
