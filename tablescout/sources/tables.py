@@ -43,14 +43,17 @@ def read_table(
     """Read CSV (header, inferred types unless a schema is given), parquet, ORC or JSON; NaN becomes null.
 
     CSV cells may be quoted, with doubled quotes and line breaks inside, and the usual words for missing values are
-    null in every column. Files whose cells hold line breaks cannot be split, so a file is read by one task; pass
-    ``multiLine=False`` for large files without them. Inferring types costs one pass, a schema saves it.
+    null in every column. Only files whose cells hold line breaks cannot be split and are read by one task each; whether
+    one does costs one pass over the lines, in as many tasks as the files have blocks, and ``multiLine`` saves it. Inferring
+    types costs one pass over the cells, a schema saves it.
     """
     kind = format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.format(kind)
     if kind == "csv":
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        quoting = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False} | options
+        quoting = {"header": True, "quote": '"', "escape": '"', "inferSchema": False} | options
+        if "multiLine" not in quoting:
+            quoting["multiLine"] = _breaks_in_cells(spark, path, quoting["quote"])
         if wanted is not None:
             # Cells are read as text and converted afterwards, as words for missing values may stand in any column.
             reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields]))
@@ -61,6 +64,14 @@ def read_table(
     return nan_to_null(reader.options(**options).load(path))
 
 
+def _breaks_in_cells(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether some cell goes on in the next line: then a line has an odd number of quotes. A single quote inside an
+    unquoted cell looks the same, and such files are read whole as well."""
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+    return not lines.where(odd).isEmpty()
+
+
 def parse_csv(lines: DataFrame, line: str, schema: str) -> DataFrame:
     """Rows of text in CSV form as columns, by the same quoting, missing words and types as files."""
     wanted = T._parse_datatype_string(schema)

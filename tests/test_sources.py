@@ -72,3 +72,18 @@ def test_modules_on_tables_of_one_kind(spark, schema):
     assert all(r["finding"] for r in told)
     labels = {r["label"] for r in explore(df).candidates.collect()}
     assert "Is there external context we should factor in?" in labels
+
+
+def test_csv_without_breaks_in_cells_is_split(spark, tmp_path):
+    path, broken = tmp_path / "t.csv", tmp_path / "b.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"x, ""{i}"" y"\n' for i in range(20_000)))
+    broken.write_text('a,b\n1,"two\nlines"\n2,x\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        df = read_table(spark, str(path))
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 20_000 and df.where("b = concat('x, \"', a, '\" y')").count() == 20_000
+        whole = read_table(spark, str(broken))
+        assert whole.count() == 2 and whole.where("a = 1").first()["b"] == "two\nlines"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
