@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -124,7 +125,7 @@ class _Run:
         self.rows = doubles(df, features(df, cols))
         names = self.rows.columns
         edges = [F.max(F.abs(c)) for c in names]
-        self.rows = self.rows.dropna().where(~F.greatest(F.lit(False), *(F.isnan(c) for c in names)))
+        self.rows = self.rows.dropna().where(~F.greatest(F.lit(False), *(F.isnan(c) for c in names))).persist()
         self.width = len(names)
         row = self.rows.agg(F.count(F.lit(1)), *edges).first()
         self.n = row[0]
@@ -140,9 +141,12 @@ class _Run:
             for batch in batches:
                 for points in number_rows(batch):
                     best, apart = _nearest(points, centres)
-                    np.add.at(total, (best, 0), 1)
-                    np.add.at(total, (best, 1), far.whole(apart))
-                    np.add.at(total, (best, slice(2, None)), scale.whole(points))
+                    apart, points = far.whole(apart), scale.whole(points)
+                    for i in np.unique(best):
+                        mine = best == i
+                        total[i, 0] += mine.sum()
+                        total[i, 1] += apart[mine].sum()
+                        total[i, 2:] += points[mine].sum(axis=0)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "v"])
 
@@ -189,21 +193,34 @@ def _seeds(run: _Run, k: int, seed: int, rounds: int, over: float) -> np.ndarray
     return candidates[chosen]
 
 
-def kmeans(df: DataFrame, cols, k: int, start=None, rounds: int = 50, tolerance: float = 0.0, seed: int = 42, seed_rounds: int = 4, over: float = 2.0) -> Clusters:
+def kmeans(
+    df: DataFrame, cols, k: int, start=None, rounds: int | None = None, tolerance: float = 0.0, seed: int = 42, seed_rounds: int = 4, over: float = 2.0
+) -> Clusters:
     """``k`` clusters of the rows complete in ``cols`` (numbers or arrays of numbers), by distance to the mean.
 
     Without ``start`` (a list of centres) centres are drawn in ``seed_rounds`` passes, about ``over * k`` rows each, and
-    ``k`` of those chosen. Then every pass assigns and averages; it ends after ``rounds`` or when no centre moves by more
-    than ``tolerance``. A pass sends the centres out and gets k sums back. Sums are taken over whole numbers, so the
+    ``k`` of those chosen. Then every pass assigns and averages, until no centre moves by more than ``tolerance``, or for
+    ``rounds`` if given. A pass sends the centres out and gets k sums back. Sums are taken over whole numbers, so the
     result does not depend on how rows are dealt to tasks. A cluster that loses all rows keeps its centre; there are
     fewer than ``k`` clusters if there are fewer different rows.
     """
     run = _Run(df, cols)
+    try:
+        return _settled(run, k, start, rounds, tolerance, seed, seed_rounds, over)
+    finally:
+        run.rows.unpersist()
+
+
+def _settled(run: _Run, k: int, start, rounds: int | None, tolerance: float, seed: int, seed_rounds: int, over: float) -> Clusters:
     if not run.n:
         return Clusters(np.zeros((0, run.width)), [])
     centres = np.array(start, float) if start is not None else _seeds(run, k, seed, seed_rounds, over)
-    found = Clusters(centres, [])
-    for _ in range(rounds):
+    found, seen = Clusters(centres, []), set()
+    for _ in range(rounds) if rounds is not None else count():
+        # Centres that come back, which rounded sums could make them do, would do so for ever.
+        if rounds is None and found.centres.tobytes() in seen:
+            break
+        seen.add(found.centres.tobytes())
         counts, sums, inertia = run.sums(found.centres)
         found.inertia.append(inertia)
         found.sizes = counts.tolist()

@@ -100,6 +100,15 @@ def test_clusters_are_the_same_for_any_partitioning(spark):
     assert M.kmeans(df.limit(0), ["x", "y", "z"], 3).sizes == []
 
 
+def test_clusters_go_on_until_the_centres_stand(spark):
+    df = spark.range(800).select(F.col("id").cast("double").alias("x")).coalesce(1)
+    found = M.kmeans(df, ["x"], 8, start=[[float(i)] for i in range(8)])
+    assert len(found.inertia) > 51 and sum(found.sizes) == 800
+    again = M.kmeans(df, ["x"], 8, start=found.centres, rounds=1)
+    assert np.array_equal(again.centres, found.centres)
+    assert len(M.kmeans(df, ["x"], 8, start=[[float(i)] for i in range(8)], rounds=3).inertia) == 4
+
+
 def test_panel_is_dense_and_censored(spark):
     rows = [("a", "2024-01-01", 1.0), ("a", "2024-01-01", 2.0), ("a", "2024-01-04", None), ("b", "2024-01-03", 5.0), (None, "2024-01-09", 1.0), ("c", None, 1.0)]
     df = spark.createDataFrame(rows, "e string, t string, v double").withColumn("t", F.to_timestamp("t"))
