@@ -39,12 +39,19 @@ class Components:
         rows = [(i + 1, c, float(v)) for i, axis in enumerate(self.axes) for c, v in zip(self.cols, axis)]
         return df.sparkSession.createDataFrame(rows, "component int, column string, loading double")
 
-    def project(self, df: DataFrame, cols, count: int, prefix: str = "pc") -> DataFrame:
-        """Add ``pc1, pc2, ...``: where each row stands on the first axes; null where a column is missing."""
+    def alike(self) -> int:
+        """Place of the axis along which the columns rise together: that with the largest sum of loadings, of equal ones the first.
+
+        Of columns that hardly correlate the variances of the axes are nearly equal, and their order is chance.
+        """
+        return int(np.argmax(self.axes.sum(axis=1)))
+
+    def project(self, df: DataFrame, cols, count: int, prefix: str = "pc", first: int = 0) -> DataFrame:
+        """Add ``pc1, pc2, ...``: where each row stands on ``count`` axes from place ``first``; null where a column is missing."""
         values = list(features(df, cols).values())
         apart = [(v.cast("double") - float(m)) / float(s) for v, m, s in zip(values, self.centre, self.scale)]
         dot = lambda axis: sum((x * float(w) for x, w in zip(apart, axis)), F.lit(0.0))
-        return df.withColumns({f"{prefix}{i + 1}": dot(self.axes[i]) for i in range(count)})
+        return df.withColumns({f"{prefix}{i + 1}": dot(self.axes[first + i]) for i in range(count)})
 
 
 def principal_components(df: DataFrame, cols, standardize: bool = True, found: Gram | None = None) -> Components:

@@ -85,6 +85,21 @@ def test_hundred_columns_take_one_scan(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+@pytest.mark.parametrize("sign", (1, -1))
+def test_rows_stand_on_the_axis_along_which_columns_rise(spark, sign):
+    random = np.random.default_rng(4)
+    x = random.normal(size=300)
+    y = sign * 0.1 * x + random.normal(size=300)
+    assert np.corrcoef(x, y)[0, 1] * sign > 0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y)], "x double, y double")
+    found = M.principal_components(df, ["x", "y"])
+    assert found.alike() == (0 if sign > 0 else 1)
+    z = lambda v: (v - v.mean()) / v.std(ddof=1)
+    got = found.project(df, ["x", "y"], 1, first=found.alike()).collect()
+    want = {r: (a + b) / np.sqrt(2) for r, a, b in zip(zip(x, y), z(x), z(y))}
+    assert all(r.pc1 == pytest.approx(want[r.x, r.y], abs=1e-9) for r in got)
+
+
 def test_clusters_are_the_same_for_any_partitioning(spark):
     random = np.random.default_rng(3)
     points = np.concatenate([random.normal(c, 0.4, (150, 3)) for c in ((0, 0, 0), (5, 5, 0), (0, 5, 5), (9, 0, 9))])
