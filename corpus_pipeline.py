@@ -11,6 +11,7 @@ from tablescout.llm.mixing import mix
 from tablescout.llm.packing import pack, written_place
 from tablescout.llm.quality import good_documents
 from tablescout.llm.shingles import keep_one_of_near_copies
+from tablescout.llm.simhash import keep_one_of_near_fingerprints
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +20,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more), the document with the smallest doc_id.
+    """Of documents whose SimHash fingerprints link, that with the smallest doc_id; then of near copies that are left.
 
-    Fingerprints of two bits would leave such copies in, so they are found by the shingles themselves.
+    Fingerprints of two bits leave copies in that have more changes, so an exact check follows: of each group of texts
+    with a Jaccard similarity of 5-word shingles of 0.8 or more, again the document with the smallest doc_id stays.
     """
-    return keep_one_of_near_copies(docs)
+    return keep_one_of_near_copies(settle(keep_one_of_near_fingerprints(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

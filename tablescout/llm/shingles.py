@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import field, forget, if_small, in_batches, settle
+from tablescout.llm.common import forget, if_small, in_batches, row_key, settle
 from tablescout.llm.components import representatives
 
 #: Words of a shingle, and the similarity from which two texts are near copies: NUMBER / OF.
@@ -102,11 +102,6 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
     return OF * both >= NUMBER * (len(x) + len(y) - both)
 
 
-def row_key() -> Column:
-    """128 bits of a row's doc_id and text."""
-    return F.unhex(F.md5(F.concat(field("doc_id"), field("text")).cast("binary")))
-
-
 def _shown(docs: DataFrame) -> Common:
     """Shingles that are common among one of SHOWN texts, drawn by a hash; counted by Spark, and a bit each goes out."""
     rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHOWN)) == 0).select(F.col("text").cast("binary").alias("text"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import in_batches, query, settle, table
+from tablescout.llm.common import if_small, in_batches, query, row_key, settle, table
 from tablescout.llm.components import representatives
 
 #: Bits at which linked fingerprints may differ.
@@ -167,6 +167,20 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     return numbered.where("__nth = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+def keep_one_of_near_fingerprints(docs: DataFrame) -> DataFrame:
+    """Of the rows that :func:`near_groups` links, the one with the smallest doc_id, then the smallest key of doc_id and text.
+
+    Rows without doc_id come last in their group; a repeated row stays as often as it is there. Columns are those of
+    ``docs``, whatever their names. Texts do not move: what goes is told by the keys of rows.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), row_key().alias("k"))
+    found = near_groups(docs.select(order.alias("row"), "text"), "row")
+    goes = if_small(settle(found.where("doc_id <> component_id").select("doc_id.k").distinct()))
+    names = list(docs.columns)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), row_key().alias("k"))
+    return own.join(goes, "k", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_groups(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablescout.llm import packing
+from tablescout.llm import packing, simhash
 from tablescout.llm.common import settle
 from tablescout.llm.decontamination import contamination
 from tablescout.llm.quality import quality_scores
@@ -62,6 +62,35 @@ def test_stages_on_odd_tables(spark):
                 assert all(r[c] == f"own {c}" for r in rows for c in taken)
 
 
+def test_near_copies_go_by_fingerprints_and_then_by_shingles(spark):
+    words = [f"w{i}" for i in range(400)]
+    changed = " ".join([*words[:200], "else", *words[201:]])
+    rows = [
+        (4, "x x x"),
+        (1, "x x x x x x x"),
+        (3, "some other words here"),
+        (7, " ".join(words)),
+        (6, changed),
+        (None, "X x x"),
+        (9, ""),
+        (8, None),
+        (1, "some other words here"),
+        (12, "alone"),
+        (12, "alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    first = simhash.keep_one_of_near_fingerprints(docs)
+    # The texts of x have one shingle of three words, and none of five in common.
+    linked = lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 2
+    assert linked(0, 1) and linked(0, 5) and linked(6, 7) and linked(2, 8) and not linked(0, 2)
+    copies = [] if linked(3, 4) else [(7, " ".join(words))]
+    want = [(1, "some other words here"), (1, "x x x x x x x"), (6, changed), (8, None), (12, "alone"), (12, "alone")]
+    assert sorted(map(tuple, first.collect()), key=str) == sorted([*want, *copies], key=str)
+    out = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want[:-1], key=str)
+
+
 def test_first_shards_hold_the_early_sources(spark, monkeypatch):
     monkeypatch.setattr(packing.pack, "__defaults__", (*packing.pack.__defaults__[:2], 3000, None, None))
     docs = spark.createDataFrame(
