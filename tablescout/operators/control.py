@@ -36,17 +36,21 @@ def control_limits(df: DataFrame, value: str, order, keys=()) -> DataFrame:
     return _limits(_ordered(df, value, order, keys), keys)
 
 
-def _runs(rows: DataFrame, keys, state: str) -> DataFrame:
-    """Maximal stretches of equal ``state`` (null is in none): ``keys..., state, start, stop, length``.
+def _numbered(rows: DataFrame, keys, states) -> DataFrame:
+    """Number the maximal stretches of equal values of each of ``states``: a column ``_run`` and its name for each.
 
     A row opens a stretch if the one before differs, and the number of stretches opened so far, a running total over
-    blocks, names that of a row. So a stretch goes on over the edges of blocks, and one that holds most rows is
-    counted in parts where they lie.
+    blocks, names that of a row. So a stretch goes on over the edges of blocks. All states share one pass.
     """
-    marked = with_neighbours(rows, keys, "pos", {"_last": (state, -1)})
-    opens = F.when(F.col("_last").eqNullSafe(F.col(state)) & (F.col("pos") > 0), 0).otherwise(1)
-    numbered = running_totals(marked, keys, "pos", {"_run": opens}).where(F.col(state).isNotNull())
-    return numbered.groupBy(*keys, "_run", F.col(state).alias("state")).agg(
+    marked = with_neighbours(rows, keys, "pos", {f"_last{s}": (s, -1) for s in states})
+    opens = {f"_run{s}": F.when(F.col(f"_last{s}").eqNullSafe(F.col(s)) & (F.col("pos") > 0), 0).otherwise(1) for s in states}
+    return materialize(running_totals(marked, keys, "pos", opens).select(*keys, "pos", *states, *opens))
+
+
+def _runs(numbered: DataFrame, keys, state: str) -> DataFrame:
+    """The stretches of a numbered ``state`` (null is in none): ``keys..., state, start, stop, length``; one that holds most
+    rows is counted in parts where they lie."""
+    return numbered.where(F.col(state).isNotNull()).groupBy(*keys, F.col(f"_run{state}").alias("_run"), F.col(state).alias("state")).agg(
         F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count(F.lit(1)).alias("length")
     ).drop("_run")
 
@@ -70,11 +74,11 @@ def run_rules(df: DataFrame, value: str, order, keys=(), side: int = 8, trend: i
         # Steps that go up and down by turns are of one sign if every other one is turned round.
         F.when(step != 0, (step * F.when(F.col("pos") % 2 == 0, 1).otherwise(-1)).cast("int")).alias("_turn"),
     )
-    rows = materialize(rows)
+    numbered = _numbered(rows, keys, ["_beyond", "_side", "_step", "_turn"])
     out = []
     for rule, state, least, more in (("beyond", "_beyond", 1, 0), ("shift", "_side", side, 0), ("trend", "_step", trend - 1, 1), ("zigzag", "_turn", 13, 1)):
         # A stretch of steps has one value more, the one before its first.
-        found = _runs(rows.select(*keys, "pos", state), keys, state).where(F.col("length") >= least)
+        found = _runs(numbered, keys, state).where(F.col("length") >= least)
         out.append(found.select(*keys, F.lit(rule).alias("rule"), (F.col("start") - more).alias("start"), "stop", (F.col("length") + more).alias("length")))
     return out[0].union(out[1]).union(out[2]).union(out[3])
 

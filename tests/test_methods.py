@@ -345,3 +345,15 @@ def test_intermittent_demand_and_seasons(spark, small_blocks):
     wave = spark.createDataFrame([(i, float([10, 20, 60][i % 3])) for i in range(30)], "i int, v double")
     ahead = demand.seasonal_forecast(wave, "v", ["i"], 3, 4).orderBy("step").collect()
     assert [x.forecast for x in ahead] == pytest.approx([10, 20, 60, 10])
+
+
+def test_run_rules_share_one_pass(spark, monkeypatch):
+    calls = []
+    for name in ("with_neighbours", "running_totals"):
+        whole = getattr(control, name)
+        monkeypatch.setattr(control, name, lambda *a, whole=whole, name=name: calls.append(name) or whole(*a))
+    df = spark.createDataFrame([(i, float(i % 9)) for i in range(60)], "t int, v double")
+    found = control.run_rules(df, "v", ["t"]).collect()
+    assert {(r.rule, r.start, r.stop, r.length) for r in found} == {("trend", 9 * i, min(9 * i + 8, 59), min(9, 60 - 9 * i)) for i in range(7)}
+    # One for the moving ranges, one for the four rules together.
+    assert sorted(calls) == ["running_totals", "with_neighbours", "with_neighbours"]
