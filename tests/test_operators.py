@@ -397,6 +397,21 @@ def test_near_duplicates_by_brute_force(spark, min_sim):
     assert got == expected
 
 
+def test_near_duplicates_of_one_host_meet_few_others(spark, monkeypatch):
+    """Short and longer values by brute force, and values that share host and ending are not compared pair by pair."""
+    g = np.random.default_rng(5)
+    values = [f"https://www.host.example.net/en/{n}{e}" for n in g.integers(100_000, 100_999, 40) for e in ("", "0", ".html", "?utm_source=feed&page=2")]
+    values = sorted({*values, *[v.replace("https", "http") for v in values[:20]], *[v.replace("/en/", "/e/") for v in values[:20]], "a", "b"})
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    expected = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if edit_distance(a, b) <= max(len(a), len(b)) * 0.05 + 1e-9}
+    for most in (text.SHORTENED, 900):
+        monkeypatch.setattr(text, "SHORTENED", most)
+        assert {(r["value_a"], r["value_b"]) for r in text.near_duplicate_values(df, ["v"], 0.95).collect()} == expected
+    monkeypatch.undo()
+    held = spark.createDataFrame([(i, f"https://www.host.example.net/en/{n}") for i, n in enumerate(range(100_003, 999_999, 449))], "_id long, key string")
+    assert text._meet_shortened(held, 0.95).count() < 10 * held.count()
+
+
 def test_planted_outliers_are_found(spark):
     g = np.random.default_rng(0)
     x = np.vstack([g.normal(size=(2000, 4)), g.normal(12, 1, size=(20, 4)) * g.choice([-1, 1], size=(20, 1))])
