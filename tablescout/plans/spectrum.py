@@ -49,36 +49,76 @@ def _turn(numerator: np.ndarray, denominator: int, sign: int) -> np.ndarray:
     return np.exp(sign * 2j * np.pi * (numerator % denominator) / denominator)
 
 
-def _transform(values: DataFrame, rows: int, columns: int, sign: int) -> DataFrame:
-    """Transform ``metric, j, re, im`` of length ``rows * columns``; absent positions are zeros."""
-    length = rows * columns
+def _vector(index: pd.Series, frame: pd.DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size, dtype=complex)
+    out[index.to_numpy()] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
+    return out
 
-    def dft(vector: np.ndarray) -> np.ndarray:
-        return np.fft.fft(vector) if sign < 0 else np.fft.ifft(vector) * len(vector)
 
-    def vector(index: pd.Series, frame: pd.DataFrame, size: int) -> np.ndarray:
-        out = np.zeros(size, dtype=complex)
-        out[index.to_numpy()] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
-        return out
+def _dft(vector: np.ndarray, sign: int) -> np.ndarray:
+    return np.fft.fft(vector) if sign < 0 else np.fft.ifft(vector) * len(vector)
+
+
+def _by_columns(values: DataFrame, rows: int, columns: int, sign: int) -> DataFrame:
+    """The first half of a transform: that of every column, turned."""
 
     def by_column(frame: pd.DataFrame) -> pd.DataFrame:
         column = int(frame["j"].iloc[0] % columns)
         at = np.arange(rows, dtype=np.int64)
-        out = dft(vector(frame["j"] // columns, frame, rows)) * _turn(at * column, length, sign)
+        out = _dft(_vector(frame["j"] // columns, frame, rows), sign) * _turn(at * column, rows * columns, sign)
+        return pd.DataFrame({"metric": frame["metric"].iloc[0], "j": at * columns + column, "re": out.real, "im": out.imag})
+
+    return values.groupBy("metric", (F.col("j") % columns).alias("_column")).applyInPandas(by_column, _SCHEMA)
+
+
+def _by_columns_real(values: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The first half of a transform of the real numbers ``metric, j, re``: the upper rows mirror the lower ones and are left out."""
+
+    def by_column(frame: pd.DataFrame) -> pd.DataFrame:
+        column = int(frame["j"].iloc[0] % columns)
+        vector = np.zeros(rows)
+        vector[(frame["j"] // columns).to_numpy()] = frame["re"].to_numpy()
+        at = np.arange(rows // 2 + 1, dtype=np.int64)
+        out = np.fft.rfft(vector) * _turn(at * column, rows * columns, -1)
         return pd.DataFrame({"metric": frame["metric"].iloc[0], "j": at * columns + column, "re": out.real, "im": out.imag})
 
+    return values.groupBy("metric", (F.col("j") % columns).alias("_column")).applyInPandas(by_column, _SCHEMA)
+
+
+def _transform(values: DataFrame, rows: int, columns: int, sign: int) -> DataFrame:
+    """Transform ``metric, j, re, im`` of length ``rows * columns``; absent positions are zeros."""
+
     def by_row(frame: pd.DataFrame) -> pd.DataFrame:
         row = int(frame["j"].iloc[0] // columns)
-        out = dft(vector(frame["j"] % columns, frame, columns))
+        out = _dft(_vector(frame["j"] % columns, frame, columns), sign)
         at = np.arange(columns, dtype=np.int64)
         return pd.DataFrame({"metric": frame["metric"].iloc[0], "j": row + rows * at, "re": out.real, "im": out.imag})
 
-    turned = values.groupBy("metric", (F.col("j") % columns).alias("_column")).applyInPandas(by_column, _SCHEMA)
+    turned = _by_columns(values, rows, columns, sign)
     return turned.groupBy("metric", F.floor(F.col("j") / columns).alias("_row")).applyInPandas(by_row, _SCHEMA)
 
 
+def _strongest(turned: DataFrame, rows: int, columns: int, sign: int, n: int, mirrored: bool) -> DataFrame:
+    """``metric, k, size``: the largest number of each row of the second half, among frequencies 1 to n // 2; only one
+    row leaves a group. If ``mirrored``, a frequency above the half stands for the one it mirrors."""
+
+    def by_row(frame: pd.DataFrame) -> pd.DataFrame:
+        row = int(frame["j"].iloc[0] // columns)
+        size = np.abs(_dft(_vector(frame["j"] % columns, frame, columns), sign))
+        k = row + rows * np.arange(columns, dtype=np.int64)
+        k = np.minimum(k, n - k) if mirrored else k
+        held = (k >= 1) & (k <= n // 2)
+        if not held.any():
+            return pd.DataFrame(columns=["metric", "k", "size"])
+        size, k = size[held], k[held]
+        top = size.max()
+        return pd.DataFrame({"metric": frame["metric"].iloc[:1].to_numpy(), "k": [int(k[size == top].min())], "size": [float(top)]})
+
+    return turned.groupBy("metric", F.floor(F.col("j") / columns).alias("_row")).applyInPandas(by_row, "metric string, k long, size double")
+
+
 def _chirp(values: DataFrame, n: int) -> DataFrame:
-    """Transform of any length n as a circular convolution of a power-of-two length; magnitudes only."""
+    """Largest numbers of the transform of any length n, as a circular convolution of a power-of-two length."""
     bits = (2 * n - 1).bit_length()
     rows, columns = 1 << (bits // 2), 1 << (bits - bits // 2)
     length = rows * columns
@@ -108,8 +148,8 @@ def _chirp(values: DataFrame, n: int) -> DataFrame:
         (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"),
         (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"),
     )
-    back = _transform(product, rows, columns, 1)
-    return back.select("metric", "j", (F.col("re") / length).alias("re"), (F.col("im") / length).alias("im"))
+    back = _strongest(_by_columns(product, rows, columns, 1), rows, columns, 1, n, False)
+    return back.withColumn("size", F.col("size") / length)
 
 
 def dominant_frequency(values: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -125,21 +165,22 @@ def dominant_frequency(values: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame
         k = int(np.argmax(size)) + 1
         return pd.DataFrame({"metric": frame["metric"].iloc[:1], "n": [len(frame)], "dominant_k": [k], "magnitude": [size[k - 1]]})
 
-    parts = [rows.where(F.col("n") <= limit).groupBy("metric").applyInPandas(whole, "metric string, n long, dominant_k long, magnitude double")]
+    schema = "metric string, n long, dominant_k long, magnitude double"
+    parts = []
+    # A branch without series would still put all values in order.
+    if not lengths or min(lengths.values()) <= limit:
+        parts.append(rows.where(F.col("n") <= limit).groupBy("metric").applyInPandas(whole, schema))
     for n in sorted({n for n in lengths.values() if n > limit}):
-        alike = rows.where(F.col("n") == n).select("metric", "j", "re", F.lit(0.0).alias("im"))
+        alike = rows.where(F.col("n") == n).select("metric", "j", "re")
         factor = _divisor(n)
-        spectrum = _transform(alike, factor, n // factor, -1) if factor else _chirp(alike, n)
-        size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+        if factor:
+            tops = _strongest(_by_columns_real(alike, factor, n // factor), factor, n // factor, -1, n, True)
+        else:
+            tops = _chirp(alike, n)
+        best = F.min_by(F.struct("k", "size"), F.struct((-F.col("size")).alias("m"), F.col("k")))
         parts.append(
-            spectrum.where((F.col("j") >= 1) & (F.col("j") <= n // 2))
-            .groupBy("metric")
-            .agg(F.min_by(F.struct("j", size.alias("m")), F.struct((-size).alias("m"), F.col("j"))).alias("_top"))
-            .select(
-                "metric",
-                F.lit(n).cast("long").alias("n"),
-                F.col("_top.j").alias("dominant_k"),
-                F.col("_top.m").alias("magnitude"),
-            )
+            tops.groupBy("metric")
+            .agg(best.alias("_top"))
+            .select("metric", F.lit(n).cast("long").alias("n"), F.col("_top.k").alias("dominant_k"), F.col("_top.size").alias("magnitude"))
         )
     return union_all(parts)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tablescout.plans import ranks, sequence, stats
+from tablescout.plans import spectrum
 from tablescout.plans.spectrum import dominant_frequency
 
 
@@ -144,6 +145,17 @@ def test_distributed_transform_equals_numpy(spark, n, limit):
     assert got["magnitude"] == pytest.approx(size.max())
 
 
+def test_distributed_transform_sends_half_and_returns_little(spark):
+    """No branch for short series where there is none, and the second grouping gets the lower rows only."""
+    n = 3600
+    df = spark.range(n).selectExpr("'v' AS metric", "id AS idx", f"{n}L AS n", "sin(id * 0.3) + id % 7 AS value")
+    plan = dominant_frequency(df, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") in (2, 4)  # the adaptive plan may be shown twice
+    turned = spectrum._by_columns_real(df.selectExpr("metric", "idx AS j", "value AS re"), 60, 60)
+    assert turned.count() == 31 * 60
+    assert spectrum._strongest(turned, 60, 60, -1, n, True).count() == 31
+
+
 def test_neighbours_further_than_a_block(spark, small_blocks):
     df = spark.range(60).selectExpr("id as pos", "id * 10 as v")
     far = {"a": ("v", -20), "b": ("v", 17), "c": ("v", -7), "d": ("v", 8)}
