@@ -13,38 +13,39 @@ def itemsets(df: DataFrame, basket: str, item: str, min_count: int = 2, max_size
     """``items, size, support_count, support, n_baskets`` of all sets of up to ``max_size`` items that occur together in
     ``min_count`` baskets or more; ``items`` is sorted.
 
-    Each basket becomes its frequent items in one order, rarest first, and equal baskets become one row with their
-    number. Sets grow by one item a round: a row holds a set and what follows it in a basket, rows that agree in both
-    are merged, and sets below ``min_count`` end. As an item is only
-    followed by more frequent ones, an item in most baskets has next to nothing behind it, and the many rows of a
+    Each basket becomes its items of ``min_count`` rows or more in one order, rarest first, and equal baskets become one row
+    with their number; baskets of rarer items only are counted with no items. Sets grow by one item a round: a row holds a
+    set and what follows it in a basket, rows that agree in both are merged, and sets below ``min_count`` end. As an item is
+    only followed by more frequent ones, an item in most baskets has next to nothing behind it, and the many rows of a
     frequent set are counted where they lie, so no set or item is the work of one task.
 
     Rows without basket or item are left out; an item that is repeated in a basket counts once.
     """
-    pairs = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket IS NOT NULL AND item IS NOT NULL").distinct()
-    pairs = materialize(pairs)
-    total = pairs.agg(F.count_distinct("basket").alias("n_baskets"))
-    counts = materialize(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
-    found = [counts.select(F.array("item").alias("items"), F.col("n").alias("support_count"))]
-    rows = pairs.join(counts, "item").groupBy("basket").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("rest"))
-    rows = rows.groupBy("rest").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.select(F.expr("slice(array(rest[0].item), 1, 0)").alias("items"), "rest", "times")
+    pairs = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket IS NOT NULL AND item IS NOT NULL")
+    # Rows of an item bound its baskets from above; they only set the order and leave out items that cannot be frequent.
+    heads = materialize(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
+    ranked = pairs.join(heads, "item", "left").select("basket", F.when(F.col("n").isNotNull(), F.struct("n", "item")).alias("_held"))
+    rows = ranked.groupBy("basket").agg(F.sort_array(F.collect_set("_held")).alias("_set"))
+    rows = materialize(rows.groupBy("_set").agg(F.count(F.lit(1)).alias("times")))
+    total = rows.agg(F.coalesce(F.sum("times"), F.lit(0)).cast("long").alias("n_baskets"))
+    rows = rows.select(F.expr("slice(array(_set[0].item), 1, 0)").alias("items"), F.col("_set").alias("rest"), "times")
+    found = []
     for size in range(1, max_size + 1):
         grown = rows.select("items", F.posexplode("rest").alias("at", "next"), "rest", "times").select(
             F.concat("items", F.array("next.item")).alias("items"),
             F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"),
             "times",
         )
-        if size == 1:
-            frequent = found[0]
-        else:
-            frequent = materialize(
-                grown.groupBy("items").agg(F.sum("times").alias("support_count")).where(F.col("support_count") >= min_count)
-            )
-            found.append(frequent)
+        frequent = materialize(
+            grown.groupBy("items").agg(F.sum("times").alias("support_count")).where(F.col("support_count") >= min_count)
+        )
+        found.append(frequent)
         if size == max_size or frequent.isEmpty():
             break
-        ongoing = grown.where(F.size("rest") > 0).join(frequent.select("items"), "items", "left_semi")
+        ongoing = grown.where(F.size("rest") > 0)
+        # Where no item is repeated in a basket, all items that are left are frequent.
+        if size > 1 or frequent.count() < heads.count():
+            ongoing = ongoing.join(frequent.select("items"), "items", "left_semi")
         rows = materialize(ongoing.groupBy("items", "rest").agg(F.sum("times").alias("times")))
     sets = union_all(found).select(F.array_sort("items").alias("items"), F.size("items").alias("size"), "support_count")
     sets = sets.crossJoin(F.broadcast(total)).withColumn("support", F.col("support_count") / F.col("n_baskets"))

@@ -45,6 +45,18 @@ def test_item_in_most_baskets_is_no_group(spark, monkeypatch):
     assert {r["items"][0] for r in projected.collect()} == {f"i{k}" for k in range(10)} and projected.count() == 10
 
 
+def test_baskets_meet_before_items_are_counted(spark, monkeypatch):
+    """Equal baskets are one row before anything of their items is written, whatever their number, and repeats count once."""
+    seen = []
+    whole = basket.materialize
+    monkeypatch.setattr(basket, "materialize", lambda df: seen.append(whole(df)) or seen[-1])
+    rows = [(b, i) for b in range(300) for i in ("x", "y", "x", f"rare{b}")] + [(500, "alone")]
+    sets = basket.itemsets(spark.createDataFrame(rows, "b int, i string").repartition(5), "b", "i", min_count=2)
+    got = {tuple(r["items"]): (r.support_count, r.n_baskets) for r in sets.collect()}
+    assert got == {("x",): (300, 301), ("y",): (300, 301), ("x", "y"): (300, 301)}
+    assert max(df.count() for df in seen) == 2
+
+
 def _cloud(spark, rows=400, seed=0):
     random = np.random.default_rng(seed)
     values = random.normal(0, 1, (rows, 4)) @ random.normal(0, 1, (4, 4)) + 1e7
