@@ -85,15 +85,20 @@ def intermittent_demand(df: DataFrame, value: str, order, keys=(), alpha: float
     held = placed.where("value > 0").select(*keys, F.col("pos").alias("at"), "value")
     numbered = materialize(index_rows(held, ["at"], keys)).select(*keys, "pos", "value", "at", "n_rows")
     spaced = sequence.with_neighbours(numbered, keys, "pos", {"_last": ("at", -1)})
-    spaced = materialize(spaced.select(*keys, "pos", "value", (F.col("at") - F.coalesce("_last", F.lit(-1))).cast("double").alias("gap"), "n_rows"))
-    last = F.col("pos") == F.col("n_rows") - 1
-    levels = [_smoothed(spaced, keys, c, alpha).where(last).select(*keys, F.col("level").alias(name)) for c, name in (("value", "size_level"), ("gap", "interval_level"))]
+    spaced = spaced.select(*keys, "pos", "value", (F.col("at") - F.coalesce("_last", F.lit(-1))).cast("double").alias("gap"), "n_rows")
+    # Only the last levels are asked for: each row counts alpha times a power of 1 - alpha, the first one as the first level.
+    power = F.pow(F.lit(1.0 - alpha), (F.col("n_rows") - 1 - F.col("pos")).cast("double"))
+    weight = F.when(F.col("pos") > 0, alpha * power).otherwise(power)
     sums = spaced.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("demands"), F.avg("gap").alias("mean_interval"), (F.var_samp("value") / (F.avg("value") * F.avg("value"))).alias("variation")
+        F.count(F.lit(1)).alias("demands"),
+        F.avg("gap").alias("mean_interval"),
+        (F.var_samp("value") / (F.avg("value") * F.avg("value"))).alias("variation"),
+        F.sum(weight * F.col("value")).alias("size_level"),
+        F.sum(weight * F.col("gap")).alias("interval_level"),
     )
     periods = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("periods"))
     join = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    out = join(join(join(periods.where("periods > 0"), sums.where("demands > 0")), levels[0]), levels[1])
+    out = join(periods.where("periods > 0"), sums.where("demands > 0"))
     return out.select(*keys, "periods", "demands", "mean_interval", "size_level", "interval_level", (F.col("size_level") / F.col("interval_level")).alias("rate"), "variation")
 
 

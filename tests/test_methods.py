@@ -343,6 +343,23 @@ def test_levels_over_blocks_are_those_of_a_walk(spark, small_blocks):
     assert demand.exponential_level(df.limit(0), "v", ["i"]).count() == 0
 
 
+def test_intermittent_demand_needs_no_walk(spark, small_blocks, monkeypatch):
+    """Levels of many blocks come with the other sums; without keys, with ties and with one demand."""
+    monkeypatch.setattr(demand, "_smoothed", None)
+    values = [0.0, 3.0, 0.0, 0.0, 5.0, 5.0] * 9
+    df = spark.createDataFrame([(k, i, v) for k, vs in (("a", values), ("b", [0.0, 2.0]), ("c", [0.0])) for i, v in enumerate(vs)], "k string, i int, v double")
+    size, gap, last = None, None, -1
+    for i, v in enumerate(values):
+        if v > 0:
+            size = v if size is None else size + 0.1 * (v - size)
+            gap = float(i - last) if gap is None else gap + 0.1 * (i - last - gap)
+            last = i
+    got = {r.k: r for r in demand.intermittent_demand(df, "v", ["i"], ["k"]).collect()}
+    assert set(got) == {"a", "b"} and (got["b"].size_level, got["b"].interval_level) == (2.0, 2.0)
+    for r in (got["a"], *demand.intermittent_demand(df.where("k = 'a'"), "v", ["i"]).collect()):
+        assert (r.size_level, r.interval_level, r.rate) == (pytest.approx(size), pytest.approx(gap), pytest.approx(size / gap))
+
+
 def test_intermittent_demand_and_seasons(spark, small_blocks):
     series = [0, 0, 4, 0, 6, 0, 0, 0, 5, 1] + [0] * 5
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(series)], "i int, v double")
