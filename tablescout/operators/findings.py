@@ -150,25 +150,21 @@ SHOWN = {"percentage": 6, "comparison": 3, "correlation": 5}
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of ``(start, end, number)`` for each match, with zero-based offsets."""
+    """Array of ``at (s, e), v`` for each match: zero-based offsets and the number. The text is searched twice, for the
+    matches and for what lies between; the number is then read from the match, which is short."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})" if "(?i)" not in pattern else f"(?i)({pattern[4:]})"), F.lit(1))
-    number = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    between = F.split(text, pattern)
-    lengths = F.transform(F.arrays_zip(whole.alias("w"), between.alias("b")), lambda x: F.struct(F.coalesce(F.length(x["b"]), F.lit(0)).alias("b"), F.coalesce(F.length(x["w"]), F.lit(0)).alias("w")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    walked = F.aggregate(
-        lengths,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["w"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["b"]).alias("s"), (acc["at"] + x["b"] + x["w"]).alias("e"))).alias("out"),
-        ),
-    )["out"]
-    return F.slice(
-        F.arrays_zip(F.slice(walked, 1, F.greatest(F.size(number), F.lit(1))).alias("at"), F.transform(number, lambda v: v.cast("double")).alias("v")),
-        1,
-        F.size(number),
-    )
+    zipped = F.arrays_zip(whole.alias("w"), F.split(text, pattern).alias("b"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:struct<s:int,e:int>,v:double>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.coalesce(F.length(x["b"]), F.lit(0))
+        end = begin + F.length(x["w"])
+        number = F.regexp_extract(x["w"], pattern, 1).cast("double")
+        found = F.struct(F.struct(begin.alias("s"), end.alias("e")).alias("at"), number.alias("v"))
+        # Behind the last match there is text and no match.
+        return F.when(x["w"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out")))
+
+    return F.aggregate(zipped, start, step)["out"]
 
 
 def extract_metrics(texts: DataFrame, text_id: str, text: str, most: dict[str, int] | None = None) -> DataFrame:
@@ -204,13 +200,14 @@ def extract_metrics(texts: DataFrame, text_id: str, text: str, most: dict[str, i
             ).alias("context"),
         ),
     )
-    parts = [F.regexp_extract_all(t, F.lit(COMPARISON), F.lit(i)) for i in (1, 2, 3)]
+    # The text is searched for whole matches only; their parts are read from the match, which holds them in the same places.
+    part = lambda m, i: F.regexp_extract(m, COMPARISON, i)
     pairs = F.transform(
-        first(F.arrays_zip(parts[0].alias("a"), parts[1].alias("l"), parts[2].alias("b")), "comparison"),
+        first(F.regexp_extract_all(t, F.lit(COMPARISON), F.lit(0)), "comparison"),
         lambda m: F.struct(
-            m["a"].cast("double").alias("value"),
-            m["b"].cast("double").alias("value_b"),
-            F.when(F.length(F.trim(m["l"])) > 0, F.left(F.trim(m["l"]), F.lit(24))).otherwise(F.lit("Group A")).alias("context"),
+            part(m, 1).cast("double").alias("value"),
+            part(m, 3).cast("double").alias("value_b"),
+            F.when(F.length(F.trim(part(m, 2))) > 0, F.left(F.trim(part(m, 2)), F.lit(24))).otherwise(F.lit("Group A")).alias("context"),
         ),
     )
     groups = F.array(

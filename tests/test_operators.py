@@ -500,6 +500,18 @@ def test_edges_keep_the_first_direction(spark):
     assert rows(candidates.unique_edges(edges, "s", "t", ["k"]), "t") == [{"s": "b", "t": "a", "k": 0}, {"s": "a", "t": "c", "k": 2}]
 
 
+def test_figures_are_searched_for_once(spark):
+    """Each pattern is looked for once in a whole text; between, start, end and parts of matches are as the regex gives them."""
+    data = [(1, "5% 6.5 %7%x 8 %"), (2, "%"), (3, "1 a VS 2 b versus 3.5 compared to 4, r = .5 R-value of: 0.25r=1"), (4, None), (5, ""), (6, "é 9% ü r:0.5 r 0.75")]
+    df = spark.createDataFrame(data, "id int, t string")
+    got = [(r["text_id"], r["kind"], r["value"], r["value_b"], r["context"]) for r in rows(findings.extract_metrics(df, "id", "t"), "text_id", "kind", "ordinal")]
+    assert [(g[0], g[2]) for g in got if g[1] == "percentage"] == [(1, 5.0), (1, 6.5), (1, 7.0), (1, 8.0), (6, 9.0)]
+    assert [g[2:] for g in got if g[1] == "comparison"] == [(1.0, 2.0, "a"), (3.5, 4.0, "Group A")]
+    assert [(g[0], g[2]) for g in got if g[1] == "correlation"] == [(3, 0.25), (3, 1.0), (6, 0.75)]
+    plan = findings.extract_metrics(df, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3
+
+
 def test_figures_in_texts(spark):
     data = [
         (1, "Revenue of the north grew 12.5% and 0% stayed, 300 % is out"),
