@@ -103,6 +103,20 @@ def _deepest(tree) -> int:
     return max(depth, default=0)
 
 
+# Deepest trees that are laid out level by level, with 2**depth leaves.
+_LEVELS = 12
+
+
+def _level_by_level(tree: tuple, depth: int) -> tuple[list, np.ndarray]:
+    """Feature and cut of each place of a level, and the lengths at the last one; a leaf goes on to itself."""
+    feature, cut, left, right, length = tree
+    at, levels = np.zeros(1, np.int64), []
+    for _ in range(depth):
+        levels.append((feature[at], cut[at]))
+        at = np.stack([left[at], right[at]], axis=1).ravel()
+    return levels, length[at]
+
+
 _TREE = "feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>, size int"
 
 
@@ -159,9 +173,10 @@ def forest_score(forest: list, cols) -> Column:
     trees = [_closed(t) for t in forest]
     width = len(cols)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(values: pd.DataFrame) -> pd.Series:
-        points = np.ascontiguousarray(values.to_numpy(dtype=float)).ravel()
+    laid = [_level_by_level(t, depth) for t in trees] if 0 < depth <= _LEVELS else None
+
+    def walked(values: np.ndarray) -> np.ndarray:
+        points = np.ascontiguousarray(values).ravel()
         start = np.arange(len(values)) * width
         total = np.zeros(len(values))
         for feature, cut, left, right, length in trees:
@@ -170,6 +185,31 @@ def forest_score(forest: list, cols) -> Column:
                 below = points.take(start + feature.take(at)) <= cut.take(at)
                 at = np.where(below, left.take(at), right.take(at))
             total += length.take(at)
+        return total
+
+    def descended(values: np.ndarray) -> np.ndarray:
+        """The same by levels: a place's children are twice as far on, so a step looks up one feature and one cut."""
+        n = len(values)
+        points, rows, total = np.ascontiguousarray(values.T).ravel(), np.arange(n), np.zeros(n)
+        at, spot, x, cuts, over = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n), np.empty(n, bool)
+        for levels, length in laid:
+            at[:] = 0
+            for feature, cut in levels:
+                np.take(feature * n, at, out=spot, mode="clip")
+                spot += rows
+                np.take(points, spot, out=x, mode="clip")
+                np.take(cut, at, out=cuts, mode="clip")
+                np.greater(x, cuts, out=over)
+                at += at
+                at += over
+            np.take(length, at, out=x, mode="clip")
+            total += x
+        return total
+
+    @F.pandas_udf(T.DoubleType())
+    def score(values: pd.DataFrame) -> pd.Series:
+        points = values.to_numpy(dtype=float)
+        total = descended(points) if laid else walked(points)
         return pd.Series(np.power(2.0, -total / max(len(trees), 1) / max(typical, 1e-12)))
 
     return score(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))

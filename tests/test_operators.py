@@ -412,6 +412,21 @@ def test_near_duplicates_of_one_host_meet_few_others(spark, monkeypatch):
     assert text._meet_shortened(held, 0.95).count() < 10 * held.count()
 
 
+def test_levels_score_as_nodes_do(spark, monkeypatch):
+    """Trees laid out by levels give the score of a walk from node to node, at cuts and beyond all points too."""
+    g = np.random.default_rng(4)
+    points = [(float(a), float(b)) for a, b in g.integers(0, 9, (300, 2))] + [(1e9, -1e9), (4.0, 4.0)]
+    df = spark.createDataFrame(points, "a double, b double")
+    forest = anomaly.train_forest(df, ["a", "b"], trees=5, sample=40)
+    calls = []
+    whole = anomaly._level_by_level
+    monkeypatch.setattr(anomaly, "_level_by_level", lambda *a: calls.append(a) or whole(*a))
+    by_levels = [r.s for r in df.select(anomaly.forest_score(forest, ["a", "b"]).alias("s")).collect()]
+    assert len(calls) == 5
+    monkeypatch.setattr(anomaly, "_LEVELS", 0)
+    assert [r.s for r in df.select(anomaly.forest_score(forest, ["a", "b"]).alias("s")).collect()] == by_levels
+
+
 def test_planted_outliers_are_found(spark):
     g = np.random.default_rng(0)
     x = np.vstack([g.normal(size=(2000, 4)), g.normal(12, 1, size=(20, 4)) * g.choice([-1, 1], size=(20, 1))])
