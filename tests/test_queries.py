@@ -39,3 +39,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 12
+
+
+def test_forest_rows_are_dealt_over_all_tasks(spark):
+    """The other partitions of the invariants are as many as a shuffle has, so that no task reads a fixed share of the table."""
+    frame = entry.queries()["isolation_forest_invariants"](spark, FOLDER)
+    assert "REPARTITION_BY_NUM" not in frame._jdf.queryExecution().executedPlan().toString()

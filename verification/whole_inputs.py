@@ -149,7 +149,7 @@ def _(t):
     df = t.lineitem
     key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("anomaly_score", 9))
     facts = []
-    for i, frame in enumerate((df, df.repartition(5, "l_partkey"))):
+    for i, frame in enumerate((df, df.repartition("l_partkey"))):
         scored = an.isolation_forest(frame, cols)
         facts.append(
             scored.agg(
