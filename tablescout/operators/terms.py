@@ -12,6 +12,10 @@ from tablescout.session import materialize
 TERM = r"[\p{L}\p{N}]+"
 
 
+#: Most terms whose numbers go to all tasks, some 50 MB; more meet the rows of texts in a shuffle by term.
+VOCABULARY = 500_000
+
+
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, n``: how often each text has each of its terms; a text with one word a million times is one row."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))
@@ -29,17 +33,22 @@ def term_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max
 
     N counts the texts that have terms. Terms of fewer than ``min_documents`` texts, or of more than ``max_share`` of them,
     are left out. Those in most texts, few by number as texts have so many terms only, go to all tasks and are dropped
-    before anything is shuffled by term, so that what is shuffled has no term of more than that share.
+    before anything is shuffled by term, so that what is shuffled has no term of more than that share. Up to ``VOCABULARY``
+    terms go to all tasks, and nothing is shuffled by term.
     """
     counts = materialize(term_counts(df, key, text))
-    total = counts.agg(F.count_distinct("key").alias("texts"))
+    # Texts that have a term are seen without their counts.
+    total = df.where(F.col(key).isNotNull() & F.col(text).rlike(TERM)).agg(F.count_distinct(key).alias("texts"))
     n = total.first()["texts"]
     found = materialize(document_frequencies(counts))
     common = found.where(F.col("documents") > max_share * n).select("term")
     kept = found.where((F.col("documents") >= min_documents) & (F.col("documents") <= max_share * n))
     kept = kept.select("term", F.log(F.lit(float(max(n, 1))) / F.col("documents")).alias("_says"))
-    # Terms of more than a share s of the texts number 1 / s times the mean number of terms in a text at most.
-    rows = counts.join(F.broadcast(common), "term", "left_anti").join(kept, "term")
+    if kept.count() <= VOCABULARY:
+        rows = counts.join(F.broadcast(kept), "term")
+    else:
+        # Terms of more than a share s of the texts number 1 / s times the mean number of terms in a text at most.
+        rows = counts.join(F.broadcast(common), "term", "left_anti").join(kept, "term")
     rows = rows.withColumn("_w", F.col("n") * F.col("_says"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("key")))
     return rows.select("key", "term", "n", F.when(norm > 0, F.col("_w") / norm).otherwise(0.0).alias("weight"))

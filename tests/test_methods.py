@@ -314,6 +314,16 @@ def test_paths_of_a_hot_entity(spark, small_blocks):
     assert sum(r.markov for r in out) == pytest.approx(sum(k for *_, k in want))
 
 
+def test_terms_that_are_few_go_to_all_tasks(spark, monkeypatch):
+    """Nothing is shuffled by term if the terms are few, and weights are the same if they are not."""
+    df = spark.createDataFrame([(i, f"all w{i % 3} W{i % 3} v{i % 5} own{i}") for i in range(30)] + [(None, "v1"), (40, "--"), (41, None), (42, "")], "id int, t string")
+    few = terms.term_weights(df, "id", "t")
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(terms, "VOCABULARY", 3)
+    many = terms.term_weights(df, "id", "t")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 60
+
+
 def test_term_weights_are_those_of_plain_counts(spark):
     texts = {1: "Alpha beta beta the", 2: "alpha gamma the THE", 3: "beta, gamma! the", 4: "", 5: None, 6: "only the"}
     df = spark.createDataFrame([*texts.items(), (None, "alpha")], "id long, text string")
