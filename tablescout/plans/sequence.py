@@ -17,6 +17,8 @@ from tablescout.sources.tables import with_time
 # Rows per block of a long sequence and blocks per group of blocks: both windows stay small.
 BLOCK_ROWS = 65_536
 BLOCKS_PER_GROUP = 4_096
+# Tasks that sort blocks for neighbours, for each shuffle partition.
+TASKS_PER_PARTITION = 4
 
 _LOCAL_BITS = 33
 
@@ -170,6 +172,9 @@ def with_neighbours(df: DataFrame, keys, position: str, offsets: dict[str, tuple
     copies += [F.when(inside >= k * BLOCK_ROWS - back, block + k) for k in range(1, -(-back // BLOCK_ROWS) + 1)]
     copies += [F.when(inside < ahead - (k - 1) * BLOCK_ROWS, block - k) for k in range(1, -(-ahead // BLOCK_ROWS) + 1)]
     spread = df.withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
+    # Each task sorts its blocks at once, so there are a few for each shuffle partition.
+    tasks = TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(tasks, *keys, "_block")
     near = Window.partitionBy(*keys, "_block").orderBy(position)
     read = {
         name: F.lag(column, -offset).over(near) if offset < 0 else F.lead(column, offset).over(near)

@@ -165,6 +165,12 @@ def test_neighbours_further_than_a_block(spark, small_blocks):
         assert {n: got[i][n] for n in far} == want
 
 
+def test_neighbours_are_sorted_by_more_tasks_than_a_shuffle_has(spark):
+    wide = sequence.with_neighbours(spark.range(60).selectExpr("id as pos", "id * 10 as v"), [], "pos", {"a": ("v", -1)})
+    tasks = sequence.TASKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {tasks}), REPARTITION_BY_NUM" in wide._jdf.queryExecution().executedPlan().toString()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
