@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.session import ensure_checkpoint_dir
@@ -53,16 +53,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     Later plans read the same rows after any retry, without computing them again. The folder goes when the
-    application ends.
+    application ends. The rows are counted as they are written, so no later job has to: ``settled_rows``. Each job
+    leaves something in the driver's memory.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     settled = spark.read.schema(df.schema).parquet(folder)
-    settled.settled_in = folder
+    settled.settled_in, settled.settled_rows = folder, written.get["rows"]
     return settled
 
 
@@ -75,7 +77,8 @@ def forget(settled: DataFrame) -> None:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most so many rows, all of them narrow; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    known = getattr(df, "settled_rows", None)
+    return F.broadcast(df) if (df.limit(rows + 1).count() if known is None else known) <= rows else df
 
 
 def id_text(doc_id: str | Column) -> Column:

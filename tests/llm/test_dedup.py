@@ -73,6 +73,32 @@ def test_components_of_paths_and_stars(spark):
     assert representatives(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_are_one_node_after_a_round(spark, monkeypatch):
+    from tablescout.llm import components
+
+    written, whole = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda df: written.append(1) or whole(df))
+    stars = [(1000 * c + i, 1000 * c) for c in range(1, 40) for i in range(1, 60)]
+    found = {r.node: r.label for r in representatives(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert len(found) == 39 * 60 and len(set(found.values())) == 39
+    assert all(found[a] == found[b] for a, b in stars)
+    # Links, their numbers, the nodes joined and the links that are left: none.
+    assert len(written) == 4
+
+
+def test_written_tables_know_their_rows(spark):
+    """Each job leaves something in the driver's memory, so rows are counted by the job that writes them."""
+    from tablescout.llm.common import if_small, settle
+
+    tables = [settle(spark.range(1000).where("id % 3 = 0")), settle(spark.range(9).where("id > 9")), settle(spark.range(5).limit(0))]
+    spark.sparkContext.setJobGroup("known", "")
+    hints = [if_small(t, 100) for t in tables]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("known")
+    assert [t.settled_rows for t in tables] == [t.count() for t in tables] == [334, 0, 0]
+    assert ["broadcast" in t._jdf.queryExecution().logical().toString().lower() for t in hints] == [False, True, True]
+
+
 ROWS = [
     (5, "a b"), (3, "ab"), (9, "a  b"), (4, "a\tb "), (7, None), (8, ""), (6, " \n"), (None, "ab"), (None, None),
     (9, "a  b"), (11, "long " * 30_000), (12, "long " * 30_000), (13, "A b"),
