@@ -85,17 +85,16 @@ def row_series(df: DataFrame, ts: str, metrics, tie_breakers=(), keys=()) -> Dat
     has_nulls = rows.agg(F.bool_or(F.expr(" or ".join(f"`{m}` is null" for m in metrics))).alias("x")).first()["x"]
     if not has_nulls:
         return long.withColumns({"idx": F.col("pos"), "n": F.col("n_rows")})
-    group = [*keys, "metric"]
-    present = F.when(F.col("value").isNotNull(), 1).otherwise(0)
-    counted = running_totals(long, group, "pos", {"_seen": present})
-    sizes = long.groupBy(*group).agg(F.count("value").alias("n"))
-    sizes = sizes if keys else F.broadcast(sizes)
-    return (
-        counted.where(F.col("value").isNotNull())
-        .withColumn("idx", F.col("_seen") - 1)
-        .drop("_seen")
-        .join(sizes, group)
-    )
+    # Present values are counted along the rows, before each row becomes one for each metric.
+    seen = [f"_seen{i}" for i in range(len(metrics))]
+    counted = running_totals(rows, keys, "pos", {s: F.when(F.col(m).isNotNull(), 1).otherwise(0) for s, m in zip(seen, metrics)})
+    sizes = rows.groupBy(*keys).agg(*[F.count(m).alias(f"_n{i}") for i, m in enumerate(metrics)])
+    counted = counted.join(sizes, keys) if keys else counted.crossJoin(F.broadcast(sizes))
+    of_metric = [
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), (F.col(s) - 1).alias("idx"), F.col(f"_n{i}").alias("n"))
+        for i, (s, m) in enumerate(zip(seen, metrics))
+    ]
+    return counted.select(*ids, F.inline(F.array(*of_metric))).where(F.col("value").isNotNull())
 
 
 def calendar_series(df: DataFrame, ts: str, metrics, grain: str = "day", agg: str = "avg", keys=()) -> DataFrame:

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -193,3 +195,15 @@ def test_rows_are_never_brought_to_one_partition(spark, tmp_path):
             # What reaches one partition is a partial aggregate or the per-partition sizes, never rows.
             below = line.split("\n")[1]
             assert "HashAggregate" in below or "SortAggregate" in below, below
+
+
+def test_gaps_are_counted_along_rows_before_they_are_one_for_each_metric(spark, small_blocks):
+    data = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), float(i) if i % 3 else None, float(-i) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(data, "t timestamp_ntz, x double, y double")
+    series = sequence.row_series(df, "t", ["x", "y"])
+    got = sorted((r["metric"], r["idx"], r["pos"], r["n"], r["n_rows"], r["value"]) for r in series.collect())
+    want = [("x", i, p, 40, 60, float(p)) for i, p in enumerate(p for p in range(60) if p % 3)]
+    want += [("y", i, p, 48, 60, float(-p)) for i, p in enumerate(p for p in range(60) if p % 5)]
+    assert got == want
+    windows = [line for line in series._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert windows and not any("metric" in line for line in windows)
