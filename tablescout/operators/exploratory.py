@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,7 +19,7 @@ from tablescout.functions.columns import (
 from tablescout.functions.tails import chi2_upper, f_upper, slope_p_value
 from tablescout.plans.counts import PAIR_KEY, category_counts, distinct_counts, full_table, pair_counts, with_margins
 from tablescout.plans.gram import gram
-from tablescout.plans.ranks import attach_ranks, average_ranks, quantile, quantiles, ranked_quantiles, ranked_values, value_counts
+from tablescout.plans.ranks import cell_splits, count_cells, is_whole, quantile, quantiles, ranked_quantiles, ranked_values, value_counts, with_average_rank
 from tablescout.plans.stats import column_moments, pair_list, pair_statistics, tally
 
 
@@ -111,27 +112,23 @@ def normality(df: DataFrame, cols) -> DataFrame:
     )
 
 
-def _has_nulls(df: DataFrame, cols) -> bool:
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    return any(row[f"_{i}"] != row["n"] for i in range(len(cols)))
+def _rank_correlations(df: DataFrame, pairs, splits) -> DataFrame:
+    """Rank correlations of ``pairs`` over rows complete in their columns, which must have ``splits``.
 
-
-def _rank_correlations(df: DataFrame, cols, pairs) -> DataFrame:
-    """Rank correlations of ``pairs`` over rows complete in ``cols``.
-
-    Copies of a row collapse first; each column's ranks join once, and all pairs share one aggregate.
+    Copies of a row collapse first; each column's ranks take one shuffle at most, and all pairs share one aggregate.
     """
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    values = df.select(*[F.col(c).cast("long" if is_whole(df, c) else "double").alias(c) for c in cols])
+    cells = count_cells(values, {c: splits[c] for c in cols})
     joint = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
-    total = joint.agg(((F.sum("_w") + 1) / 2).alias("_mid"))
     for c in cols:
-        joint = attach_ranks(joint, c, average_ranks(value_counts(df, [c])), F.col("avg_rank"), f"_rank_{c}")
-    # Average ranks always have mean (n + 1) / 2, which centres the products.
-    ranked = joint.crossJoin(F.broadcast(total)).select("_w", *[(F.col(f"_rank_{c}") - F.col("_mid")).alias(c) for c in cols])
+        # Average ranks always have mean (n + 1) / 2, which centres the products. The rank takes the place of the value.
+        rank = with_average_rank(joint, c, cells[c], "_w", "_rank").withColumn(c, F.col("_rank") - (cells[c].total + 1) / 2)
+        joint = rank.drop("_rank")
     squares = [F.sum(F.col("_w") * F.col(c) * F.col(c)).alias(f"_s{i}") for i, c in enumerate(cols)]
     products = [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
     at = {c: i for i, c in enumerate(cols)}
-    cells = [
+    cells_of_pairs = [
         F.struct(
             F.lit(a).alias("col_a"),
             F.lit(b).alias("col_b"),
@@ -139,7 +136,7 @@ def _rank_correlations(df: DataFrame, cols, pairs) -> DataFrame:
         )
         for i, (a, b) in enumerate(pairs)
     ]
-    return ranked.agg(*squares, *products).select(F.inline(F.array(*cells)))
+    return joint.agg(*squares, *products).select(F.inline(F.array(*cells_of_pairs)))
 
 
 def spearman(df: DataFrame, pairs) -> DataFrame:
@@ -149,33 +146,35 @@ def spearman(df: DataFrame, pairs) -> DataFrame:
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    if not _has_nulls(df, cols):
-        return _rank_correlations(df, cols, pairs)
-    return union_all([_rank_correlations(keep_complete(df, p), p, [p]) for p in pairs])
+    splits, complete = cell_splits(df, cols)
+    if complete:
+        return _rank_correlations(df, pairs, splits)
+    return union_all([_rank_correlations(keep_complete(df, p), [p], splits) for p in pairs])
 
 
 def correlation(df: DataFrame, cols, min_abs: float = 0.3, top: int | None = None) -> DataFrame:
     """``col_a, col_b, n, pearson, spearman`` of pairs at least ``min_abs`` strong, strongest first; all or ``top``.
 
-    The surviving pairs are looked up first, names only, so that no column of a dropped pair is ranked.
+    The surviving pairs are looked up first, one row each, so that no column of a dropped pair is ranked.
     """
-    pearson = pair_statistics(df, pair_list(cols)).where(F.abs("r") >= min_abs)
-    kept = strongest_pairs(df, cols, top, min_abs)
+    kept = _strongest(df, cols, top, min_abs)
+    fields = {"col_a": pa.string(), "col_b": pa.string(), "n": pa.int64(), "r": pa.float64()}
+    found = df.sparkSession.createDataFrame(pa.table({c: pa.array([r[c] for r in kept], kind) for c, kind in fields.items()}))
+    pearson = found.withColumnRenamed("r", "pearson")
     if not kept:
-        return pearson.select("col_a", "col_b", "n", F.col("r").alias("pearson"), F.lit(None).cast("double").alias("spearman")).limit(0)
-    ranked = spearman(df, kept)
-    out = pearson.join(F.broadcast(ranked), ["col_a", "col_b"]).select(
-        "col_a", "col_b", "n", F.col("r").alias("pearson"), "spearman"
-    )
-    out = out.orderBy(F.abs("pearson").desc(), "col_a", "col_b")
-    return out.limit(top) if top else out
+        return pearson.withColumn("spearman", F.lit(None).cast("double"))
+    ranked = spearman(df, [(r["col_a"], r["col_b"]) for r in kept])
+    return pearson.join(F.broadcast(ranked), ["col_a", "col_b"]).orderBy(F.abs("pearson").desc(), "col_a", "col_b")
+
+
+def _strongest(df: DataFrame, cols, top: int | None, min_abs: float) -> list[Row]:
+    strong = pair_statistics(df, pair_list(cols)).where(F.abs("r") >= min_abs).orderBy(F.abs("r").desc(), "pair_order")
+    return (strong.limit(top) if top else strong).collect()
 
 
 def strongest_pairs(df: DataFrame, cols, top: int | None, min_abs: float = 0.3) -> list[tuple[str, str]]:
     """Names of the most correlated pairs, the default pairs of the pairwise analyses."""
-    strong = pair_statistics(df, pair_list(cols)).where(F.abs("r") >= min_abs).orderBy(F.abs("r").desc(), "pair_order")
-    rows = (strong.limit(top) if top else strong).collect()
-    return [(r["col_a"], r["col_b"]) for r in rows]
+    return [(r["col_a"], r["col_b"]) for r in _strongest(df, cols, top, min_abs)]
 
 
 def pairwise_regression(df: DataFrame, pairs, p_values: bool = True) -> DataFrame:

@@ -7,6 +7,11 @@ only balance the work: any bounds give the same positions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -257,3 +262,111 @@ def attach_ranks(rows: DataFrame, column: str, ranks: DataFrame, rank: Column, n
         .withColumn(name, F.coalesce("_hot_rank", "_rank"))
         .drop("_value", "_salt", "_spread", "_hot_rank", "_rank")
     )
+
+
+def cell_splits(df: DataFrame, cols) -> tuple[dict[str, np.ndarray], bool]:
+    """Where the cells of each column begin, from one sketch of all columns, and whether no column has nulls; the last
+    number of a column ends its last cell.
+
+    Each cut is a cell of its own, so a value that holds more of the rows than a range shares its cell with no other.
+    Any splits give the same ranks, they only balance the work.
+    """
+    cols, ranges = list(cols), _range_count(df)
+    cuts = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    size = min(65_535, max(4_096, 16 * ranges))
+    values = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    numbers = values.select("*", *[F.when(~F.isnan(f"_x{i}"), F.col(f"_x{i}")).alias(f"_v{i}") for i in range(len(cols))])
+    found = numbers.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(cols))],
+        # A column without numbers has a sketch that cannot be asked.
+        *[
+            F.expr(f"if(count(_v{i}) > 0, kll_sketch_get_quantile_double(kll_sketch_agg_double(_v{i}, {size}), array({cuts})), null)").alias(f"_q{i}")
+            for i in range(len(cols))
+        ],
+    ).first()
+    out = {}
+    for i, c in enumerate(cols):
+        # Adding zero makes a negative zero a plain one.
+        cut = np.array(found[f"_q{i}"] or [0.0]) + 0.0
+        after = np.nextafter(cut, np.inf)
+        inner = np.unique(np.concatenate([cut, after])[np.tile(np.isfinite(cut) & np.isfinite(after), 2)])
+        out[c] = np.concatenate([[-np.inf], inner if len(inner) else [0.0], [np.inf]])
+    return out, all(found[f"_n{i}"] == found["n"] for i in range(len(cols)))
+
+
+@dataclass
+class Cells:
+    """Cells of a column in the order of its values: their splits, which hold one value only, and the rows in each."""
+
+    splits: np.ndarray
+    point: np.ndarray
+    rows: np.ndarray
+
+    @property
+    def before(self) -> np.ndarray:
+        return np.cumsum(self.rows) - self.rows
+
+    @property
+    def total(self) -> int:
+        return int(self.rows.sum())
+
+
+def _with_cells(rows: DataFrame, splits: dict[str, np.ndarray], names: dict[str, str]) -> DataFrame:
+    """Add to each row the number of the cell of its value, for each column; values must be there."""
+    cast = rows.withColumns({f"_x_{name}": F.col(c).cast("double") + 0.0 for c, name in names.items()})
+    found = Bucketizer(
+        splitsArray=[splits[c].tolist() for c in names],
+        inputCols=[f"_x_{name}" for name in names.values()],
+        outputCols=[f"_y_{name}" for name in names.values()],
+        handleInvalid="keep",
+    ).transform(cast)
+    placed = found.withColumns({name: F.col(f"_y_{name}").cast("int") for name in names.values()})
+    return placed.drop(*[f"_{kind}_{name}" for kind in "xy" for name in names.values()])
+
+
+def count_cells(df: DataFrame, splits: dict[str, np.ndarray]) -> dict[str, Cells]:
+    """The rows in each cell of every column of ``splits``, in one pass over rows that have them all; only counts of cells
+    leave the tasks."""
+    cols = list(splits)
+    names = {c: f"_cell{i}" for i, c in enumerate(cols)}
+    placed = _with_cells(df.select(*cols), splits, names)
+    cells = placed.select(F.posexplode(F.array(*names.values())).alias("column", "cell"))
+    counted = cells.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("cnt")).toArrow()
+    column, cell, cnt = (counted[name].to_numpy() for name in ("column", "cell", "cnt"))
+    out = {}
+    for i, c in enumerate(cols):
+        # One more cell takes NaN, which comes after all numbers.
+        rows = np.zeros(len(splits[c]), np.int64)
+        rows[cell[column == i]] = cnt[column == i]
+        point = np.append(np.nextafter(splits[c][:-1], np.inf) == splits[c][1:], False)
+        if is_whole(df, c):
+            # Beyond this several whole numbers are the same double.
+            point &= np.abs(splits[c]) < 2**53
+        out[c] = Cells(splits[c], point, rows)
+    return out
+
+
+def with_average_rank(rows: DataFrame, column: str, cells: Cells, weight: str, name: str) -> DataFrame:
+    """Add to each row, which stands for ``weight`` rows of the counted table, the average rank of its value.
+
+    A cell of one value gives its rank at once, and where all are of this kind nothing is shuffled. The rows of other
+    cells meet and are ranked there; those of the former are spread beside them.
+    """
+    seen = np.flatnonzero(cells.rows)
+    known = pa.array(cells.before[seen] + (cells.rows[seen] + 1) / 2, mask=~cells.point[seen])
+    table = pa.table({"_cell": pa.array(seen, pa.int32()), "_before": cells.before[seen], "_known": known})
+    looked_up = F.broadcast(rows.sparkSession.createDataFrame(table))
+    placed = _with_cells(rows, {column: cells.splits}, {column: "_cell"}).join(looked_up, "_cell", "left")
+    if cells.point[seen].all():
+        return placed.withColumn(name, F.col("_known")).drop("_cell", "_before", "_known")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(_SALTS))
+    placed = placed.withColumn("_salt", F.when(F.col("_known").isNotNull(), spread).otherwise(F.lit(-1)))
+    # Up to and with the rows of equal values, and these alone.
+    upto = F.sum(weight).over(Window.partitionBy("_cell", "_salt").orderBy(column))
+    equal = F.sum(weight).over(Window.partitionBy("_cell", "_salt", column))
+    return (
+        placed.withColumns({"_upto": upto, "_equal": equal})
+        .withColumn(name, F.coalesce("_known", F.col("_before") + F.col("_upto") - (F.col("_equal") - 1) / 2))
+        .drop("_cell", "_before", "_known", "_salt", "_upto", "_equal")
+    )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tablescout.operators import exploratory
 from tablescout.plans import ranks, sequence, stats
 from tablescout.plans import spectrum
 from tablescout.plans.spectrum import dominant_frequency
@@ -207,3 +208,35 @@ def test_gaps_are_counted_along_rows_before_they_are_one_for_each_metric(spark,
     assert got == want
     windows = [line for line in series._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
     assert windows and not any("metric" in line for line in windows)
+
+
+def test_rank_correlations_of_hot_and_coarse_values_zeros_and_large_whole_numbers(spark):
+    g = np.random.default_rng(3)
+    n = 3_000
+    pdf = pd.DataFrame({"a": g.normal(size=n), "few": g.integers(0, 3, n).astype(float), "hot": np.where(g.random(n) < 0.6, 7.5, g.lognormal(0, 3, n))})
+    pdf["sum"] = pdf["a"] + pdf["few"]
+    pdf["zero"] = np.where(g.random(n) < 0.5, -0.0, 0.0) + np.where(g.random(n) < 0.3, pdf["a"], -0.0)
+    # As doubles these would all be one value.
+    pdf["large"] = 2**60 + pdf["few"].astype(int) + g.integers(0, 9, n)
+    pairs = [("a", "sum"), ("few", "sum"), ("hot", "few"), ("zero", "a"), ("large", "few")]
+    got = {(r["col_a"], r["col_b"]): r["spearman"] for r in exploratory.spearman(spark.createDataFrame(pdf).repartition(5), pairs).collect()}
+    assert got == {p: pytest.approx(pdf[p[0]].rank().corr(pdf[p[1]].rank()), abs=1e-9) for p in pairs}
+
+
+def test_columns_are_ranked_with_one_shuffle_and_coarse_ones_with_none(spark, tmp_path):
+    made = spark.range(4_000).selectExpr("cast(id as double) as a", "id * id + 0.5D as b", "cast(id % 5 as double) as few")
+    made.write.parquet(str(tmp_path / "t"))
+    plan = plan_of(exploratory.spearman(spark.read.parquet(str(tmp_path / "t")), [("a", "b"), ("a", "few")]))
+    # Equal rows meet once, then each of the two columns that are not coarse moves them once.
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("FileScan") == 1
+
+
+def test_pair_statistics_of_a_correlation_are_made_once(spark, monkeypatch):
+    calls = []
+    counted = lambda *args, **kinds: calls.append(args) or stats.pair_statistics(*args, **kinds)
+    monkeypatch.setattr(exploratory, "pair_statistics", counted)
+    df = spark.createDataFrame([(float(i), i * 2.0, float(-i)) for i in range(9)], "a double, b double, c double")
+    got = rows(exploratory.correlation(df, ["a", "b", "c"], top=2), "col_a", "col_b")
+    want = [("a", "b", 9, 1.0, 1.0), ("a", "c", 9, -1.0, -1.0)]
+    assert [(r["col_a"], r["col_b"], r["n"], round(r["pearson"], 9), round(r["spearman"], 9)) for r in got] == want
+    assert len(calls) == 1
