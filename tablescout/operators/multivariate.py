@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from itertools import count
 
 import numpy as np
@@ -13,7 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.plans.gram import Gram, doubles, features, gram, number_rows
+from tablescout.plans.gram import DRIVER_NUMBERS, SLICE_ROWS, Gram, doubles, features, gram
+
+#: Numbers of the rows at borders between clusters that come to the driver after a pass.
+LOOSE_NUMBERS = 1 << 22
+#: Rows of a block, and bytes of the blocks of a task.
+BLOCK_ROWS, PART_BYTES = 512, 1 << 27
 
 
 @dataclass
@@ -99,7 +105,30 @@ class Clusters:
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number and squared distance of the nearest centre; each row by itself, so the same in any batch."""
+    """Number and squared distance of the nearest centre, of equal ones the first; each row by itself, so the same in any batch."""
+    return _apart(points, centres)[:2]
+
+
+def _apart(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number and squared distance of the nearest centre; squared distances to all, and by how much these may be wrong.
+
+    One product of matrices tells the nearest; where its rounding could, each centre is compared by differences.
+    """
+    at = np.arange(len(points))
+    with np.errstate(over="ignore", invalid="ignore"):
+        size, own = np.square(points).sum(axis=1), np.square(centres).sum(axis=1)
+        about = size[:, None] - 2.0 * (points @ centres.T) + own
+        wrong = 8 * (centres.shape[1] + 4) * np.finfo(float).eps * (size + own.max())
+        best = about.argmin(axis=1)
+        least = np.square(points - centres[best]).sum(axis=1)
+        others = about.copy()
+        others[at, best] = np.inf
+        doubt = np.flatnonzero(~(others.min(axis=1) - about[at, best] > wrong))
+    best[doubt], least[doubt] = _compared(points[doubt], centres)
+    return best, least, about, wrong
+
+
+def _compared(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best, least = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
     for i, centre in enumerate(centres):
         apart = np.square(points - centre).sum(axis=1)
@@ -108,6 +137,26 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, least
 
 
+def _gaps(points: np.ndarray, centres: np.ndarray, way: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number and squared distance of the nearest centre, and by how much it is nearer than any other one, at least.
+
+    The last holds for centres that each go up to ``far`` times along their ``way``, too.
+    """
+    at, (best, least, about, wrong) = np.arange(len(points)), _apart(points, centres)
+    with np.errstate(over="ignore", invalid="ignore"):
+        most, low = least, about
+        if far > 0:
+            size = np.square(way).sum(axis=1)
+            along = points @ way.T - (centres * way).sum(axis=1)
+            wrong = 2 * wrong + 16 * (centres.shape[1] + 4) * np.finfo(float).eps * far * far * size.max()
+            turn = np.clip(along / np.where(size > 0, size, 1.0), 0.0, far)
+            low = about + turn * (turn * size - 2.0 * along)
+            most = least + np.maximum(far * (far * size[best] - 2.0 * along[at, best]), 0.0) + wrong
+        low[at, best] = np.inf
+        gaps = np.sqrt(np.maximum(low.min(axis=1) - wrong, 0.0)) - np.sqrt(most)
+    return best, least, np.nan_to_num(gaps, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
 @dataclass
 class _Scale:
     """Numbers as integers, whose sums are exact and so the same in any order."""
@@ -125,71 +174,230 @@ class _Scale:
         return np.rint(values / self.unit).astype(np.int64)
 
 
+def _exact(values: np.ndarray) -> tuple[list[int], int]:
+    """Numbers as integers and the power of two that all of them are multiplied with."""
+    part, power = np.frexp(values.ravel())
+    power = np.where(part == 0, 0, power - 53)
+    least = int(power.min(initial=0))
+    return [x << int(e) for x, e in zip((part * 2.0**53).astype(np.int64).tolist(), power - least)], least
+
+
+def _square_sum(whole: np.ndarray) -> int:
+    """Sum of the squares of integers of up to 53 bits, without loss."""
+    low, middle, high = whole & 0x3FFFF, (whole >> 18) & 0x3FFFF, whole >> 36
+    dot = lambda a, b: int((a * b).sum())
+    return (dot(high, high) << 72) + (dot(high, middle) << 55) + ((dot(middle, middle) + 2 * dot(high, low)) << 36) + (dot(middle, low) << 19) + dot(low, low)
+
+
+class _Border:
+    """A pass over all rows at some centres, and the rows at the borders between them.
+
+    The other rows do not change sides as long as no two centres leave ``far`` times their ``way`` by ``band`` together.
+    So the sums of the next rounds follow from the rows at hand alone, whole numbers as a pass over all rows gives them.
+    """
+
+    def __init__(self, centres: np.ndarray, way: np.ndarray, far: float, counts: np.ndarray, sums: np.ndarray, points: np.ndarray, band: float, run: _Run):
+        self.centres, self.way, self.far, self.band, self.scale, self.reach = centres, way, far, band, run.scale, run.reach
+        self.counts, self.whole, self.last, self.walked, self.rounds = counts.copy(), sums.copy(), centres, 0.0, 1
+        self.points = points
+        # A row is looked at again when the centres have walked so far that it can have changed sides.
+        self.best, _, self.free = _gaps(points, centres, way, 0.0)
+
+    def _room(self, moved: np.ndarray) -> float:
+        """By how much the distances to two centres come closer at most, with room for rounding."""
+        return float(np.sort(np.sqrt(np.square(moved).sum(axis=1)))[-2:].sum()) * (1 + 1e-9) + 1e-12 * self.reach
+
+    def follow(self, centres: np.ndarray) -> bool:
+        """Go on to these centres; false where the rows at hand do not tell."""
+        moved, size = centres - self.centres, np.square(self.way).sum(axis=1)
+        along = np.clip((moved * self.way).sum(axis=1) / np.where(size > 0, size, 1.0), 0.0, self.far)
+        if not self._room(moved - along[:, None] * self.way) < self.band:
+            return False
+        self.walked += self._room(centres - self.last)
+        self.last, self.rounds = centres, self.rounds + 1
+        some = np.flatnonzero(self.free <= self.walked)
+        points, was = self.points[some], self.best[some]
+        now, _, gaps = _gaps(points, centres, self.way, 0.0)
+        self.best[some], self.free[some] = now, gaps + self.walked
+        over = np.flatnonzero(now != was)
+        whole = self.scale.whole(points[over])
+        for side, sign in ((was[over], -1), (now[over], 1)):
+            np.add.at(self.counts, side, sign)
+            np.add.at(self.whole, side, sign * whole)
+        return True
+
+
+@dataclass
+class _Rows:
+    """Blocks as matrices of rows and of their hashes."""
+
+    width: int
+    salts: int
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        joined = lambda column, kind, width: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS // BLOCK_ROWS):
+                points, keys = batch.slice(at, SLICE_ROWS // BLOCK_ROWS).columns
+                yield joined(points, float, self.width), joined(keys, np.uint64, self.salts or 1)
+
+
 class _Run:
-    """Passes over the rows; what comes back from each is bounded by clusters and columns."""
-
-    def __init__(self, df: DataFrame, cols):
-        self.rows = doubles(df, features(df, cols))
-        names = self.rows.columns
-        edges = [F.max(F.abs(c)) for c in names]
-        self.rows = self.rows.dropna().where(~F.greatest(F.lit(False), *(F.isnan(c) for c in names))).persist()
-        self.width = len(names)
-        row = self.rows.agg(F.count(F.lit(1)), *edges).first()
-        self.n = row[0]
-        largest = max((abs(v) for v in row[1:] if v is not None), default=0.0)
+    """Passes over the rows; what comes back from each is bounded by clusters and columns, and by LOOSE_NUMBERS.
+
+    Rows are kept as blocks of numbers, with a hash of each row for every one of ``salts``.
+    """
+
+    def __init__(self, df: DataFrame, cols, salts: list[tuple] = ()):
+        rows = doubles(df, features(df, cols))
+        names = rows.columns
+        rows = rows.dropna().where(~F.greatest(F.lit(False), *(F.isnan(c) for c in names)))
+        self.width = width = len(names)
+        hashes = (F.xxhash64(*names, *map(F.lit, salt)).alias(f"h{i}") for i, salt in enumerate(salts))
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    columns = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, BLOCK_ROWS).columns]
+                    points = np.column_stack(columns[:width]).astype(float) + 0.0
+                    keys = np.column_stack(columns[width:]).tobytes() if columns[width:] else b""
+                    row = [len(points), float(np.abs(points).max()), points.tobytes(), keys]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["n", "largest", "points", "keys"])
+
+        self.salts, self.session = len(salts), df.sparkSession
+        self.blocks = rows.select(*names, *hashes).mapInArrow(blocks, "n long, largest double, points binary, keys binary").persist()
+        parts = self.blocks.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).collect()
+        self.n = sum(r["n"] for r in parts)
+        largest = max((r["largest"] for r in parts), default=0.0)
         self.scale, self.far = _Scale(largest, self.n), _Scale(4.0 * self.width * largest * largest, self.n)
+        self.reach, self.most, self.parts = 2.0 * self.width**0.5 * largest, LOOSE_NUMBERS // max(1, self.width), len(parts)
+        self.border, self.squares, self.before = None, None, None
+        if self.n > self.most:
+            self._even([r["n"] for r in parts])
+
+    def _even(self, parts: list[int]) -> None:
+        """Deal the blocks anew where files make a few large tasks of them or many small ones."""
+        wanted = max(self.session.sparkContext.defaultParallelism, -(-self.n * self.width * 8 // PART_BYTES))
+        if 2 * max(parts) * wanted > 3 * self.n or len(parts) > 4 * wanted:
+            old, self.blocks = self.blocks, self.blocks.repartition(wanted).persist()
+            self.blocks.count()
+            self.parts = wanted
+            old.unpersist()
+
+    def close(self) -> None:
+        self.blocks.unpersist()
+
+    def _mapped(self, run, schema: str) -> DataFrame:
+        """``run`` over matrices of rows and of their hashes."""
+        rows = _Rows(self.width, self.salts)
+        return self.blocks.select("points", "keys").mapInArrow(lambda batches: run(rows(batches)), schema)
 
     def sums(self, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Rows of each centre, the sums of their coordinates, and the sum of squared distances."""
-        width, scale, far = self.width, self.scale, self.far
+        total, _, _ = self._pass(centres, np.zeros_like(centres), 0.0, 0)
+        return total[:, 0], total[:, 2:] * self.scale.unit, float(total[:, 1].sum()) * self.far.unit
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(centres), width + 2), np.int64)
-            for batch in batches:
-                for points in number_rows(batch):
+    def next_sums(self, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """``sums`` for centres near those of the last call: from the rows at borders alone, as long as these tell.
+
+        The sum of squared distances is that of the rows as whole numbers, without rounding, so it does not depend on
+        when the last pass was.
+        """
+        if not (self.border and self.border.follow(centres)):
+            way = centres - self.before if self.before is not None else np.zeros_like(centres)
+            # About as many rounds on the way as the last pass was good for, and some.
+            far = 1.5 * self.border.rounds if self.border else 0.0
+            total, points, band = self._pass(centres, way, far, -(-self.most // self.parts))
+            self.border = _Border(centres, way, far, total[:, 0], total[:, 2:], points, band, self)
+        self.before = centres
+        counts, whole = self.border.counts, self.border.whole
+        exact, power = _exact(centres)
+        own = sum(n * sum(x * x for x in exact[i * self.width : (i + 1) * self.width]) for i, n in enumerate(counts.tolist()))
+        both = sum(x * y for x, y in zip(exact, whole.ravel().tolist()))
+        unit, scale = Fraction(self.scale.unit), Fraction(2) ** power
+        return counts.copy(), whole * self.scale.unit, float(unit * unit * self.squares - 2 * unit * scale * both + scale * scale * own)
+
+    def _pass(self, centres: np.ndarray, way: np.ndarray, along: float, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rows, squared distances and coordinates of each centre as whole numbers; of each task the ``most`` rows nearest to a border, and the gap that no other row is below."""
+        width, scale, far, squared = self.width, self.scale, self.far, self.squares is None and most > 0
+        size = len(centres) * (width + 2)
+
+        def run(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            total, squares = np.zeros((len(centres), width + 2), np.int64), 0
+            near, gaps, least = np.zeros((0, width)), np.zeros(0), np.inf
+            for points, _ in rows:
+                if most:
+                    best, apart, gap = _gaps(points, centres, way, along)
+                    some = gap < least
+                    near, gaps = np.concatenate([near, points[some]]), np.concatenate([gaps, gap[some]])
+                    if len(gaps) > most:
+                        order = np.argpartition(gaps, most)
+                        least, kept = float(gaps[order[most]]), order[:most]
+                        near, gaps = near[kept], gaps[kept]
+                else:
                     best, apart = _nearest(points, centres)
-                    apart, points = far.whole(apart), scale.whole(points)
-                    for i in np.unique(best):
-                        mine = best == i
-                        total[i, 0] += mine.sum()
-                        total[i, 1] += apart[mine].sum()
-                        total[i, 2:] += points[mine].sum(axis=0)
+                apart, points = far.whole(apart), scale.whole(points)
+                if squared:
+                    squares += _square_sum(points)
+                for i in np.unique(best):
+                    mine = best == i
+                    total[i, 0] += mine.sum()
+                    total[i, 1] += apart[mine].sum()
+                    total[i, 2:] += points[mine].sum(axis=0)
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "v"])
-
-        found = self.rows.mapInArrow(run, "at long, v long").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros((len(centres) * (width + 2)), np.int64)
-        for r in found:
-            total[r["at"]] = r["v"]
-        total = total.reshape(len(centres), width + 2)
-        return total[:, 0], total[:, 2:] * scale.unit, float(total[:, 1].sum()) * far.unit
-
-    def drawn(self, centres: np.ndarray, cost: float, wanted: float, turn: int, seed: int) -> np.ndarray:
+            row = [pa.array([*at, -1]), pa.array([*total.ravel()[at], 0]), pa.array([None] * len(at) + [least])]
+            row += [pa.array([None] * len(at) + [x], pa.binary()) for x in (near.tobytes(), str(squares).encode())]
+            yield pa.RecordBatch.from_arrays(row, ["at", "v", "least", "points", "squares"])
+
+        found = self._mapped(run, "at long, v long, least double, points binary, squares binary")
+        if self.parts * size > DRIVER_NUMBERS:
+            lists = [F.collect_list(c).alias(c) for c in ("points", "squares")]
+            found = found.groupBy("at").agg(F.sum("v").alias("v"), F.min("least").alias("least"), *lists)
+        found = found.toArrow()
+        total, at = np.zeros(size, np.int64), found["at"].to_numpy()
+        np.add.at(total, at[at >= 0], found["v"].to_numpy()[at >= 0])
+        others = found.filter(pa.array(at < 0)).to_pydict()
+        flat = lambda name: [y for x in others[name] for y in (x if isinstance(x, list) else [x])]
+        if squared:
+            self.squares = sum(map(int, flat("squares")))
+        return total.reshape(len(centres), width + 2), np.frombuffer(b"".join(flat("points")), float).reshape(-1, width), min(others["least"], default=np.inf)
+
+    def first(self) -> np.ndarray:
+        """The row with the smallest first hash."""
+
+        def run(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            least = None
+            for points, keys in rows:
+                own = keys[:, 0].view(np.int64)
+                least = min([(int(own.min()), x.tobytes()) for x in np.unique(points[own == own.min()], axis=0)] + [least] * (least is not None))
+            if least:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in least], ["h", "points"])
+
+        row = self._mapped(run, "h long, points binary").agg(F.min(F.struct("h", "points")).alias("row")).first()["row"]
+        return np.frombuffer(bytes(row["points"]), float).reshape(1, self.width)
+
+    def drawn(self, centres: np.ndarray, cost: float, wanted: float, salt: int) -> np.ndarray:
         """Different rows drawn with a chance in proportion to their squared distance, by a hash of the row."""
-        names = self.rows.columns
-        keyed = self.rows.withColumn("h", F.xxhash64(*names, F.lit(seed), F.lit(turn)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                points = np.column_stack([c.to_numpy() for c in batch.columns[:-1]]).astype(float)
+        def run(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for points, keys in rows:
                 chance = wanted * _nearest(points, centres)[1] / cost
-                u = (batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(11)) / float(1 << 53)
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(u < chance))
+                u = (keys[:, salt] >> np.uint64(11)) / float(1 << 53)
+                some = [x.tobytes() for x in np.unique(points[u < chance], axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["points"])
 
-        rows = keyed.mapInArrow(run, self.rows.schema).distinct().collect()
-        return np.array(sorted(tuple(r) for r in rows), float).reshape(-1, self.width)
+        rows = self._mapped(run, "points binary").distinct().collect()
+        return np.frombuffer(b"".join(bytes(r["points"]) for r in rows), float).reshape(-1, self.width)
 
 
 def _seeds(run: _Run, k: int, seed: int, rounds: int, over: float) -> np.ndarray:
     """k starting centres: rounds of draws far from what is there, then a choice among those by their weight."""
-    names = run.rows.columns
-    first = run.rows.select(*names, F.xxhash64(*names, F.lit(seed)).alias("h")).orderBy("h", *names).limit(1).select(*names).collect()
-    candidates = np.array([tuple(r) for r in first], float)
+    candidates = run.first()
     for turn in range(rounds):
         _, _, cost = run.sums(candidates)
         if cost <= 0:
             break
-        candidates = np.unique(np.concatenate([candidates, run.drawn(candidates, cost, over * k, turn, seed)]), axis=0)
+        candidates = np.unique(np.concatenate([candidates, run.drawn(candidates, cost, over * k, turn + 1)]), axis=0)
     weight, _, _ = run.sums(candidates)
     random, chosen = np.random.default_rng(seed), [int(np.argmax(weight))]
     while len(chosen) < min(k, len(candidates)):
@@ -207,15 +415,17 @@ def kmeans(
 
     Without ``start`` (a list of centres) centres are drawn in ``seed_rounds`` passes, about ``over * k`` rows each, and
     ``k`` of those chosen. Then every pass assigns and averages, until no centre moves by more than ``tolerance``, or for
-    ``rounds`` if given. A pass sends the centres out and gets k sums back. Sums are taken over whole numbers, so the
-    result does not depend on how rows are dealt to tasks. A cluster that loses all rows keeps its centre; there are
+    ``rounds`` if given. A pass sends the centres out and gets k sums back, and the rows nearest to a border between
+    clusters. Where centres have moved so little since that no other row can have changed sides, the driver takes the
+    next round from these rows, with the same result. Sums are taken over whole numbers, so the result does not depend
+    on how rows are dealt to tasks. A cluster that loses all rows keeps its centre; there are
     fewer than ``k`` clusters if there are fewer different rows.
     """
-    run = _Run(df, cols)
+    run = _Run(df, cols, [(seed,), *((seed, turn) for turn in range(seed_rounds))] if start is None else [])
     try:
         return _settled(run, k, start, rounds, tolerance, seed, seed_rounds, over)
     finally:
-        run.rows.unpersist()
+        run.close()
 
 
 def _settled(run: _Run, k: int, start, rounds: int | None, tolerance: float, seed: int, seed_rounds: int, over: float) -> Clusters:
@@ -228,7 +438,7 @@ def _settled(run: _Run, k: int, start, rounds: int | None, tolerance: float, see
         if rounds is None and found.centres.tobytes() in seen:
             break
         seen.add(found.centres.tobytes())
-        counts, sums, inertia = run.sums(found.centres)
+        counts, sums, inertia = run.next_sums(found.centres)
         found.inertia.append(inertia)
         found.sizes = counts.tolist()
         moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], found.centres)
@@ -237,7 +447,7 @@ def _settled(run: _Run, k: int, start, rounds: int | None, tolerance: float, see
             break
         found.centres = moved
     else:
-        counts, _, inertia = run.sums(found.centres)
+        counts, _, inertia = run.next_sums(found.centres)
         found.inertia.append(inertia)
         found.sizes = counts.tolist()
     return found

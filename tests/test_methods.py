@@ -136,6 +136,36 @@ def test_clusters_go_on_until_the_centres_stand(spark):
     assert len(M.kmeans(df, ["x"], 8, start=[[float(i)] for i in range(8)], rounds=3).inertia) == 4
 
 
+@pytest.mark.parametrize("numbers", (600, 1 << 22))
+def test_clusters_pass_over_all_rows_only_now_and_then(spark, monkeypatch, numbers):
+    """Rounds between the passes come from rows at borders, of which few or all are at hand, and are those of plain k-means."""
+    from pyspark.sql import DataFrame
+
+    random = np.random.default_rng(8)
+    points = np.concatenate([random.normal(size=(3000, 3)), np.zeros((40, 3)), np.full((300, 3), 0.1)])
+    centres, inertia = points[:6].copy(), []
+    while True:
+        apart = np.square(points[:, None] - centres).sum(axis=2)
+        near = apart.argmin(axis=1)
+        inertia.append(apart.min(axis=1).sum())
+        moved = np.array([points[near == i].mean(axis=0) for i in range(6)])
+        if np.abs(moved - centres).max() < 1e-12:
+            break
+        centres = moved
+    calls, whole = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *args, **more: calls.append(1) or whole(self, *args, **more))
+    monkeypatch.setattr(M, "LOOSE_NUMBERS", numbers, raising=False)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double, z double")
+    found = M.kmeans(df.repartition(5), ["x", "y", "z"], 6, start=points[:6])
+    assert found.sizes == np.bincount(near).tolist() and found.centres == pytest.approx(centres, abs=1e-9)
+    assert found.inertia[: len(inertia)] == pytest.approx(inertia, rel=1e-9) and len(inertia) > 15
+    assert all(b <= a for a, b in zip(found.inertia, found.inertia[1:]))
+    assert len(calls) < 0.75 * len(found.inertia)
+    # Far from zero, rounding is larger than the gaps of many rows.
+    off = M.kmeans(df.select(*((F.col(c) + 2.0**20).alias(c) for c in "xyz")), ["x", "y", "z"], 6, start=points[:6] + 2.0**20)
+    assert off.sizes == found.sizes
+
+
 def test_panel_is_dense_and_censored(spark):
     rows = [("a", "2024-01-01", 1.0), ("a", "2024-01-01", 2.0), ("a", "2024-01-04", None), ("b", "2024-01-03", 5.0), (None, "2024-01-09", 1.0), ("c", None, 1.0)]
     df = spark.createDataFrame(rows, "e string, t string, v double").withColumn("t", F.to_timestamp("t"))
