@@ -11,7 +11,7 @@ from tablescout.llm.mixing import mix
 from tablescout.llm.packing import pack, written_place
 from tablescout.llm.quality import good_documents
 from tablescout.llm.shingles import keep_one_of_near_copies
-from tablescout.llm.simhash import keep_one_of_near_fingerprints
+from tablescout.llm.simhash import near_fingerprints
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints link, that with the smallest doc_id; then of near copies that are left.
+    """Of documents that are joined by near copies the one with the smallest doc_id.
 
-    Fingerprints of two bits leave copies in that have more changes, so an exact check follows: of each group of texts
-    with a Jaccard similarity of 5-word shingles of 0.8 or more, again the document with the smallest doc_id stays.
+    Near copies are documents whose SimHash fingerprints link, and, as fingerprints of two bits leave copies in that
+    have more changes, those with a Jaccard similarity of 5-word shingles of 0.8 or more. Links of both kinds make one
+    graph: a copy that goes by its fingerprint still joins those that are like it by their shingles.
     """
-    return keep_one_of_near_copies(settle(keep_one_of_near_fingerprints(docs)))
+    return keep_one_of_near_copies(docs, near_fingerprints(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,11 +341,19 @@ def _by_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([node_a, node_b], ["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
 
-def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
+def _linked_nodes(named: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links a, b between the nodes of rows that are linked by their keys; a repeated row counts once."""
+    wanted = settle(linked.select("k").union(linked.select("of")).distinct())
+    nodes = if_small(settle(named.select("k", "node").join(if_small(wanted), "k", "left_semi").distinct()))
+    firsts = nodes.select(F.col("k").alias("of"), F.col("node").alias("b"))
+    return linked.join(nodes, "k").join(firsts, "of").select(F.col("node").alias("a"), "b")
+
+
+def keep_one_of_near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id, of those the one with the smallest key.
 
     Texts are near copies if the Jaccard similarity of their 5-word shingles is 0.8 or more, and groups are what such
-    pairs join. Null, empty and blank texts are copies of each other. Rows without doc_id come last in their group;
+    pairs join; with those of ``linked``, where it is given: keys of rows ``k`` and ``of``. Null, empty and blank texts are copies of each other. Rows without doc_id come last in their group;
     repeated rows stay once. Columns are those of ``docs``, whatever their names.
     """
     common = _shown(docs)
@@ -354,7 +362,8 @@ def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
     named = settle(members.select("r", "doc_id", "k", "set").join(first, "set").drop("set"))
     copies = if_small(named.where("r <> node").select("r"))
     nodes = members.join(copies, "r", "left_anti").select(F.col("r").alias("node"), "k", "n", "first", "late", "sketch", "rare")
-    labels = representatives(near_nodes(docs, nodes, common))
+    links = near_nodes(docs, nodes, common)
+    labels = representatives(links if linked is None else links.union(_linked_nodes(named, linked)))
 
     grouped = named.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("of"))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k")

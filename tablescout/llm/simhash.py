@@ -167,15 +167,23 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     return numbered.where("__nth = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
-def keep_one_of_near_fingerprints(docs: DataFrame) -> DataFrame:
-    """Of the rows that :func:`near_groups` links, the one with the smallest doc_id, then the smallest key of doc_id and text.
+def near_fingerprints(docs: DataFrame) -> DataFrame:
+    """Keys ``k`` of rows that :func:`near_groups` links to one before them, and the key ``of`` of the first in their group.
 
-    Rows without doc_id come last in their group; a repeated row stays as often as it is there. Columns are those of
-    ``docs``, whatever their names. Texts do not move: what goes is told by the keys of rows.
+    That is the row with the smallest doc_id, then the smallest key of doc_id and text; rows without doc_id come last.
     """
     order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), row_key().alias("k"))
     found = near_groups(docs.select(order.alias("row"), "text"), "row")
-    goes = if_small(settle(found.where("doc_id <> component_id").select("doc_id.k").distinct()))
+    return settle(found.where("doc_id <> component_id").select("doc_id.k", F.col("component_id.k").alias("of")).distinct())
+
+
+def keep_one_of_near_fingerprints(docs: DataFrame) -> DataFrame:
+    """Of the rows that :func:`near_groups` links, the first one as in :func:`near_fingerprints`.
+
+    A repeated row stays as often as it is there. Columns are those of ``docs``, whatever their names. Texts do not
+    move: what goes is told by the keys of rows.
+    """
+    goes = if_small(near_fingerprints(docs)).select("k")
     names = list(docs.columns)
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), row_key().alias("k"))
     return own.join(goes, "k", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
